@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, quality, sharding
+from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_icws_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_classes(_table(spark, sf_dir, "documents"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_kd_sharding, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op9_exact_dedup, op10_bpe_trie)
+    for f in (op1_kd_sharding, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op6_icws_dedup, op9_exact_dedup, op10_bpe_trie)
 }
 
 #: A-Z and a-z, for DuckDB's translate.
