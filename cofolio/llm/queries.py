@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding
+from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_icws_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_kd_sharding, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op6_icws_dedup, op9_exact_dedup, op10_bpe_trie)
+    for f in (op1_kd_sharding, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op6_icws_dedup, op7_suffix_dedup, op9_exact_dedup, op10_bpe_trie)
 }
 
 #: A-Z and a-z, for DuckDB's translate.
