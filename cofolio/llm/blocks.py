@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +78,21 @@ def components(edges: DataFrame, cut) -> DataFrame:
             roots = pairs.groupBy("u").agg(F.min("v").alias("root"))
             return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         before = state
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Any 64-bit values, byte planes apart."""
+    return np.ascontiguousarray(values.astype(np.uint64)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
+
+
+def ddl(schema: list[tuple[str, pa.DataType]]) -> str:
+    return ", ".join(f"{n} {str(t).replace('int32', 'int').replace('int64', 'long')}" for n, t in schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, sharding, suffix_dedup
+from . import bpe, decontaminate, exact_dedup, html_text, lm, near_dedup, quality, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -64,7 +68,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_kd_sharding, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op6_icws_dedup, op7_suffix_dedup, op9_exact_dedup, op10_bpe_trie)
+    for f in (op1_kd_sharding, op2_elias_fano_lm, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op6_icws_dedup, op7_suffix_dedup, op9_exact_dedup, op10_bpe_trie)
 }
 
 #: A-Z and a-z, for DuckDB's translate.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_count, block_of, found_in, pack, pack32, shard_bits, unpack, unpack32
+from .blocks import block_count, block_of, ddl, found_in, pack, pack32, shard_bits, table, unpack, unpack32
 from .scratch import cut
 from .vec import mix, pieces, powers, prefix_hash
 
@@ -140,11 +140,6 @@ def smallest_ids(segments: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengt
     return out
 
 
-def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
-
-
 def _block_texts(left: pa.Table, right: pa.Table) -> tuple[pa.Array, np.ndarray, list[str]]:
     """Texts, ids and digests of the block's distinct texts, in the order of digests."""
     wanted = {(i, s) for i, s in zip(right.column("rep").to_pylist(), right.column("sha").to_pylist(), strict=True) if s is not None}
@@ -164,10 +159,6 @@ _FOUND = [("block", pa.int32()), ("key", pa.binary()), ("sizes", pa.binary()), (
 _RESULT = [("sha", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
-def _ddl(schema: list[tuple[str, pa.DataType]]) -> str:
-    return ", ".join(f"{n} {str(t).replace('int32', 'int').replace('int64', 'long')}" for n, t in schema)
-
-
 def _send_anchors(bits: int, length: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = (left if left.num_rows else right).column("block")[0].as_py()
@@ -182,22 +173,22 @@ def _send_anchors(bits: int, length: int):
         h, texts_ = np.unique(np.concatenate(found), return_counts=True)
         cuts = np.searchsorted(h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
         rows = [(s, block, pack(h[i:j]), pack32(np.minimum(texts_[i:j], 2))) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-        return _table(rows, _ANCHORS)
+        return table(rows, _ANCHORS)
 
     return run
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    hs = [unpack(x) for x in table.column("h").to_pylist()]
+def _shared_anchors(sent: pa.Table) -> pa.Table:
+    hs = [unpack(x) for x in sent.column("h").to_pylist()]
     every, inverse = np.unique(np.concatenate(hs), return_inverse=True)
-    texts = np.bincount(inverse, np.concatenate([unpack32(x) for x in table.column("texts").to_pylist()]), minlength=len(every))
+    texts = np.bincount(inverse, np.concatenate([unpack32(x) for x in sent.column("texts").to_pylist()]), minlength=len(every))
     rows, at = [], 0
-    for block, h in zip(table.column("block").to_pylist(), hs, strict=True):
+    for block, h in zip(sent.column("block").to_pylist(), hs, strict=True):
         shared = texts[inverse[at : at + len(h)]] >= 2
         at += len(h)
         if shared.any():
             rows.append((block, pack(h[shared])))
-    return _table(rows, [("block", pa.int32()), ("h", pa.binary())])
+    return table(rows, [("block", pa.int32()), ("h", pa.binary())])
 
 
 def _segments(texts: pa.Array, ids: np.ndarray, shared: np.ndarray, length: int) -> Iterator[tuple]:
@@ -231,7 +222,7 @@ def _send_segments(bits: int, length: int):
             where = np.repeat(begin - (np.cumsum(total) - total), total) + np.arange(total.sum())
             parts.append((key, h, total, ids[doc], data[where]))
         if not parts:
-            return _table([], _SEGMENTS)
+            return table([], _SEGMENTS)
         key, h, total, low, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
         begin = np.cumsum(total) - total
         order = np.lexsort([low, key])
@@ -245,17 +236,17 @@ def _send_segments(bits: int, length: int):
             size = total[own]
             where = np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             rows.append((int(s), block, pack(key[own]), pack32(size), low[own].tobytes(), raw[where].tobytes()))
-        return _table(rows, _SEGMENTS)
+        return table(rows, _SEGMENTS)
 
     return run
 
 
 def _resolve(length: int):
-    def run(table: pa.Table) -> pa.Table:
-        keys = [unpack(x) for x in table.column("key").to_pylist()]
-        size = np.concatenate([unpack32(x) for x in table.column("sizes").to_pylist()]).astype(np.int64)
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-        raw = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("bytes").to_pylist()])
+    def run(sent: pa.Table) -> pa.Table:
+        keys = [unpack(x) for x in sent.column("key").to_pylist()]
+        size = np.concatenate([unpack32(x) for x in sent.column("sizes").to_pylist()]).astype(np.int64)
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in sent.column("ids").to_pylist()])
+        raw = np.concatenate([np.frombuffer(x, np.uint8) for x in sent.column("bytes").to_pylist()])
         every, head, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         low = np.full(len(every), np.iinfo(np.int64).max)
         np.minimum.at(low, inverse, ids)
@@ -266,13 +257,13 @@ def _resolve(length: int):
         windows = own - length + 1
         place = np.cumsum(windows) - windows
         rows, at = [], 0
-        for block, key in zip(table.column("block").to_pylist(), keys, strict=True):
+        for block, key in zip(sent.column("block").to_pylist(), keys, strict=True):
             mine = inverse[at : at + len(key)]
             at += len(key)
             n = windows[mine]
             where = np.repeat(place[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             rows.append((block, pack(key), pack32(n), best[where].tobytes()))
-        return _table(rows, _FOUND)
+        return table(rows, _FOUND)
 
     return run
 
@@ -314,7 +305,7 @@ def _remove(length: int):
                 left_over = data[i:j][~gone[i:j]].tobytes() if removed else None
                 digest = hashlib.sha256(left_over).hexdigest() if removed else digests[at + k]
                 rows.append((digests[at + k], int(j - i), removed, int(spans[j] - spans[i]), digest))
-        return _table(rows, _RESULT)
+        return table(rows, _RESULT)
 
     return run
 
@@ -340,18 +331,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     left = left.withColumn("block", block_of(F.col("__id"), blocks))
     right = reps.select("rep", "sha", block_of(F.col("rep"), blocks).alias("block"))
     by_block, none = left.groupBy("block"), lambda t: F.lit(None).cast(t)
-    sent = by_block.cogroup(right.groupBy("block")).applyInArrow(_send_anchors(bits, length), _ddl(_ANCHORS))
+    sent = by_block.cogroup(right.groupBy("block")).applyInArrow(_send_anchors(bits, length), ddl(_ANCHORS))
     shared = sent.groupBy("shard").applyInArrow(_shared_anchors, "block int, h binary")
     more = right.select("block", "rep", "sha", none("binary").alias("h")).unionByName(
         shared.select("block", none("long").alias("rep"), none("string").alias("sha"), "h")
     )
     more = cut(more, "suffix-anchors")
-    segments = by_block.cogroup(more.groupBy("block")).applyInArrow(_send_segments(bits, length), _ddl(_SEGMENTS))
-    found = segments.groupBy("shard").applyInArrow(_resolve(length), _ddl(_FOUND))
+    segments = by_block.cogroup(more.groupBy("block")).applyInArrow(_send_segments(bits, length), ddl(_SEGMENTS))
+    found = segments.groupBy("shard").applyInArrow(_resolve(length), ddl(_FOUND))
     told = more.select("*", *[none("binary").alias(c) for c in ("key", "sizes", "low")]).unionByName(
         found.select("block", none("long").alias("rep"), none("string").alias("sha"), none("binary").alias("h"), "key", "sizes", "low")
     )
-    done = by_block.cogroup(told.groupBy("block")).applyInArrow(_remove(length), _ddl(_RESULT))
+    done = by_block.cogroup(told.groupBy("block")).applyInArrow(_remove(length), ddl(_RESULT))
     # of equal texts, all but the first row are removed whole where they are long enough to hold a window
     rows = narrow.join(reps.select("sha", "rep"), "sha", "left").join(done.drop("n_bytes"), "sha", "left")
     copy = (F.col("__id") > F.col("rep")) & (F.col("bytes") >= length)
