@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, lm, near_dedup, quality, sharding, suffix_dedup
+from . import bpe, decontaminate, exact_dedup, html_text, lm, near_dedup, quality, secrets, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "place", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "score", "is_secret")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_kd_sharding, op2_elias_fano_lm, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op6_icws_dedup, op7_suffix_dedup, op9_exact_dedup, op10_bpe_trie)
+    for f in (op1_kd_sharding, op2_elias_fano_lm, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op6_icws_dedup, op7_suffix_dedup, op8_secret_forest, op9_exact_dedup, op10_bpe_trie)
 }
 
 #: A-Z and a-z, for DuckDB's translate.
