@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_count, block_of, ddl, found_in, pack, pack32, shard_bits, table, unpack, unpack32
+from .blocks import block_count, block_of, ddl, found_in, from_planes, pack, pack32, planes, shard_bits, table, unpack, unpack32
 from .scratch import cut
 from .vec import mix, pieces, powers, prefix_hash
 
 LENGTH, ANCHOR = 50, 16
-PIECE = 1 << 20
+#: Text of a block; a shard's segments and their suffix array take some hundred bytes a byte of it that repeats.
+BLOCK_BYTES = 8 << 20
+PIECE = 1 << 19
 #: Places of a piece that fit beside the anchor's hash while the smallest one is sought.
 _PLACE = np.uint64((1 << 30) - 1)
 
@@ -55,7 +57,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         inside[max(0, end - length + 1) : end] = False
     starts = np.flatnonzero(inside)
     place = (low[starts] & _PLACE).astype(np.int64)
-    return starts, place, grams[place], h
+    # anchors have small hashes, so these are scrambled anew before they choose a shard
+    return starts, place, mix(grams[place] + np.uint64(0x9E3779B97F4A7C15)), h
 
 
 def two_stage_order(text: np.ndarray, wanted: np.ndarray, packed: np.ndarray, depth: int) -> np.ndarray:
@@ -66,9 +69,12 @@ def two_stage_order(text: np.ndarray, wanted: np.ndarray, packed: np.ndarray, de
     """
     n = len(text)
     change = np.flatnonzero(text[:-1] != text[1:])
-    run_end = change[np.searchsorted(change, np.arange(n - 1))] if len(change) else np.zeros(n - 1, np.int64)
     direct = np.ones(n, bool)  # smaller than the successor; ends of segments count as such
-    direct[:-1] = (text[run_end] < text[run_end + 1]) | (text[:-1] == 0)
+    if len(change):
+        # a run of one symbol is as its last place; the text's end is a run of its own
+        rises = text[change] < text[change + 1]
+        direct[: change[-1] + 1] = np.repeat(rises, np.diff(change, prepend=-1))
+    direct |= text == 0
     chosen = np.zeros(n, bool)
     chosen[wanted] = True
     grow = wanted[~direct[wanted]]
@@ -79,8 +85,8 @@ def two_stage_order(text: np.ndarray, wanted: np.ndarray, packed: np.ndarray, de
         grow = grow[~direct[grow]]
     first = np.flatnonzero(chosen & direct)
     last = len(packed) - 1
-    keys = [packed[np.minimum(first + k, last)] for k in range(0, depth, 8)]
-    first = first[np.lexsort(keys[::-1])]
+    for k in range(-(-depth // 8) * 8 - 8, -1, -8):  # by the last symbols first, stably
+        first = first[np.argsort(packed[np.minimum(first + k, last)], kind="stable")]
     bounds = np.searchsorted(text[first], np.arange(257))
     pending: list[list[np.ndarray]] = [[] for _ in range(256)]
     order = []
@@ -148,6 +154,7 @@ def _block_texts(left: pa.Table, right: pa.Table) -> tuple[pa.Array, np.ndarray,
         if key in wanted:
             rows.setdefault(key, k)
     keys = sorted(rows, key=lambda x: (x[1], x[0]))
+    pa.default_memory_pool().release_unused()  # of the group before
     texts = left.column("__text").combine_chunks().take(pa.array([rows[k] for k in keys], pa.int64()))
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     return texts, np.array([k[0] for k in keys], np.int64), [k[1] for k in keys]
@@ -155,7 +162,7 @@ def _block_texts(left: pa.Table, right: pa.Table) -> tuple[pa.Array, np.ndarray,
 
 _ANCHORS = [("shard", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("texts", pa.binary())]
 _SEGMENTS = [("shard", pa.int32()), ("block", pa.int32()), ("key", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("bytes", pa.binary())]
-_FOUND = [("block", pa.int32()), ("key", pa.binary()), ("sizes", pa.binary()), ("low", pa.binary())]
+_FOUND = [("block", pa.int32()), ("key", pa.binary()), ("sizes", pa.binary()), ("low", pa.binary()), ("runs", pa.binary())]
 _RESULT = [("sha", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
@@ -256,13 +263,21 @@ def _resolve(length: int):
         best = smallest_ids(raw[where], own, low, length)
         windows = own - length + 1
         place = np.cumsum(windows) - windows
+        # runs of windows of one smallest id, which mostly are whole segments
+        turn = np.zeros(len(best), bool)
+        turn[place] = True
+        turn[1:] |= best[1:] != best[:-1]
+        head = np.flatnonzero(turn)
+        run_low, run_size = best[head], np.diff(np.append(head, len(best)))
+        first = np.searchsorted(head, place)
+        count = np.diff(np.append(first, len(head)))
         rows, at = [], 0
         for block, key in zip(sent.column("block").to_pylist(), keys, strict=True):
             mine = inverse[at : at + len(key)]
             at += len(key)
-            n = windows[mine]
-            where = np.repeat(place[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rows.append((block, pack(key), pack32(n), best[where].tobytes()))
+            n = count[mine]
+            where = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rows.append((block, pack(key), pack32(windows[mine]), planes(run_low[where]), pack32(run_size[where])))
         return table(rows, _FOUND)
 
     return run
@@ -272,7 +287,8 @@ def _remove(length: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, ids, digests = _block_texts(left, right)
         shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpack(x) for x in right.column("h").to_pylist() if x is not None]]))
-        got = [(unpack(k), unpack32(n).astype(np.int64), np.frombuffer(low, np.int64)) for k, n, low in zip(*(right.column(c).to_pylist() for c in ("key", "sizes", "low")), strict=True) if k is not None]
+        answers = zip(*(right.column(c).to_pylist() for c in ("key", "sizes", "low", "runs")), strict=True)
+        got = [(unpack(k), unpack32(n).astype(np.int64), np.repeat(from_planes(low).astype(np.int64), unpack32(runs))) for k, n, low, runs in answers if k is not None]
         key = np.concatenate([np.zeros(0, np.uint64), *[g[0] for g in got]])
         n = np.concatenate([np.zeros(0, np.int64), *[g[1] for g in got]])
         low = np.concatenate([np.zeros(0, np.int64), *[g[2] for g in got]])
@@ -325,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     narrow = cut(docs.select(F.col(id_col).alias("__id"), sha, F.octet_length(text).cast("long").alias("bytes")), "suffix-ids")
     reps = narrow.groupBy("sha").agg(F.min("__id").cast("long").alias("rep"), F.first("bytes").alias("bytes")).where("rep is not null")
     reps = cut(reps, "suffix-reps")
-    blocks = block_count(reps.agg(F.sum("bytes").alias("b")).first().b)
+    blocks = block_count(reps.agg(F.sum("bytes").alias("b")).first().b, BLOCK_BYTES)
     bits = shard_bits(blocks)
     left = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), sha, text.alias("__text"))
     left = left.withColumn("block", block_of(F.col("__id"), blocks))
@@ -339,8 +355,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     more = cut(more, "suffix-anchors")
     segments = by_block.cogroup(more.groupBy("block")).applyInArrow(_send_segments(bits, length), ddl(_SEGMENTS))
     found = segments.groupBy("shard").applyInArrow(_resolve(length), ddl(_FOUND))
-    told = more.select("*", *[none("binary").alias(c) for c in ("key", "sizes", "low")]).unionByName(
-        found.select("block", none("long").alias("rep"), none("string").alias("sha"), none("binary").alias("h"), "key", "sizes", "low")
+    told = more.select("*", *[none("binary").alias(c) for c in ("key", "sizes", "low", "runs")]).unionByName(
+        found.select("block", none("long").alias("rep"), none("string").alias("sha"), none("binary").alias("h"), "key", "sizes", "low", "runs")
     )
     done = by_block.cogroup(told.groupBy("block")).applyInArrow(_remove(length), ddl(_RESULT))
     # of equal texts, all but the first row are removed whole where they are long enough to hold a window
