@@ -117,9 +117,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without an accepted overlap with any item."""
-    hits = contaminated(docs, benchmark, id_col, text_col).select("__id", "__h").distinct()
-    left = docs.withColumn("__g", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return left.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__g") == F.col("__h")), "left_anti").drop("__g")
+    hits = contaminated(docs, benchmark, id_col, text_col).select(F.col("__id").alias("__hit_id"), F.col("__h").alias("__hit_h")).distinct()
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(hits, F.col(id_col).eqNullSafe(F.col("__hit_id")) & (own == F.col("__hit_h")), "left_anti")
 
 
 decontaminate.__doc__ = decontaminate.__doc__.format(span=_SPAN)

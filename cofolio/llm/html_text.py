@@ -36,6 +36,8 @@ _CLOSES_P = _BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead",
 _GONE = frozenset("head script style noscript template iframe svg math nav footer aside form button select option textarea menu dialog object canvas title input".split())
 #: Text blocks in an article, which count as content however often they recur.
 _CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li b i em strong span a code td tr tbody table figure figcaption dl dt dd".split())
+#: Parts of a sentence, which never go on their own.
+_INLINE = frozenset("a abbr b cite code em i kbd mark q s small span strong sub sup u br wbr img".split())
 _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|sidebar\w*|footer\w*|header|masthead|breadcrumbs?|"
     r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w+|share|sharing|social|comments?|disqus|replies|respond|related|"
@@ -126,7 +128,7 @@ def hash_subtrees(root: Element) -> None:
 
 def _may_go(node: Element, in_article: bool) -> bool:
     """Whether recurrence makes an element template: anything around the article, but only containers in it."""
-    if node.tag in ("", "html", "body", "head", "main", "article"):
+    if node.tag in ("", "html", "body", "head", "main", "article") or node.tag in _INLINE:
         return False
     return node.tag not in _CONTENT if in_article else True
 

@@ -1,0 +1,416 @@
+"""Brute force, invariants and edge cases of the training-data operators on small tables."""
+
+import collections
+import hashlib
+import html
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from cofolio.llm import blocks, bpe, decontaminate, elias_fano, exact_dedup, html_text, lm, near_dedup, quality, queries, secrets, sharding, suffix_dedup
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, block int, value string, rep long, `__id` long"
+ODD = [None, "", " ", "a", "the the the the the the", "the the the the the the", "É ß 日本 😀 ñ", "x" * 3000, "word " * 2000, "Key = \"a1b2c3d4e5f6a7b8c9d0\" and 1234567890123456"]
+
+
+def odd_docs(spark):
+    """Nulls in every column, empty, blank and long texts, ties, repeated rows and clashing column names."""
+    rows = [(k if k != 3 else None, t, None if k % 3 else "en", None if k % 4 else "src0", None if k % 2 else 5, "s", 1, "v", 1, 1) for k, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[4], rows[4]], SCHEMA)
+
+
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+
+
+# ---- 1
+
+
+def test_shards_are_near_equal_and_slots_gapless(docs, texts):
+    got = sharding.kd_shards(docs, shards=8).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    size = collections.Counter()
+    slots = collections.defaultdict(list)
+    for r in got:
+        assert r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert sorted(size) == list(range(8))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    largest = max(r.size for r in got)
+    assert max(size.values()) - min(size.values()) <= 3 * largest
+
+
+def test_one_hot_source_is_cut_apart(spark):
+    same = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit("en").alias("lang"), F.lit(3).alias("n_chars"), F.lit("abc").alias("text"))
+    n = [r["count"] for r in sharding.kd_shards(same, shards=8).groupBy("shard").count().collect()]
+    assert len(n) == 8 and max(n) - min(n) <= 40
+
+
+def test_target_bytes(docs):
+    total = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0]
+    assert sharding.kd_shards(docs, target_bytes=total // 5).select("shard").distinct().count() == 5
+
+
+# ---- 2
+
+
+def brute_scores(rows):
+    seqs = [[None, *(t or "").encode().lower().split(), b"\n"] for _, t in rows]
+    held = [i is None or zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    c, pair, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    for s, h in zip(seqs, held, strict=True):
+        if not h:
+            c.update(s[1:])
+            pair.update(itertools.pairwise(s))
+            ctx.update(s[:-1])
+    after, n, v, d = collections.Counter(a for a, _ in pair), sum(c.values()), len(c), lm.DISCOUNT
+    for s, h in zip(seqs, held, strict=True):
+        base = score = 0.0
+        for a, w in itertools.pairwise(s):
+            p1 = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+            base += math.log10(p1)
+            score += math.log10(p1 if not ctx[a] else max(pair[a, w] - d, 0) / ctx[a] + d * after[a] / ctx[a] * p1)
+        yield h, len(s) - 1, sum(c[w] > 0 for w in s[1:]), n, base, score
+
+
+@pytest.mark.parametrize("hot", [8, 0.1])
+def test_lm_scores(docs, monkeypatch, hot):
+    monkeypatch.setattr(lm, "block_count", lambda *a: 3)
+    monkeypatch.setattr(lm, "HOT", hot)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    better = 0.0
+    for (i, _), (h, n, known, total, base, score) in zip(rows, brute_scores(rows), strict=True):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, n, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and abs(r.score - score) < 3e-4 * n
+        better += (score - base) * h
+    assert better > 0
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(4)
+    for n, top in ((0, 9), (1, 1), (700, 700), (500, 10**10), (900, 40)):
+        values = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+        bits, *parts = elias_fano.EliasFano.arrays(values, top)
+        ef = elias_fano.EliasFano(n, bits, *parts)
+        assert (ef[np.arange(n)] == values).all()
+        asked = rng.integers(0, top, 300).astype(np.uint64)
+        assert (ef.successor(asked) == np.searchsorted(values, asked)).all()
+
+
+# ---- 3
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.score(d, quality.train(d, labels)).join(labels, "doc_id").where(quality.held_out()).collect()
+    right = sum((r.score >= 0.7) == bool(r.quality) for r in got) / len(got)
+    assert len(got) > 60 and right > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_quality_gradient():
+    rng = np.random.default_rng(1)
+    x, first, y = rng.normal(size=(9, quality.WIDTH)), np.array([0, 2, 5]), np.array([1.0, 0.0, 1.0])
+    model = quality.fit(x, first, y, epochs=200)
+    assert ((model.scores(x, first) > 0.5) == y).all()
+
+
+def test_quality_without_labels(spark, docs):
+    model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.keep_good(docs, model).count() == docs.count()
+
+
+# ---- 4
+
+
+def test_article_text(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r for r in html_text.extract_main_text(pages).collect()}
+    for p in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", article))).split())
+        assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want)
+
+
+def test_templates_without_an_article_element(spark):
+    page = "<body><div><p>Site &amp; slogan</p></div><div id=x><p>Story {k} <b>bold</b>ly.</p><p>More {k}</p></div><div class='cookie-notice'>ok?</div><ul><li>Home<li>About</ul></body>"
+    rows = [(k, f"http://a.example/{k}", page.format(k=k)) for k in range(8)] + [(90, None, None), (91, "x", ""), (None, "http://a.example/z", "<p>a&nbsp;b<script>1<2</script> &lt;c&gt;")]
+    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 boldly. More 3" and got[90] == got[91] == "" and got[None] == "a b <c>"
+
+
+# ---- 5
+
+
+def test_masks_hit_every_window_with_two_replaced_words():
+    for mask in decontaminate.MASKS:
+        for bad in itertools.combinations(range(decontaminate.WINDOW), 2):
+            assert any(all(o + i not in bad for i in mask) for o in range(decontaminate.WINDOW - max(mask)))
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_SEEDS, 0])
+def test_contamination(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    items = [[word() for _ in range(20)] for _ in range(6)]
+    rows, want = [], {}
+    for k in range(60):
+        body = [word() for _ in range(50)]
+        item = items[k % 6]
+        kind = k % 5
+        if kind == 0:
+            body[10:10] = item
+        elif kind == 1:  # two of thirteen words replaced, upper case, punctuation
+            piece = item[3:16]
+            for i in rng.sample(range(13), 2):
+                piece[i] = word()
+            body[20:20] = [w.upper() + "!!" for w in piece]
+        elif kind == 2:  # too few words in a row
+            body[5:5] = item[:9]
+        elif kind == 3:  # three of thirteen replaced all along
+            body[5:5] = [word() if i % 4 == 0 else w for i, w in enumerate(item)]
+        rows.append((k, " ".join(body)))
+        want[k] = kind < 2
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "one two")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {k: r.contaminated for k, r in got.items()} == want
+    assert all(list(got[k]["items"]) == [k % 6] for k in want if want[k])
+
+
+# ---- 6
+
+
+def brute_classes(rows, similarity=0.8):
+    bags, df = {}, collections.Counter()
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        bags[i] = collections.Counter([tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else []))
+        df.update(bags[i].keys())
+    idf = {k: math.log((len(rows) + 1) / (v + 1)) + 1 for k, v in df.items()}
+    total = {i: sum(n * idf[k] for k, n in b.items()) for i, b in bags.items()}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    text = dict(rows)
+    for a, b in itertools.combinations(sorted(root), 2):
+        low = sum(min(n, bags[b][k]) * idf[k] for k, n in bags[a].items() if k in bags[b])
+        if (text[a] or "") == (text[b] or "") or low and low >= (similarity - 1e-9) * (total[a] + total[b] - low):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("small", [near_dedup.SMALL, 2])
+def test_near_classes(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "block_count", lambda *a: 3)
+    monkeypatch.setattr(near_dedup, "CHUNK", 8)
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 300))
+    rows = []
+    for g in range(6):
+        base = [word() for _ in range(120)]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 6])):
+                copy[rng.randrange(120)] = word()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000, ""), (1001, None), (1002, "a b"), (1003, "A  b"), (1004, " ".join(word() for _ in range(50)))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_icws_meets_weighted_jaccard():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 48, 60).astype(np.uint64)
+    a, b = rng.uniform(0.5, 3, 60), rng.uniform(0.5, 3, 60)
+    keys = near_dedup.icws(np.concatenate([h, h]), np.concatenate([a, b]), np.array([0, 60]), 3000)
+    assert (keys[0] == keys[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    from cofolio.llm.scratch import cut
+
+    got = {r.node: r.root for r in blocks.components(spark.createDataFrame(edges, "a long, b long"), cut).collect()}
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert got == {n: find(n) for n in linked}
+
+
+# ---- 7
+
+
+def test_repeats(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "block_count", lambda *a: 3)
+    rng = random.Random(6)
+    bits = ["".join(rng.choice("abc é") for _ in range(rng.randint(30, 120))) for _ in range(12)]
+    rows = [(k * 3 % 101, "".join(rng.choice([rng.choice(bits), "".join(rng.choice("xyz") for _ in range(20))]) for _ in range(6))) for k in range(40)]
+    rows += [(200 + k, t) for k, t in enumerate(["", None, "a" * 300, "a" * 49, "a" * 50, "ab" * 100, "zyx" * 40, rows[0][1], "é" * 25, "é" * 60])]
+    first, want = {}, {}
+    for i, t in sorted(rows):
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 49):
+            if first.setdefault(data[p : p + 50], i) < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(data, gone, strict=True) if not g)
+        want[i] = (len(data), sum(gone), sum(1 for k in range(len(data)) if gone[k] and not (k and gone[k - 1])), hashlib.sha256(kept).hexdigest())
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_two_stage_order():
+    rng = np.random.default_rng(3)
+    for symbols in (2, 4, 60):
+        text = np.concatenate([rng.integers(1, symbols + 1, 400), [0]]).astype(np.uint8)
+        padded = np.concatenate([text, np.zeros(8, np.uint8)])
+        packed = np.zeros(len(text), np.uint64)
+        for k in range(8):
+            packed = (packed << np.uint64(8)) | padded[k : k + len(text)]
+        order = suffix_dedup.two_stage_order(text, np.arange(400), packed, 400)
+        raw = text.tobytes()
+        assert list(order) == sorted(range(400), key=lambda i: raw[i:])
+
+
+# ---- 8
+
+
+def test_candidates_are_those_of_the_pattern(docs, texts):
+    got = collections.Counter((r.doc_id, r.value) for r in secrets.candidates(docs).collect())
+    assert got == collections.Counter((i, v) for i, t in texts.items() for v in re.findall(secrets.CANDIDATE, t))
+
+
+def test_forest_from_labelled_findings(spark):
+    rng = random.Random(2)
+    hexa = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(39)) + "1"
+    rows, labels = [], []
+    for k in range(300):
+        secret = k % 3 == 0
+        rows.append((k, f'set token = "{hexa()}" now' if secret else rng.choice([f"mail me.{k}1@mail.example.com today", f"call 55501{k:03d}000111 soon", f"file a1/b2/c{k}/readme.md here"]), "src"))
+        labels.append((k, 0, int(secret)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.scan(d, spark.createDataFrame(labels[:200], "doc_id long, place int, label int")).collect()
+    new = [r for r in got if r.doc_id >= 200]
+    assert len(new) >= 60 and all(r.is_secret == (r.doc_id % 3 == 0) for r in new)
+
+
+# ---- 9
+
+
+def brute_exact(rows):
+    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[fold(t)].append(i)
+    return sorted((i, max(groups[fold(t)]), len(groups[fold(t)]), hashlib.sha256(fold(t).encode()).hexdigest()) for i, t in rows)
+
+
+def test_exact_groups(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice(["", None, "Éa", "éa", "ABC", "abc", "aBc ", "hot"])) for k in range(200)] + [(1000 + k, "hot") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_groups(d, salts=4).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute_exact(rows)
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(d).collect()) == sorted({r[1] for r in brute_exact(rows)})
+
+
+def test_rows_repeated_whole_leave_one(spark):
+    assert exact_dedup.drop_exact_copies(odd_docs(spark)).where("text = 'the the the the the the'").count() == 1
+
+
+# ---- 10
+
+
+def test_bpe_is_the_library(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    path = queries.word_bpe_path()
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    rng = random.Random(7)
+    odd = ["Σ", "ς", "İ", "ß", "é", "日本", "²", "😀", "'s", "'LL", "<|endoftext|>", "</w>", "\x85", "​", "!!", "A", " ", "\n", "가"]
+    rows = [(k, "".join(rng.choice(odd) if rng.random() < 0.5 else rng.choice("abcdefg hij") for _ in range(30))) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {r.doc_id: list(r.ids) for r in bpe.encode(d, path).collect()}
+    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(d, path), path).collect()}
+    for k, text in rows:
+        want = t.encode(text, add_special_tokens=False).ids
+        assert ids[k] == want and back[k] == t.decode(want, skip_special_tokens=False)
+    for r in bpe.encode_digests(docs, path).collect():
+        want = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+# ---- all
+
+
+BENCH = "item_id long, text string"
+RUN = {
+    "shards": lambda s, d: sharding.kd_shards(d, shards=3),
+    "lm": lambda s, d: lm.lm_scores(d),
+    "quality": lambda s, d: quality.score(d, quality.train(d, s.createDataFrame([(1, 1), (2, 0), (4, None)], "doc_id long, quality int"))),
+    "decontaminate": lambda s, d: decontaminate.decontaminate(d, s.createDataFrame([(1, "the the the the the the the the the")], BENCH)),
+    "near": lambda s, d: near_dedup.near_classes(d),
+    "repeats": lambda s, d: suffix_dedup.remove_repeats(d),
+    "exact": lambda s, d: exact_dedup.exact_groups(d),
+    "bpe": lambda s, d: bpe.encode_digests(d, queries.word_bpe_path()),
+}
+
+
+@pytest.mark.parametrize("name", RUN)
+def test_odd_rows_all_come_back(spark, name):
+    d = odd_docs(spark)
+    assert RUN[name](spark, d).count() == d.count()
+
+
+@pytest.mark.parametrize("name", RUN)
+def test_empty_table(spark, name):
+    assert RUN[name](spark, no_docs(spark)).count() == 0
+
+
+def test_secrets_on_odd_rows(spark):
+    assert secrets.scan(odd_docs(spark)).count() == 2
+    assert secrets.scan(no_docs(spark)).count() == 0
+
+
+def test_pages_edge_cases(spark):
+    assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text string, host string")).count() == 0
