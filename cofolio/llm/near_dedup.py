@@ -10,9 +10,9 @@ decides. Classes are the connected components of the accepted pairs.
 3. A pair of similarity s shares at least s of either text's weight. So texts whose
    shared shingles weigh less than s of the whole can't have a partner and leave here, without loss.
 4. The rest is sampled and banded. Buckets of up to ``SMALL`` texts are compared in full; in larger ones
-   the smallest text is compared with the others, then the smallest not yet compared, and
-   so on until the bucket's texts are one component (or all have been compared): no group is expanded
-   into all its pairs, and no link between components is lost.
+   the smallest text is compared with the others, and then each text that isn't in the component of most of them
+   with all texts of such buckets, in chunks. So a group of copies is not expanded into all
+   its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_count, block_of, components, found_in, pack, pack32, shard_bits, unpack, unpack32
@@ -32,6 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 is missed with probability (1 - 0.8^3)^14, 4e-5.
 BANDS, ROWS = 14, 3
 SMALL = 12
+#: Texts of a large component that a task compares others with.
+CHUNK = 512
 #: Shingle hashes keep so many bits: a wrong match among n shingles has a chance of n / 2^48.
 HASH_BITS = 48
 
@@ -210,30 +212,75 @@ def _verified(pairs: DataFrame, sketches: DataFrame, total: int, similarity: flo
     return both.mapInArrow(run, f"a {kind}, b {kind}, good boolean").where("good").select("a", "b")
 
 
-def _links(sketches: DataFrame, total: int, similarity: float, kind: str) -> DataFrame:
+def _against_members(left: pa.Table, right: pa.Table, total: int, similarity: float) -> tuple[list, list]:
+    """Accepted pairs of texts ``right`` with a chunk of members ``left`` of another component, the smallest member of each component."""
+    read = lambda t: list(zip(*(t.column(c).to_pylist() for c in ("rep", "root", "total", "h", "tf", "df")), strict=True))
+    members = sorted(read(left))
+    hs = [unpack(m[3]) for m in members]
+    weight = np.concatenate([unpack32(m[4]) * _idf(total, unpack32(m[5]).astype(np.float64)) for m in members] or [np.zeros(0)])
+    of = np.repeat(np.arange(len(members)), [len(h) for h in hs])
+    h = np.concatenate(hs or [np.zeros(0, np.uint64)])
+    order = np.argsort(h, kind="stable")
+    h, of, weight = h[order], of[order], weight[order]
+    sums = np.array([m[2] for m in members])
+    a, b = [], []
+    for rep, root, own_sum, own, tf, df in read(right):
+        own = unpack(own)
+        own_w = unpack32(tf) * _idf(total, unpack32(df).astype(np.float64))
+        begin, end = np.searchsorted(h, own), np.searchsorted(h, own, "right")
+        n = end - begin
+        where = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        low = np.bincount(of[where], np.minimum(np.repeat(own_w, n), weight[where]), minlength=len(members))
+        roots = {root}
+        for k in np.flatnonzero(low >= ((similarity - 1e-9) * (own_sum + sums - low))):
+            if members[k][1] not in roots:
+                roots.add(members[k][1])
+                a.append(min(rep, members[k][0]))
+                b.append(max(rep, members[k][0]))
+    return a, b
+
+
+def _links(sketches: DataFrame, total: int, similarity: float, kind: str, id_type: pa.DataType) -> DataFrame:
     """Accepted pairs that connect every component there is among the candidates."""
+    bucket = ["band", "key"]
     keyed = sketches.select("rep", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
-    members = cut(keyed.join(sizes, ["band", "key"]), "near-members")
-    few = members.where(F.col("n") <= SMALL).select("band", "key", "rep")
-    pairs = few.alias("x").join(few.alias("y"), ["band", "key"]).where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    star = members.where((F.col("n") > SMALL) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
+    members = cut(keyed.join(sizes, bucket), "near-members")
+    few = members.where(F.col("n") <= SMALL).select(*bucket, "rep")
+    pairs = few.alias("x").join(few.alias("y"), bucket).where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    large = members.where((F.col("n") > SMALL) & (F.col("rep") != F.col("pivot")))
+    star = large.where("band = 0").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     links = cut(_verified(pairs.unionByName(star).distinct(), sketches, total, similarity, kind), "near-links")
-    large = cut(members.where(F.col("n") > SMALL).select("band", "key", "rep", F.col("pivot").alias("done")), "near-large")
     if large.isEmpty():
         return links
-    while True:  # larger buckets whose texts aren't one component yet
-        roots = components(links, cut)
-        placed = large.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-        open_ = placed.groupBy("band", "key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("rep") > F.col("done"), F.struct("rep", "root"))).alias("next")
-        ).where("low < high and next is not null")
-        open_ = cut(open_.select("band", "key", F.col("next.rep").alias("pivot"), F.col("next.root").alias("own")), "near-open")
-        if open_.isEmpty():
-            return links
-        fresh = placed.join(open_, ["band", "key"]).where("rep > pivot and root <> own").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        links = cut(links.unionByName(_verified(fresh, sketches, total, similarity, kind)).distinct(), "near-links")
-        large = cut(large.join(open_, ["band", "key"]).select("band", "key", "rep", F.col("pivot").alias("done")), "near-large")
+
+    def placed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(roots.select(F.col("node").alias(name), F.col("root").alias(name + "_root")), name, "left").withColumn(name + "_root", F.coalesce(name + "_root", name))
+
+    # the other bands' pivots, for texts that aren't in the pivot's component by now
+    roots = cut(components(links, cut), "near-roots")
+    apart = placed(placed(large.where("band > 0"), "rep"), "pivot").where("rep_root <> pivot_root")
+    star = apart.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    links = cut(links.unionByName(_verified(star, sketches, total, similarity, kind)), "near-links")
+    # texts outside the component that most of a large bucket is in are compared with all texts of such buckets
+    roots = cut(components(links, cut), "near-roots")
+    every = placed(members.where(F.col("n") > SMALL).select(*bucket, "rep"), "rep").withColumnRenamed("rep_root", "root")
+    count = every.groupBy(*bucket, "root").agg(F.count("*").alias("c"))
+    main = count.groupBy(*bucket).agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    every = cut(every.join(main, bucket).select("main", "rep", "root").distinct(), "near-rest")
+    chunks = every.groupBy("main").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    vectors = sketches.select("rep", "total", "h", "tf", "df")
+    sized = every.join(chunks, "main")
+    left = sized.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).join(vectors, "rep").drop("chunks")
+    right = sized.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(vectors, "rep").drop("chunks")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # names of its own, apart from the left's
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = _against_members(a, b, total, similarity) if a.num_rows and b.num_rows else ([], [])
+        return pa.table({"a": pa.array(x, id_type), "b": pa.array(y, id_type)})
+
+    more = left.groupBy("main", "chunk").cogroup(right.groupBy("main", "chunk")).applyInArrow(compare, f"a {kind}, b {kind}")
+    return cut(links.unionByName(more), "near-links").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -267,7 +314,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _sketch(size, similarity, id_type), f"rep {kind}, total double, h binary, tf binary, df binary, bands array<long>"
     )
     sketches = cut(sketches, "near-sketches")
-    links = _links(sketches, size, similarity, kind)
+    links = _links(sketches, size, similarity, kind, id_type)
     roots = components(links, cut)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     classes = (
