@@ -535,9 +535,9 @@ def f14_split_names(s, d):
     return S.table(s, d, "part").select("p_brand", F.explode(fn.split_names(listed)).alias("name")).groupBy("p_brand", "name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT vec_id, i, x FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(list_transform(embedding::DOUBLE[], lambda v: round(v, 3))) AS x FROM embeddings)")
+@query("SELECT vec_id, i, x FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(list_transform(embedding::DOUBLE[], lambda v: round(v, 3) + 0.0)) AS x FROM embeddings)")
 def f2_quantised(s, d):
-    return S.item_model(s, d).select(F.col("item_id").alias("vec_id"), F.posexplode(F.transform("q", lambda x: fn.quantise(x, 3))).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), "x")
+    return S.item_model(s, d).select(F.col("item_id").alias("vec_id"), F.posexplode(F.transform("q", lambda x: fn.quantise(x, 3) + F.lit(0.0))).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), "x")
 
 
 _TITLES = """, t AS (SELECT p_partkey AS item_id, lower(p_name) AS title FROM part)"""
