@@ -429,15 +429,15 @@ def _blended(s, d):
     return rec.content_blended(model.select("user_id", "item_id", "score"), rec.content_scores(w, c, model), known)
 
 
-@query(_C + " SELECT user_id, item_id, round(content, 6) AS content FROM cs")
+@query(_C + " SELECT user_id, item_id, round(content, 9) AS content FROM cs")
 def m8_content_scores(s, d):
     model = rec.model_recommend(_watch(s, d), S.item_model(s, d), 50)
-    return rec.content_scores(_watch(s, d), S.content(s, d), model).select("user_id", "item_id", _r("content"))
+    return rec.content_scores(_watch(s, d), S.content(s, d), model).select("user_id", "item_id", _r("content", 9))
 
 
-@query(_C + " SELECT user_id, item_id, round(score, 6) AS score, round(content, 6) AS content, round(blended, 6) AS blended FROM bl")
+@query(_C + " SELECT user_id, item_id, round(score, 9) AS score, round(content, 9) AS content, round(blended, 9) AS blended FROM bl")
 def a17_content_blend(s, d):
-    return _blended(s, d).select("user_id", "item_id", _r("score"), _r("content"), _r("blended"))
+    return _blended(s, d).select("user_id", "item_id", _r("score", 9), _r("content", 9), _r("blended", 9))
 
 
 @query(_G + " SELECT user_id, item_id, support FROM g WHERE item_id % 7 <> 0 AND (user_id % 2 = 0 OR item_id % 3 = 0)")
@@ -821,7 +821,7 @@ def s17_wrapped_json(s, d):
     return readers.wrapped_json(S.table(s, d, "events").select(F.col("event_id").alias("user_id"), text.alias("text")), "DATA:", "struct<k: bigint>").select("user_id", F.col("value.k").alias("k"))
 
 
-@query(S.sql("entries r2 watch", "SELECT CAST(user_id AS VARCHAR) AS name, 'hybrid' AS mode, 1.0 AS blend, item_id, 3.0 AS weight FROM watch WHERE item_id IN (SELECT p_partkey FROM part) AND user_id % 4 <> 0"))
+@query(S.sql("entries r2 watch", "SELECT CAST(user_id AS VARCHAR) AS name, 'hybrid' AS mode, CAST(1 AS DOUBLE) AS blend, item_id, CAST(3 AS DOUBLE) AS weight FROM watch WHERE item_id IN (SELECT p_partkey FROM part) AND user_id % 4 <> 0"))
 def p11_saved_states(s, d):
     w = _watch(s, d).groupBy("user_id").agg(F.collect_list(F.struct(F.concat(F.lit("anime:"), F.col("item_id").cast("string")).alias("nodeId"), F.lit(9.0).alias("weight"))).alias("selected"))
     version = F.when(F.col("user_id") % 4 == 0, 8).otherwise(3)
