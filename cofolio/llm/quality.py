@@ -22,6 +22,8 @@ WORDS = 64
 CLASSES = 7
 WIDTH = CLASSES * CLASSES + 5
 HIDDEN, GATE = 16, 8
+#: Bytes of text encoded together.
+PIECE = 1 << 19
 
 
 def _byte_classes() -> np.ndarray:
@@ -146,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, end, data, offsets in pieces(b.column(1)):
+            for at, end, data, offsets in pieces(b.column(1), PIECE):
                 x, first = encode_passages(data, offsets)
                 bags = [x[i:j].tobytes() for i, j in zip(first, [*first[1:], len(x)], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at).cast(pa.string()), b.column(2).slice(at, end - at), pa.array(bags, pa.binary())], ["id", "label", "bag"])
@@ -170,7 +172,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, end, data, offsets in pieces(b.column(1)):
+            for at, end, data, offsets in pieces(b.column(1), PIECE):
                 got = model.scores(*encode_passages(data, offsets))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(np.asarray(got, np.float64))], [id_col, "score"])
 
@@ -179,13 +181,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
-    columns, place = docs.columns, docs.columns.index(text_col)
+    @F.arrow_udf("double")
+    def good(texts: pa.Array) -> pa.Array:
+        found = [model.scores(*encode_passages(data, offsets)) for _, _, data, offsets in pieces(texts, PIECE)]
+        return pa.array(np.concatenate(found or [np.zeros(0)]).astype(np.float64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.array([(t or "") + "\n" for t in b.column(place).to_pylist()], pa.string())
-            for at, end, data, offsets in pieces(texts):
-                good = model.scores(*encode_passages(data, offsets)) >= threshold
-                yield b.slice(at, end - at).filter(pa.array(good))
-
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, docs.schema)
+    return docs.where(good(F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"))) >= threshold)
