@@ -117,13 +117,17 @@ def _send(bits: int):
         block = (left if left.num_rows else right).column("block")[0].as_py()
         hs, ns = [], []
         for ids, h, _, first in _weighted(left, copies):
-            n = np.repeat([copies[i] for i in ids], np.diff(np.append(first, len(h))))
             hs.append(h)
-            ns.append(n)
+            ns.append(np.repeat(np.array([copies[i] for i in ids], np.int64), np.diff(np.append(first, len(h)))))
         h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-        n = np.concatenate(ns).astype(np.int64) if ns else np.zeros(0, np.int64)
-        h, inverse, texts = np.unique(h, return_inverse=True, return_counts=True)
-        docs = np.bincount(inverse, n, minlength=len(h)).astype(np.int64)
+        n = np.concatenate(ns) if ns else np.zeros(0, np.int64)
+        del hs, ns
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        del order
+        begin = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        texts, docs = np.diff(np.append(begin, len(h))), np.add.reduceat(n, begin) if len(h) else n
+        h = h[begin]
         shard = (h >> np.uint64(HASH_BITS - bits)).astype(np.int64)
         cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
         rows = [(s, block, pack(h[i:j]), pack32(np.minimum(texts[i:j], 2)), pack32(docs[i:j])) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]

@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together (one longer text is a piece of its own).
-PIECE = 1 << 21
+PIECE = (1 << 20) - 2
+#: Powers that a worker keeps; longer series, for longer texts, are made when they are needed.
+_KEPT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BLANK = np.zeros(256, bool)
@@ -47,28 +49,34 @@ def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.nd
         at = end
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+def _series(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-    return run(_BASE), run(_INVERSE)
+
+@lru_cache(2)
+def _kept(base: int) -> np.ndarray:
+    return _series(base, _KEPT)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    return _kept(base)[:n] if n <= _KEPT else _series(base, n)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base of the rolling hash and of its inverse."""
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size)
-    return up[:n], down[:n]
+    return _power(_BASE, n), _power(_INVERSE, n)
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """H with one place more than data; a stretch [i, j) hashes to (H[j] - H[i]) * inverse^i."""
-    up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=out[1:])
+    terms = out[1:]
+    terms[:] = data
+    terms += np.uint64(1)
+    terms *= _power(_BASE, len(data))
+    np.cumsum(terms, out=terms)
     return out
 
 
@@ -93,7 +101,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     h = prefix_hash(data)
-    return mix((h[ends] - h[starts]) * powers(len(data) + 1)[1][starts])
+    return mix((h[ends] - h[starts]) * _power(_INVERSE, len(data) + 1)[starts])
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
