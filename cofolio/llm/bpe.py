@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words whose encodings a worker remembers; beyond that it begins anew (nothing but time is lost).
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 NEVER = 1 << 60
 #: Bytes of text whose distinct words share one trie.
 PIECE = 2_000_000
