@@ -21,7 +21,7 @@ CREDENTIAL = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|priv
 PLACEHOLDER = r"(?:example|sample|dummy|test|placeholder|xxxx|changeme)"
 #: A word is in the dictionary when so many documents have it.
 DICTIONARY_DOCS = 20
-#: Labelled findings that a forest is fitted on at most, those of smallest hash.
+#: Distinct labelled feature vectors that a forest is fitted on at most.
 TRAIN_FINDINGS = 4000
 FEATURES = ["length", "digits", "uppers", "signs", "transitions", "variety", "covered", "at_sign", "dots", "slashes", "path_hash", "assigned", "quoted", "credential", "placeholder", "after_quote"]
 
@@ -80,15 +80,27 @@ def distant_label() -> Column:
 
 
 def train(labelled: DataFrame, label_col: str = "label", limit: int = TRAIN_FINDINGS, trees: int = 40, depth: int = 6) -> RandomForestClassificationModel | float:
-    """A forest fitted on at most ``limit`` rows of ``labelled`` (features and a label, null labels left out);
-    where they don't have both labels, the share of label 1 instead (1.0 without any: nothing is then removed)."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(*FEATURES, F.col(label_col).cast("double").alias("label"))
-    rows = cut(rows.orderBy(F.xxhash64(*FEATURES), *FEATURES, "label").limit(limit), "secret-sample")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    if len(counts) < 2:
-        return next(iter(counts), 1.0)
+    """A forest fitted on at most ``limit`` distinct rows of ``labelled`` (features and a label 0 or 1, null labels left out);
+    where all its labels are equal, that label instead (1.0 without any: nothing is then removed).
+
+    Copies count once: a feature vector weighs 1, shared by its labels as its copies are, so no hot vector pushes others out.
+    A label has half of the places, and those that the other leaves free; beyond that, the vectors of smallest hash are taken.
+    """
+    rows = labelled.where(F.col(label_col).isNotNull()).withColumn("__one", F.col(label_col).cast("double"))
+    vectors = cut(rows.groupBy(*FEATURES).agg(F.avg("__one").alias("__share")), "secret-vectors")
+    sides = {1.0: F.col("__share"), 0.0: 1 - F.col("__share")}
+    sizes = vectors.agg(*[F.count_if(w > 0).alias(f"n{label:.0f}") for label, w in sides.items()]).first()
+    n = {1.0: sizes.n1, 0.0: sizes.n0}
+    if not (n[0.0] and n[1.0]):
+        return 0.0 if n[0.0] else 1.0
+    places = {label: max(limit // 2, limit - n[1.0 - label]) for label in n}
+    picked = [
+        vectors.where(w > 0).select(*FEATURES, F.lit(label).alias("label"), w.alias("weight")).orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(places[label])
+        for label, w in sides.items()
+    ]
+    rows = cut(picked[0].unionByName(picked[1]), "secret-sample")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=5, labelCol="label", featuresCol="features").fit(ready)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=5, labelCol="label", featuresCol="features", weightCol="weight").fit(ready)
 
 
 def score(found: DataFrame, model: RandomForestClassificationModel | float) -> DataFrame:

@@ -330,6 +330,21 @@ def test_forest_from_labelled_findings(spark):
     assert len(new) >= 60 and all(r.is_secret == (r.doc_id % 3 == 0) for r in new)
 
 
+def test_hot_vectors_leave_room_for_the_others(spark):
+    rows = [(*[float(v)] * len(secrets.FEATURES), 0) for v in (1, 2, 3) for _ in range(200)] + [(*[float(v)] * len(secrets.FEATURES), 1) for v in range(50, 56)]
+    labelled = spark.createDataFrame(rows, [*secrets.FEATURES, "label"])
+    scored = secrets.score(labelled, secrets.train(labelled, limit=20)).select("label", "score").distinct().collect()
+    assert all((r.score >= 0.5) == (r.label == 1) for r in scored)
+    assert secrets.train(labelled.where("label = 0"), limit=20) == 0.0 and secrets.train(labelled.where("label = 1"), limit=2) == 1.0
+
+
+def test_rare_label_keeps_its_places(spark):
+    rows = [(*[float(v)] * len(secrets.FEATURES), int(v >= 2000)) for v in range(2005)]
+    labelled = spark.createDataFrame(rows, [*secrets.FEATURES, "label"])
+    scored = secrets.score(labelled, secrets.train(labelled, limit=20))
+    assert scored.where("label = 1 and score < 0.5").count() == 0 and scored.where("label = 0 and score >= 0.5").count() < 300
+
+
 # ---- 9
 
 
