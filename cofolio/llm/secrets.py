@@ -1,6 +1,7 @@
 """Operator 8: secret scans with a random forest that removes false positives.
 
-Candidates are runs of key-like characters with a digit. A random forest judges each from its length,
+Candidates are values assigned to credential words, of any length and alphabet, passwords before a host, private key
+blocks, and other runs of key-like characters: with a digit, or letters only. A random forest judges each from its length,
 character transitions, the part of it that dictionary words cover, its path (the document's source and the
 candidate's own separators) and the neighbouring words; it is trained from labelled findings. All
 of it is DataFrame functions and Spark's own forest.
@@ -16,8 +17,31 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_.@:=-])(?=[A-Za-z+/_.@:=-]*[0-9])[A-Za-z0-9+/_.@:=-]{12,}"
-CREDENTIAL = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+CREDENTIAL = r"(?:token|secret(?!ar)|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?!or(?!i)))"
+
+# The pattern is one for Java and Python: ASCII classes, lookbehinds of fixed width, no group but that of the value.
+_C, _L, _REST = "A-Za-z0-9+/_.@-", "A-Za-z+/_-", r"\x00-\x20\"'`"
+#: Not after an assignment sign, blanks and a quote: what is assigned is taken whole instead.
+_FREE = "".join(f"(?<!{sign}{blanks}{quote})" for sign in ("[=:]", "=>") for blanks in ("", *("[ \\t]" * k for k in (1, 2, 3))) for quote in ("", "[\"']"))
+#: Key-like runs with a digit; runs of letters from both halves of the alphabet, long or of mixed case.
+_DIGITS = f"(?=[A-Za-z+/_.@-]*[0-9])[{_C}]{{12,}}"
+_LETTERS = f"(?<![^\\x00-\\x7f])(?=[{_L}]*[A-Ma-m])(?=[{_L}]*[N-Zn-z])(?:[{_L}]{{20,}}|(?=[{_L}]*[a-z+/_-][A-Z])[{_L}]{{12,}})(?![0-9.@]|[^\\x00-\\x7f])"
+_RUN = f"(?:(?=//)|{_FREE})(?:{_DIGITS}|{_LETTERS})(?:={{1,2}}(?![=\"'{_C}]))?"
+_KEY_BLOCK = "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]{1,20000}-----END [A-Z0-9 ]{0,60}-----)?"
+_AT_HOST = "(?=@[A-Za-z0-9-]+[.:/])"
+_BEFORE = "|".join([
+    f"(?={_KEY_BLOCK})",
+    f"(?<![{_C}])[{_C}]*?(?i:{CREDENTIAL})[A-Za-z0-9_-]{{0,64}}[\"']?[ \\t]{{0,3}}(?:=>|:=|[=:]{{1,2}})[ \\t]{{0,3}}[\"']?",  # credential word
+    f"(?<![{_C}])(?:[A-Za-z][A-Za-z0-9+.-]{{0,30}}://)?[^{_REST}:/@]{{0,100}}:(?=[^{_REST}@/]{{1,256}}{_AT_HOST})",  # user:password@host
+    f"(?:=>|[=:])[ \\t]{{0,3}}[\"']?(?!//)(?={_DIGITS}|{_LETTERS})",  # any other name
+    f"(?<![{_C}])(?=[{_C}]{{12}})(?={_RUN})",  # the length first, as it rules out most words
+])
+_VALUE = "|".join([
+    _KEY_BLOCK, _RUN, f"(?<=:)[^{_REST}@/]{{1,256}}{_AT_HOST}",
+    "(?<=\")[^\"\\r\\n]{1,4096}(?=\")", "(?<=')[^'\\r\\n]{1,4096}(?=')", f"[^{_REST}]*[^{_REST},;.)\\]}}>]",
+])
+CANDIDATE = f"(?:{_BEFORE})({_VALUE})"
+_MARK = "\x01"
 PLACEHOLDER = r"(?:example|sample|dummy|test|placeholder|xxxx|changeme)"
 #: A word is in the dictionary when so many documents have it.
 DICTIONARY_DOCS = 20
@@ -30,10 +54,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col, place, value, before, after, path``: every candidate of every text, ``place`` counting from 0 in its text;
     ``before`` and ``after`` are up to 80 and 40 characters beside it. Null texts have none; a null or missing path is empty."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__t"), path.alias("path")).where(F.col("__t").rlike(CANDIDATE))
-    parts = rows.select(
-        id_col, "path", F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0)).alias("value"), F.split("__t", CANDIDATE, -1).alias("__between")
-    )
+    text = F.translate(F.col(text_col), _MARK, "\x02")
+    rows = docs.select(F.col(id_col), text.alias("__t"), path.alias("path")).where(F.col("__t").rlike(CANDIDATE))
+    between = F.split(F.regexp_replace("__t", f"({_BEFORE})(?:{_VALUE})", f"$1{_MARK}"), _MARK, -1)
+    parts = rows.select(id_col, "path", F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(1)).alias("value"), between.alias("__between"))
     after = F.slice("__between", 2, F.greatest(F.size("__between") - 1, F.lit(0)))
     found = parts.select(id_col, "path", F.posexplode(F.arrays_zip("value", F.col("__between").alias("b"), after.alias("a"))).alias("place", "__x"))
     return found.where("__x.value is not null").select(
@@ -63,7 +87,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "covered": F.coalesce(F.col("__letters"), F.lit(0)) / size,
         "at_sign": flag(F.col("value").contains("@")), "dots": share("[.]"), "slashes": share("/"),
         "path_hash": F.pmod(F.xxhash64("path"), F.lit(32)).cast("double"),
-        "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?\z")), "quoted": flag(F.col("before").rlike(r"[\"']\z")),
+        "assigned": flag(F.col("before").rlike(r"(?:[=:]|=>)\s*[\"']?\z") & ~F.col("value").startswith("//")), "quoted": flag(F.col("before").rlike(r"[\"']\z")),
         "credential": flag(F.lower(near).rlike(CREDENTIAL)), "placeholder": flag(F.lower(F.concat("before", F.lit(" "), "after")).rlike(PLACEHOLDER)),
         "after_quote": flag(F.col("after").rlike(r"\A[\"']")),
     }
@@ -73,9 +97,13 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def distant_label() -> Column:
     """A label where the surroundings or the form leave no doubt, else null: values assigned in quotes to
-    a credential word are secrets; mail addresses, dotted and all-digit numbers aren't."""
-    assigned = F.lower("before").rlike(CREDENTIAL + r"[\w-]*\s*[=:]\s*[\"']\z") & F.col("after").rlike(r"\A[\"']")
+    a credential word are secrets, if they aren't placeholders or sentences; mail addresses, dotted and all-digit numbers,
+    and lower-case words outside assignments (mostly dictionary words, where in several parts) aren't."""
+    assigned = F.lower("before").rlike(CREDENTIAL + r"[\w-]*[\"']?\s*(?:[=:]|=>)\s*[\"']\z") & F.col("after").rlike(r"\A[\"']")
+    assigned &= ~F.col("value").rlike(r"\s") & ~F.lower("value").rlike(PLACEHOLDER)
     plain = F.col("value").rlike(r"@|^[0-9.:-]+$")
+    word = F.col("value").rlike("^[A-Z]?[a-z]+$") | (F.col("value").rlike("^[a-z/_-]+$") & (F.col("covered") >= 0.5))
+    plain |= word & (F.col("assigned") == 0) & (F.col("quoted") == 0)
     return F.when(assigned & ~plain, F.lit(1)).when(plain & ~assigned, F.lit(0))
 
 

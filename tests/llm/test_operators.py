@@ -345,6 +345,38 @@ def test_rare_label_keeps_its_places(spark):
     assert scored.where("label = 1 and score < 0.5").count() == 0 and scored.where("label = 0 and score >= 0.5").count() < 300
 
 
+FOUND = [
+    ("API_KEY=a1b2c3d4e5f6a7b8 x", "API_KEY=", "a1b2c3d4e5f6a7b8"),
+    ("MY_DB2_PASSWORD=pa!ss$w%rd#1, x", "MY_DB2_PASSWORD=", "pa!ss$w%rd#1"),
+    ('password = "hunter" x', 'password = "', "hunter"),
+    ("{'token' => 'abcdefgh12345!%x'}", "{'token' => '", "abcdefgh12345!%x"),
+    ('passwd: "correct horse battery" x', 'passwd: "', "correct horse battery"),
+    ("see postgres://joe:s3cr!t@db.example/x", "see postgres://joe:", "s3cr!t"),
+    ("use kQzXwPbnVtRmLsYd now", "use ", "kQzXwPbnVtRmLsYd"),
+    ("use qpwxnvkzjrtmbhgyfdlc now", "use ", "qpwxnvkzjrtmbhgyfdlc"),
+    ("a -----BEGIN RSA PRIVATE KEY-----\nAb+/\n-----END RSA PRIVATE KEY----- b", "a ", "-----BEGIN RSA PRIVATE KEY-----\nAb+/\n-----END RSA PRIVATE KEY-----"),
+    ("a -----BEGIN PRIVATE KEY----- b", "a ", "-----BEGIN PRIVATE KEY-----"),
+    ("OTHER_NAME_12=a1b2c3d4e5f6! x", "=", "a1b2c3d4e5f6!"),
+    ("get https://host.example/a1b2c3 x", "get https:", "//host.example/a1b2c3"),
+    ("mail jo.e1@mail.example.com x", "mail ", "jo.e1@mail.example.com"),
+]
+
+
+def test_candidates_of_every_form(spark):
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(FOUND)], "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in secrets.candidates(docs).collect():
+        got[r.doc_id].append((r.before, r.value))
+    assert all(re.findall(secrets.CANDIDATE, t) == [v for _, v in got[k]] for k, (t, _, _) in enumerate(FOUND))
+    assert {k: got[k][-1] for k in got} == {k: (b, v) for k, (_, b, v) in enumerate(FOUND)}
+
+
+def test_names_of_assigned_values_are_features(spark):
+    docs = spark.createDataFrame([(1, "export API_KEY=a1b2c3d4e5f6a7b8")], "doc_id long, text string")
+    r = secrets.with_features(secrets.candidates(docs), secrets.dictionary(docs)).first()
+    assert r.assigned == r.credential == 1.0
+
+
 # ---- 9
 
 
