@@ -1,9 +1,9 @@
 """Operator 4: main text of HTML pages by site template removal.
 
 Each page becomes an element tree; element subtrees are hashed and Spark counts, for each host, on how many
-pages a subtree occurs. Subtrees that recur on many pages of their host are the site's template and go,
-with elements that announce themselves as furniture (navigation, footers, adverts, forms ...).
-What is left of the page's article is its text.
+different pages a subtree occurs. Subtrees that recur are the site's template and go, in articles too. What differs
+from page to page though it isn't the article (adverts, comments, teasers) can't recur; it goes where its element or its
+class says what it is, which also decides on hosts of few pages. What is left of the page's articles is its text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,90 +19,161 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
-#: A subtree is template when it occurs on so many pages of the host and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.5
-#: Template rows up to this number are broadcast (some 50 bytes a row); more are joined by a shuffle.
+#: A subtree is template when it occurs on so many different pages of the host and on this share of them.
+MIN_PAGES, MIN_SHARE = 5, 0.02
+#: Templates up to this number (some 100 bytes each) are sent to all tasks; more are joined by shuffles.
 BROADCAST_ROWS = 200_000
+#: Parts that the pages of one template are dealt to in that join.
+SALTS = 32
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role|itemprop|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_UNQUOTED = re.compile(r"[^>\"']*")
+_ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template xmp iframe svg math".split())
+#: Elements whose content is text up to their end tag.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in "script style textarea title xmp iframe noembed noframes".split()}
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES_P = _BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-_GONE = frozenset("head script style noscript template iframe svg math nav footer aside form button select option textarea menu dialog object canvas title input".split())
-#: Text blocks in an article, which count as content however often they recur.
-_CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li b i em strong span a code td tr tbody table figure figcaption dl dt dd".split())
+_ONE_OF_A_ROW = frozenset("li dd dt td th tr option".split())
+_GONE = frozenset(
+    "head script style noscript template iframe svg math nav footer aside form button select option textarea menu dialog object canvas title input audio video noembed noframes".split()
+)
+#: Text blocks and their parts, which are an article's content however often they recur.
+_CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ol b i em strong span a code td th tr tbody thead tfoot table caption figure figcaption dl dt dd summary".split())
 #: Parts of a sentence, which never go on their own.
 _INLINE = frozenset("a abbr b cite code em i kbd mark q s small span strong sub sup u br wbr img".split())
-_FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|sidebar\w*|footer\w*|header|masthead|breadcrumbs?|"
-    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w+|share|sharing|social|comments?|disqus|replies|respond|related|"
-    r"recommend\w*|widget\w*|toolbar|pagination|pager|skip|search\w*|login|signup)(?:$|[\s_-])", re.I,
+#: Words by which a class or id names furniture, and words that only say where it is or what shape it has.
+_FURNITURE = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus submenu "
+    "sidebar sidebars footer footers masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter newsletters subscribe "
+    "subscription share sharing social comment comments commentlist disqus replies respond related recommended recommendations widget widgets toolbar pagination pager "
+    "search searchbox login signup".split()
+)
+_SHAPE = frozenset(
+    "site page global main top bottom left right side header head bar box block blocks wrap wrapper container inner outer section area region slot unit zone panel list lists "
+    "item items link links button buttons icon icons form field group row column col posts articles stories thread body title text primary secondary mobile desktop".split()
 )
+_AROUND = frozenset("header head top title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_SPACE = re.compile(r"\s+")
+
+
+def _says_furniture(names: str, in_article: bool) -> bool:
+    """Whether one of the names consists of words for furniture and shapes only ('share-price' or 'with-sidebar' don't), or
+    names a header outside the article."""
+    for name in names.lower().split():
+        parts = set(re.split(r"[-_]+", name)) - {""}
+        if parts & _FURNITURE and parts <= _FURNITURE | _SHAPE:
+            return True
+        if not in_article and "header" in parts and parts <= _SHAPE:
+            return True
+    return False
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "inside", "hash", "size")
+    __slots__ = ("tag", "attrs", "inside", "hash", "holds")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.inside = tag, attrs, []
-        self.hash = self.size = 0
+        self.hash, self.holds = 0, False
+
+    def attributes(self) -> Iterator[tuple[str, str]]:
+        for name, *values in _ATTR.findall(self.attrs) if self.attrs else ():
+            yield name.lower(), "".join(values)
 
     def furniture(self, in_article: bool) -> bool:
-        if self.tag in _GONE or self.tag == "header" and not in_article:
+        """Whether the element or its attributes say that it isn't the article's text. What holds an article is never named away."""
+        if self.tag in _GONE or self.tag == "header" and not in_article and not self.holds:
             return True
-        for name, *values in _ATTR.findall(self.attrs) if self.attrs else ():
-            value, name = "".join(values), name.lower()
-            if name in ("class", "id") and self.tag not in ("html", "body", "main", "article") and _FURNITURE.search(value):
+        for name, value in self.attributes():
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return True
-            if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
+            if self.holds or self.tag in ("html", "body", "main"):
+                continue
+            if name in ("class", "id") and _says_furniture(value, in_article) or name == "role" and value.lower() in _ROLES:
                 return True
         return False
 
 
+def _tag_end(page: str, at: int, closes: dict[str, bool]) -> int:
+    """Where the tag whose attributes begin at ``at`` ends (after its '>'). Quotes hold a '>' only as an attribute's value; one that is
+    never closed doesn't."""
+    while True:
+        stop = _UNQUOTED.match(page, at).end()
+        if stop == len(page):
+            return stop
+        sign = page[stop]
+        if sign == ">":
+            return stop + 1
+        at, before = stop + 1, stop - 1
+        while page[before].isspace():
+            before -= 1
+        if page[before] == "=":
+            if closes[sign] and (end := page.find(sign, at)) >= 0:
+                at = end + 1
+            else:
+                closes[sign] = False
+
+
 def parse(page: str) -> Element:
-    """The element tree; never fails, whatever the markup. Unclosed elements end with their parent."""
+    """The element tree; never fails, whatever the markup, in time linear in the page. Unclosed elements end with their parent."""
     root = Element("")
-    stack, at = [root], 0
+    stack, at, text_from = [root], 0, 0
     open_tags: dict[str, int] = {}
-    while m := _MARKUP.search(page, at):
-        if m.start() > at:
-            stack[-1].inside.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    last_end, closes = page.rfind(">"), {'"': True, "'": True}
+
+    def pop() -> str:
+        tag = stack.pop().tag
+        open_tags[tag] -= 1
+        return tag
+
+    while (lt := page.find("<", at)) >= 0:
+        name, at = _NAME.match(page, lt) if lt < last_end else None, lt + 1
+        if name is None:
+            if not page.startswith("<!--", lt) and (lt > last_end or page[at] not in "!?/"):
+                continue  # a sign of its own
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 2)
+                at = len(page) if end < 0 else end + 3
+            else:
+                at = page.find(">", lt) + 1
+            if text_from < lt:
+                stack[-1].inside.append(page[text_from:lt])
+            text_from = at
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if text_from < lt:
+            stack[-1].inside.append(page[text_from:lt])
+        tag = name[1].lower()
+        at = text_from = _tag_end(page, name.end(), closes)
+        if page[lt + 1] == "/":
             if open_tags.get(tag, 0):
-                while True:
-                    top = stack.pop()
-                    open_tags[top.tag] -= 1
-                    if top.tag == tag:
-                        break
+                while pop() != tag:
+                    pass
             continue
         if tag in _CLOSES_P and open_tags.get("p"):
-            while True:
-                top = stack.pop()
-                open_tags[top.tag] -= 1
-                if top.tag == "p":
-                    break
-        if tag in ("li", "dd", "dt", "td", "th", "tr", "option") and stack[-1].tag == tag:
-            open_tags[stack.pop().tag] -= 1
-        node = Element(tag, m[3])
+            while pop() != "p":
+                pass
+        if tag in _ONE_OF_A_ROW and stack[-1].tag == tag:
+            pop()
+        attrs = page[name.end() : at - 1]
+        node = Element(tag, attrs.strip())
         stack[-1].inside.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in _VOID and not m[3].endswith("/"):
+            end = _RAW[tag].search(page, at)
+            at = text_from = end.end() if end else len(page)
+        elif tag in ("article", "main"):
+            for outer in reversed(stack):  # those inside one that knows know too
+                if outer.holds:
+                    break
+                outer.holds = True
+        if tag not in _VOID and tag not in _RAW and not attrs.endswith("/"):
             stack.append(node)
             open_tags[tag] = open_tags.get(tag, 0) + 1
-    stack[-1].inside.append(page[at:])
+    if text_from < len(page):
+        stack[-1].inside.append(page[text_from:])
     return root
 
 
@@ -127,8 +198,8 @@ def hash_subtrees(root: Element) -> None:
 
 
 def _may_go(node: Element, in_article: bool) -> bool:
-    """Whether recurrence makes an element template: anything around the article, but only containers in it."""
-    if node.tag in ("", "html", "body", "head", "main", "article") or node.tag in _INLINE:
+    """Whether recurrence makes an element template: anything around the article, but only containers in it. Elements without content tell nothing."""
+    if node.tag in ("", "html", "body", "head", "main", "article") or node.tag in _INLINE or node.tag in _VOID or not node.inside or node.holds:
         return False
     return node.tag not in _CONTENT if in_article else True
 
@@ -140,57 +211,61 @@ def template_candidates(page: str) -> list[int]:
     return list({n.hash for n, inside in _walk(root) if _may_go(n, inside)})
 
 
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks in page order, each with single blanks, joined by one blank."""
-    root = parse(page)
-    if template:
-        hash_subtrees(root)
-    gone = lambda n, inside: n.furniture(inside) or bool(template) and _may_go(n, inside) and n.hash in template
-
-    def blocks(top: Element, in_article: bool) -> Iterator[str]:
-        # a stack of what is still to come; None ends a block
-        todo: list = [(top, in_article, True)]
-        held: list[str] = []
-        while todo:
-            x, inside, own = todo.pop() if isinstance(todo[-1], tuple) else (todo.pop(), False, False)
-            if isinstance(x, Element):
-                if not own and gone(x, inside):
-                    continue
-                inner = inside or x.tag == "article"
-                if x.tag in _BLOCK:
-                    todo.append(None)
-                    if held:
-                        yield "".join(held)
-                        held = []
-                todo += [(y, inner, False) if isinstance(y, Element) else y for y in reversed(x.inside)]
-            elif x is None:
-                if held:
-                    yield "".join(held)
-                    held = []
-            else:
-                held.append(x)
+def _texts(top: Element, in_article: bool, gone: Callable[[Element, bool], bool]) -> Iterator[str]:
+    """The blocks' texts in page order."""
+    todo: list = [(top, in_article, True)]  # what is still to come; None ends a block
+    held: list[str] = []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            held.append(x)
+            continue
+        if x is not None:
+            node, inside, own = x
+            if not own and gone(node, inside):
+                continue
+            inner = inside or node.tag == "article"
+            if node.tag in _BLOCK:
+                todo.append(None)
+            todo += [(y, inner, False) if isinstance(y, Element) else y for y in reversed(node.inside)]
+            if node.tag not in _BLOCK:
+                continue
         if held:
             yield "".join(held)
+            held = []
+    if held:
+        yield "".join(held)
 
-    def text(top: Element, in_article: bool) -> str:
-        clean = (_SPACE.sub(" ", html.unescape(b)).strip() for b in blocks(top, in_article))
-        return " ".join(b for b in clean if b)
 
-    articles, main = [], None
-    todo = [(root, False)]
+def _main_text(root: Element, gone: Callable[[Element, bool], bool]) -> str:
+    """All outermost articles in page order; without one, the main element; without that, the page."""
+    articles, mains = [], []
+    todo = [root]
     while todo:
-        node, own = todo.pop()
-        if own and gone(node, False):
+        node = todo.pop()
+        if node is not root and gone(node, False):
             continue
         if node.tag == "article":
             articles.append(node)
             continue
-        if node.tag == "main" or node.attrs and re.search(r"(?:role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b)", node.attrs, re.I):
-            main = main or node
-        todo += [(x, True) for x in reversed(node.inside) if isinstance(x, Element)]
-    if articles:
-        return max((text(a, True) for a in articles), key=len)
-    return text(main or root, False)
+        if node.tag == "main" or any(k == "role" and v.lower() == "main" or k == "itemprop" and v.lower() == "articlebody" for k, v in node.attributes()):
+            mains.append(node)
+        todo += [x for x in reversed(node.inside) if isinstance(x, Element)]
+    chosen = [(a, True) for a in articles] or [(m, False) for m in mains[:1]] or [(root, False)]
+    clean = (_SPACE.sub(" ", html.unescape(b)).strip() for top, inside in chosen for b in _texts(top, inside, gone))
+    return " ".join(b for b in clean if b)
+
+
+def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's blocks in page order, each with single blanks, joined by one blank. A page that consists of template
+    only (copies of one page with small changes) keeps its text."""
+    root = parse(page)
+    if template:
+        hash_subtrees(root)
+        found = _main_text(root, lambda n, inside: n.hash in template and _may_go(n, inside) or n.furniture(inside))
+        if found:
+            return found
+    return _main_text(root, lambda n, inside: n.furniture(inside))
 
 
 def host_of(url: Column) -> Column:
@@ -198,40 +273,63 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, hashes``: each host's recurring subtrees. As each must be on ``min_share`` of the pages, a host has at
-    most 1 / min_share times the elements of its average page. Pages repeated whole count each time."""
+def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, page, hash``: the subtrees of each page that may be template; ``page`` is a hash of its html. A null hash stands for the page itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [template_candidates(p) for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["host", "hashes"])
+            hashes = [[None, *template_candidates(p)] for p in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page", "hashes"])
 
-    hosts = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    # a null hash is the page itself, so one aggregation counts pages and subtrees
-    seen = hosts.mapInArrow(run, "host string, hashes array<long>").select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash"))
-    counted = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull())
+    text = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(text).alias("page"), text.alias("html"))
+    return rows.mapInArrow(run, "host string, page long, hashes array<long>").select("host", "page", F.explode("hashes").alias("hash"))
+
+
+def site_templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host, hash``: the subtrees of ``found`` (as of :func:`subtrees`) that recur on a host. Pages repeated whole count once."""
+    counted = found.groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull())
     counted = cut(counted, "html-subtrees")
     totals = counted.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counted.where("hash is not null").join(totals, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    often = counted.where("hash is not null").join(totals, "host")
+    return often.where(F.col("n") >= F.lit(min_share) * F.col("pages")).select("host", "hash")
+
+
+def _of_pages(found: DataFrame, templates: DataFrame) -> DataFrame:
+    """``host, page, hashes``: the template subtrees of each page. A subtree on all pages of a large host meets its template in ``SALTS`` parts."""
+    salt = F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int").alias("salt")
+    every = templates.select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = found.where("hash is not null").distinct().select("host", "page", "hash", salt).join(every, ["host", "hash", "salt"])
+    return met.groupBy("host", "page").agg(F.collect_list("hash").alias("hashes"))  # at most the elements of one page
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``id_col, url_col, text, n_chars`` for every page.
 
     Null html counts as empty and gives an empty text; null urls form one host; ids may be null or repeat
-    (each row is extracted on its own); other columns are ignored; broken markup never fails.
+    (each row is extracted on its own); other columns are ignored; broken markup never fails; an empty table gives an empty result.
     """
-    templates = cut(site_templates(pages, url_col, html_col, min_pages, min_share), "html-templates")
-    rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.coalesce(F.col(html_col), F.lit("")).alias("__html"), host_of(F.col(url_col)).alias("host"))
-    small = (templates.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(templates) if small else templates, "host", "left").select("__id", "__url", "__html", "hashes")
+    found = subtrees(pages, url_col, html_col)
+    templates = cut(site_templates(found, min_pages, min_share), "html-templates")
+    text = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), text.alias("__html"), host_of(F.col(url_col)).alias("host"))
     kinds = dict(pages.dtypes)
+    by_host = None
+    if templates.count() <= BROADCAST_ROWS:
+        listed: dict[str, set[int]] = {}
+        for r in templates.collect():  # at most BROADCAST_ROWS rows
+            listed.setdefault(r["host"], set()).add(r["hash"])
+        by_host = pages.sparkSession.sparkContext.broadcast(listed)
+        rows = rows.withColumn("hashes", F.lit(None).cast("array<long>"))
+    else:
+        rows = rows.withColumn("page", F.xxhash64("__html")).join(_of_pages(found, templates), ["host", "page"], "left")
+    rows = rows.select("__id", "__url", "__html", "host", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(p, set(t or ())) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            pages_, hosts, own = (b.column(k).to_pylist() for k in (2, 3, 4))
+            of = [by_host.value.get(h, frozenset()) for h in hosts] if by_host else [frozenset(x or ()) for x in own]
+            texts = [main_text(p, t) for p, t in zip(pages_, of, strict=True)]
             n = pa.array(map(len, texts), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), n], [id_col, url_col, "text", "n_chars"])
 
