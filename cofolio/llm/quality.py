@@ -1,9 +1,9 @@
 """Operator 3: quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``WORDS`` words. Each passage is encoded from byte-class pairs and word
-statistics; a small network learns, from document labels alone, the encoding, a gated attention
+A document is a bag of passages of ``WORDS`` words. Each passage is encoded from byte-class pairs, word
+statistics and the shares of its words in ``WORD_DIMS`` hashed classes; a small network learns, from document labels alone, the encoding, a gated attention
 weight for each passage and the class of the weighted sum (Ilse et al. 2018). It is fitted on
-a bounded sample of labelled rows (``train_docs``, a parameter); every whole text is scored in Spark.
+a bounded sample of labelled rows (``train_docs`` and ``train_passages`` of each, parameters); every whole text is scored in Spark.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from .vec import lower_ascii, pieces, word_bounds, word_hashes
 
 WORDS = 64
 CLASSES = 7
-WIDTH = CLASSES * CLASSES + 5
+WORD_DIMS = 64
+WIDTH = CLASSES * CLASSES + WORD_DIMS + 5
 HIDDEN, GATE = 16, 8
 #: Bytes of text encoded together.
 PIECE = 1 << 19
@@ -62,6 +63,8 @@ def encode_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         distinct = np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=n)
         again = np.zeros(len(h))
         again[1:] = (h[1:] == h[:-1]) & (of_word[1:] == of_word[:-1])
+        classes = np.bincount(of_word * WORD_DIMS + (h >> np.uint64(20)).astype(np.int64) % WORD_DIMS, minlength=n * WORD_DIMS)
+        out[:, CLASSES**2 : -5] = classes.reshape(n, -1) / words[:, None]
         out[:, -5] = np.bincount(of_word, ends - starts, minlength=n) / words / 10
         out[:, -4] = distinct / words
         out[:, -3] = np.bincount(of_word, again, minlength=n) / words
@@ -133,8 +136,9 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_docs: int = 4000) -> Model:
-    """Fit on at most ``train_docs`` labelled rows that aren't held out, those of smallest hash of the id.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_docs: int = 4000, train_passages: int = 64) -> Model:
+    """Fit on at most ``train_docs`` labelled rows that aren't held out, those of smallest hash of the id, one row an id (of several
+    texts that of smallest hash), and on at most ``train_passages`` passages of each, evenly spaced.
 
     Null labels and ids are left out; of several labels of an id the largest counts. Without
     rows of both labels the model scores every text alike, by the share of label 1 (1.0 without any label).
@@ -144,16 +148,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
         .orderBy(F.xxhash64("__id"), "__id").limit(train_docs)
     )
-    rows = _texts(docs, id_col, text_col).join(F.broadcast(sample), "__id").select("__id", "__text", "__label")
+    rows = _texts(docs, id_col, text_col).join(F.broadcast(sample), "__id").groupBy("__id")  # at most ``train_docs`` rows of three short columns
+    rows = rows.agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"), F.first("__label").alias("__label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, end, data, offsets in pieces(b.column(1), PIECE):
                 x, first = encode_passages(data, offsets)
-                bags = [x[i:j].tobytes() for i, j in zip(first, [*first[1:], len(x)], strict=True)]
+                spans = zip(first, [*first[1:], len(x)], strict=True)
+                bags = [x[np.unique(np.linspace(i, j - 1, min(j - i, train_passages)).astype(np.int64))].tobytes() for i, j in spans]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at).cast(pa.string()), b.column(2).slice(at, end - at), pa.array(bags, pa.binary())], ["id", "label", "bag"])
 
-    got = rows.mapInArrow(run, "id string, label int, bag binary").collect()  # at most train_docs rows
+    got = rows.mapInArrow(run, "id string, label int, bag binary").collect()  # at most train_docs x train_passages vectors
     got.sort(key=lambda r: (r["id"], r["bag"]))
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in got]
     if not bags:
@@ -180,7 +186,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
+    """The rows of ``docs``, all columns whatever their names, whose score reaches ``threshold``; nulls as in :func:`score`, equal
+    texts go or stay together, an empty table stays empty."""
     @F.arrow_udf("double")
     def good(texts: pa.Array) -> pa.Array:
         found = [model.scores(*encode_passages(data, offsets)) for _, _, data, offsets in pieces(texts, PIECE)]

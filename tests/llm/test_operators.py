@@ -132,6 +132,19 @@ def test_quality_gradient():
     x, first, y = rng.normal(size=(9, quality.WIDTH)), np.array([0, 2, 5]), np.array([1.0, 0.0, 1.0])
     model = quality.fit(x, first, y, epochs=200)
     assert ((model.scores(x, first) > 0.5) == y).all()
+    # attention finds the one telling passage of a bag
+    x, first, y = rng.normal(size=(6000, quality.WIDTH)), np.arange(0, 6000, 6), rng.integers(0, 2, 1000).astype(float)
+    x[first[y == 1] + rng.integers(0, 6, int(y.sum())), 3] += 12
+    model = quality.fit(x[:5400], first[:900], y[:900])
+    assert ((model.scores(x[5400:], first[900:] - 5400) > 0.5) == y[900:]).mean() > 0.75
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 3, f"word{k} " * (64 * 90)) for k in range(60)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, first, label: seen.append((len(x), len(first))))
+    quality.train(docs, spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int"), train_docs=2, train_passages=8)
+    assert seen == [(16, 2)]
 
 
 def test_quality_without_labels(spark, docs):
@@ -151,20 +164,119 @@ def test_article_text(spark, sf):
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want)
 
 
-def test_templates_without_an_article_element(spark):
-    page = "<body><div><p>Site &amp; slogan</p></div><div id=x><p>Story {k} <b>bold</b>ly.</p><p>More {k}</p></div><div class='cookie-notice'>ok?</div><ul><li>Home<li>About</ul></body>"
-    rows = [(k, f"http://a.example/{k}", page.format(k=k)) for k in range(8)] + [(90, None, None), (91, "x", ""), (None, "http://a.example/z", "<p>a&nbsp;b<script>1<2</script> &lt;c&gt;")]
-    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Story 3 boldly. More 3" and got[90] == got[91] == "" and got[None] == "a b <c>"
+PAGES = [
+    ("<main><article><p>First story</p></article><article><p>Second</p></article></main>", "First story Second"),
+    ("<article><p>Body</p><article class='comment'><p>Nice!</p></article><div id=comments>So</div></article>", "Body"),
+    ("<article><p>One</p><svg class='i'/><p>Two</p></article>", "One Two"),
+    ("<article><p class='share-price'>Up</p><div class='social-policy'>Law</div><div class='article-header'><h1>Head</h1></div></article>", "Up Law Head"),
+    ("<div class='content with-sidebar'><article><p>In</p></article><div class='left-sidebar'>Out</div></div>", "In"),
+    ("<div class='page-wrapper modal'><article>Kept</article></div>", "Kept"),
+    ('<p title="x>Hello</p><p>World</p>', "Hello World"),
+    ("a < b and <p>c &lt; d", "a < b and c < d"), ("x <!-- <p>no</p> --> y <!-- open", "x y"), ("<p>1<p>2<ul><li>3<li>4</ul>5 <br>6 <b>7</b>8", "1 2 3 4 5 6 78"),
+    ("<header>Site</header><article><header><h1>Title</h1></header>T</article>", "Title T"), ("<body><script>if (a < b) </scripty> x</script>ok", "ok"), ("<a href='x>y'>t</a>", "t"),
+    ("<p>&#233;&eacute;&nbsp;&amp;amp;", "éé &amp;"), ("<form>f</form><div hidden>h</div><div role=navigation>n</div>k", "k"), ("<", "<"), ("</", "</"), ("<p", "<p"), ("", ""), ("<article></article>", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", PAGES)
+def test_pages_of_every_form(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("bit", ["<a \"", "<p title=\"x>", "<", "<!--", "<div>", "</p>", "<a '", "<p =\"", "<li><p>", "<svg/>", "<script>", "<b c='d\">", "x\" ", "<a\n\"="])
+def test_parsing_is_linear(bit):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text(bit * n + "<p>end</p>")
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(60_000) < 40 * max(seconds(6000), 0.01)
+
+
+def template_site(k):
+    return (
+        f"<body><div><p>Site slogan</p><ul><li>Home<li>About</ul></div><div id=x><p>Story {k} <b>bold</b>ly.</p><div><span>Follow us</span></div><p>More {k}</p></div>"
+        + ("<div><p>Autumn sale</p></div>" if k % 3 == 0 else "") + "<div>All rights reserved</div></body>"
+    )
+
+
+@pytest.mark.parametrize("limit", [html_text.BROADCAST_ROWS, 0])
+def test_recurring_subtrees_decide_without_names(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", limit)
+    rows = [(k, f"http://a.example/{k}", template_site(k)) for k in range(30)] + [(100 + k, f"http://b.example/{k}", template_site(k)) for k in range(4)]
+    rows += [(200 + k, "http://c.example/same", template_site(1)) for k in range(20)]  # one page repeated is no template
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_main_text(pages).collect()}
+    whole = {i: html_text.main_text(h) for i, _, h in rows}
+    assert all(got[k] == f"Story {k} boldly. More {k}" for k in range(30))
+    assert all(got[k] == whole[k] for k in whole if k >= 100)
+    assert sum(got[k] != whole[k] for k in whole) == 30
+
+
+def test_template_counts_are_brute_force(spark):
+    rows = [(k, f"http://{'ab'[k % 7 == 0]}.example/{k}", template_site(k // 2)) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = collections.defaultdict(set)
+    for _, url, page in rows:
+        for h in html_text.template_candidates(page):
+            seen[url[7:8] + ".example", h].add(page)
+    sizes = {h: len({p for _, u, p in rows if u[7:8] == h[0]}) for h in ("a.example", "b.example")}
+    want = {key for key, where in seen.items() if len(where) >= 5 and len(where) >= 0.02 * sizes[key[0]]}
+    assert {(r.host, r.hash) for r in html_text.site_templates(html_text.subtrees(pages)).collect()} == want and want
+
+
+def test_odd_pages(spark):
+    deep = "<div>" * 20_000 + "deep"
+    rows = [(1, None, None, "h"), (None, "http://a.example/z", "<p>a&nbsp;b<script>1<2</script> &lt;c&gt;", "h"), (2, "x", "", "h"), (3, "x", deep, "h"), (4, "http://A.example", "<p>" + "long " * 400_000, "h")]
+    rows += [rows[1]] * 3
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumn("hashes", F.lit(1)).withColumn("__html", F.lit("q"))
+    got = collections.Counter((r.page_id, r.text, r.n_chars) for r in html_text.extract_main_text(d).collect())
+    assert got == {(1, "", 0): 1, (None, "a b <c>", 7): 4, (2, "", 0): 1, (3, "deep", 4): 1, (4, ("long " * 400_000).strip(), 1_999_999): 1}
 
 
 # ---- 5
 
 
-def test_masks_hit_every_window_with_two_replaced_words():
-    for mask in decontaminate.MASKS:
-        for bad in itertools.combinations(range(decontaminate.WINDOW), 2):
-            assert any(all(o + i not in bad for i in mask) for o in range(decontaminate.WINDOW - max(mask)))
+@pytest.mark.parametrize("size", range(1, 16))
+def test_masks_hit_every_overlap_that_is_accepted(size):
+    window = min(size, decontaminate.WINDOW)
+    replaced = window - math.ceil(window * decontaminate.AGREE) if size >= decontaminate.LEAST else 0
+    for first in range(size - window + 1):
+        for bad in itertools.combinations(range(first, first + window), replaced):
+            assert any(all(first <= o + i < first + window and o + i not in bad for i in m) for m in decontaminate.masks_for(size) for o in range(size))
+
+
+def brute_contaminated(text, item):
+    split = lambda t: [w for w in re.split(r"[^a-z]+", t.lower()) if w]
+    d, b = split(text or ""), split(item or "")
+    n = min(len(b), decontaminate.WINDOW)
+    need = n if n < decontaminate.LEAST else math.ceil(n * decontaminate.AGREE)
+    return bool(b) and any(
+        sum(0 <= s + i < len(d) and d[s + i] == b[i] for i in range(k, k + n)) >= need for s in range(-len(b), len(d)) for k in range(len(b) - n + 1)
+    )
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_SEEDS, 0])
+def test_contamination_is_brute_force_for_every_size(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    items = [[word() for _ in range(n)] for n in (*range(1, 17), 30)]
+    rows = []
+    for k in range(170):
+        item = list(items[k % len(items)])
+        for i in rng.sample(range(len(item)), min(len(item), rng.choice([0, 1, 1, 2, 2, 3]))):
+            item[i] = word()
+        cut = rng.choice([0, 0, 0, len(item) // 2])
+        rows.append((k, " ".join([*[word() for _ in range(rng.choice([0, 5, 30]))], *item[cut:], *[word() for _ in range(rng.choice([0, 9]))]])))
+    bench = [(i, " ".join(t)) for i, t in enumerate(items)]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    want = {k: [i for i, b in bench if brute_contaminated(t, b)] for k, t in rows}
+    assert {r.doc_id: list(r["items"]) for r in got} == want and all(r.contaminated == bool(r["items"]) for r in got)
+    assert 20 < sum(map(bool, want.values())) < 170
 
 
 @pytest.mark.parametrize("limit", [decontaminate.BROADCAST_SEEDS, 0])
