@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 12 << 20
+ROW_BYTES = 400
 
 
-def block_count(total_bytes: int | None, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks for so many bytes of text."""
-    return max(1, math.ceil((total_bytes or 0) / block_bytes))
+def block_count(total_bytes: int | None, rows: int | None = 0, block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks for so many bytes of text in so many rows; a row itself takes as much as some ``ROW_BYTES`` of text."""
+    return max(1, math.ceil(((total_bytes or 0) + ROW_BYTES * (rows or 0)) / block_bytes))
 
 
 def shard_bits(blocks: int) -> int:

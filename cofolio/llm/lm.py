@@ -235,7 +235,8 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("__id"), (is_held_out(id_col) if held_out is None else held_out).alias("__held_out"), text.alias("__text"))
-    blocks = block_count(rows.agg(F.sum(F.octet_length("__text")).alias("b")).first().b, BLOCK_BYTES)
+    whole = rows.agg(F.sum(F.octet_length("__text")).alias("b"), F.count("*").alias("n")).first()
+    blocks = block_count(whole.b, whole.n, BLOCK_BYTES)
     bits = shard_bits(blocks)
     id_type = docs.select(id_col).limit(0).toArrow().schema.field(0).type
     left = rows.withColumn("block", block_of(F.struct("__id", F.crc32(F.col("__text").cast("binary"))), blocks))

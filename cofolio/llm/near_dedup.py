@@ -302,8 +302,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = cut(docs.select(F.col(id_col).alias("__id"), F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("bytes")), "near-ids")
     reps = narrow.groupBy("sha").agg(F.min("__id").alias("rep"), F.count("*").alias("copies"), F.first("bytes").alias("bytes")).where("rep is not null")
     reps = cut(reps, "near-reps")
-    size = narrow.agg(F.count("*").alias("n")).first().n
-    blocks = block_count(reps.agg(F.sum("bytes").alias("b")).first().b)
+    whole = narrow.where("__id is not null").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
+    size = narrow.count()
+    blocks = block_count(whole.b, whole.n)  # of all rows, as copies of a text are dealt to blocks too
     bits = shard_bits(blocks)
     block = lambda c: block_of(F.col(c), blocks).alias("block")
     left = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), text.alias("__text"), block(id_col))
@@ -332,5 +333,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs``, all columns, of which one of each class stays: the one of smallest id (all rows of that id
     and class); rows without a class stay."""
     classes = near_classes(docs, id_col, text_col, similarity)
-    gone = classes.where(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = classes.where(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
+    return docs.alias("rows").join(gone.alias("lost"), F.col(f"rows.`{id_col}`") == F.col("lost.gone"), "left_anti")

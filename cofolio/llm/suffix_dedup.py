@@ -341,7 +341,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     narrow = cut(docs.select(F.col(id_col).alias("__id"), sha, F.octet_length(text).cast("long").alias("bytes")), "suffix-ids")
     reps = narrow.groupBy("sha").agg(F.min("__id").cast("long").alias("rep"), F.first("bytes").alias("bytes")).where("rep is not null")
     reps = cut(reps, "suffix-reps")
-    blocks = block_count(reps.agg(F.sum("bytes").alias("b")).first().b, BLOCK_BYTES)
+    whole = narrow.where("__id is not null").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
+    blocks = block_count(whole.b, whole.n, BLOCK_BYTES)  # of all rows, as copies of a text are dealt to blocks too
     bits = shard_bits(blocks)
     left = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), sha, text.alias("__text"))
     left = left.withColumn("block", block_of(F.col("__id"), blocks))
