@@ -10,17 +10,23 @@ from cofolio.operators.ratings import top_rated
 from cofolio.sources.scratch import cut
 
 
-def expand(seeds: DataFrame, lists: DataFrame, activity: DataFrame, target: int, top: int = 5, least: int = 3, levels: int = 10) -> DataFrame:
+def expand(seeds: DataFrame, lists: DataFrame, activity: DataFrame, target: int, top: int = 5, least: int = 3, primed: DataFrame | None = None) -> DataFrame:
     """``user_id, level, ord``: users admitted in the order in which a queue would meet them.
 
-    ``seeds(user_id, ord)``; ``lists(user_id, item_id, raw_score)`` as landed; ``activity(item_id, page, pos, user_id)`` of who is active on an item. A user
+    ``seeds(user_id, ord)``, repeats counting at their first place, and behind them ``primed(page, pos, user_id)``; ``lists(user_id, item_id, raw_score)`` as landed; ``activity(item_id, page, pos, user_id)`` of who is active on an item. A user
     with fewer than ``least`` ratings is neither admitted nor expanded. Each level is one pass: the top items
     of its users, the users active on them, first meetings by (parent, rank, page, place), without those met before.
+    It ends when ``target`` users are admitted or nobody new is met, however many levels that takes.
     """
     sizes = lists.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    front = cut(seeds.select("user_id", F.col("ord").cast("long").alias("ord")), "frontier")
-    met, admitted, have = front.select("user_id"), None, 0
-    for level in range(levels):
+    first = seeds.select("user_id", F.struct(F.lit(0).alias("a"), F.col("ord").cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("at"))
+    if primed is not None:
+        first = first.unionByName(primed.select("user_id", F.struct(F.lit(1).alias("a"), F.col("page").cast("long").alias("b"), F.col("pos").cast("long").alias("c")).alias("at")))
+    front = dense_index(first.groupBy("user_id").agg(F.min("at").alias("at")), ["at", "user_id"], "ord")
+    front = cut(front.select("user_id", F.col("ord").cast("long").alias("ord")), "frontier")
+    met, admitted, have, level = front.select("user_id"), None, 0, -1
+    while True:
+        level += 1
         good = front.join(sizes, "user_id", "left_semi").orderBy("ord").limit(target - have)
         good = cut(good.select("user_id", F.lit(level).alias("level"), "ord"), "admitted")
         admitted = good if admitted is None else admitted.unionByName(good)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cofolio.functions.scalars import round4
@@ -97,6 +97,7 @@ def holdout(ratings: DataFrame, ratio: float = 0.15, least: int = 5, seed: str =
     return ranked.withColumn("is_test", F.col("__k") <= F.col("__size")).drop("__k", "__size")
 
 
-def counted(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
-    """``df`` with observed metrics, read from the query's progress rather than by another job."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()])
+def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with observed metrics (and ``rows``), and where they can be read once it has been computed: counted on the way, not by another job."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]), seen

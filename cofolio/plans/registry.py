@@ -88,13 +88,12 @@ def k2_upsert_items(s, d):
     return R.upsert_last(old, new, ["item_id"], ["title"])
 
 
-@query(S.sql("entries r2", "SELECT user_id, item_id, raw_score FROM r2"))
+@query(S.sql("entries", """SELECT user_id, item_id, score AS raw_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id
+    ORDER BY event_id % 2 DESC, ts DESC, event_id DESC) AS rn FROM entries WHERE score > 0) WHERE rn = 1"""))
 def k3_upsert_ratings(s, d):
     rated = R.rated(S.event_entries(s, d)).select("user_id", "item_id", F.col("score").alias("raw_score"), F.struct("ts", "event_id").alias("seq"))
-    half = F.col("seq.event_id") % 2 == 0
-    # the order within both halves is that of time, so the halves are merged by it, not by which came last
-    both = rated.where(half).unionByName(rated.where(~half))
-    return R.upsert_last(both.limit(0), both, ["user_id", "item_id"], ["raw_score"])
+    even = F.col("seq.event_id") % 2 == 0
+    return R.upsert_last(rated.where(even), rated.where(~even), ["user_id", "item_id"], ["raw_score"])
 
 
 @query(S.sql("entries r2", "SELECT user_id, item_id, raw_score, p_name AS title FROM r2 JOIN part ON p_partkey = item_id"))
@@ -159,10 +158,12 @@ def a22_scale_target(s, d):
     return R.scale_target(S.dense_ratings(s, d), 1.5, 200)
 
 
-@query(S.sql("entries r2", "SELECT count(*) AS rows, count(DISTINCT user_id) AS users, CAST(sum(raw_score) AS BIGINT) AS points FROM r2"))
+@query(S.sql("entries r2", "SELECT count(*) AS rows, CAST(sum(raw_score) AS BIGINT) AS points FROM r2"))
 def a21_ingest_counters(s, d):
-    seen = R.counted(S.dense_ratings(s, d), f"ingest-{uuid.uuid4().hex}", points=F.sum("raw_score"))
-    return seen.agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("users"), F.sum("raw_score").cast("long").alias("points"))
+    seen, counters = R.counted(S.dense_ratings(s, d), users=F.approx_count_distinct("user_id"), points=F.sum("raw_score"))
+    seen.write.format("noop").mode("overwrite").save()  # the job whose rows are counted on the way
+    got = counters.get
+    return s.createDataFrame([(got["rows"], int(got["points"] or 0))], "rows long, points long")
 
 
 @query(S.sql("entries r2", "SELECT user_id, item_id, raw_score FROM r2 WHERE raw_score > 7 OR NOT EXISTS (SELECT 1 FROM r2 WHERE raw_score > 7)"))
@@ -522,11 +523,18 @@ def f9_signed_weights(s, d):
     return S.table(s, d, "events").select("event_id", fn.format_weight((F.col("event_id") % 4001 - 2000) / F.lit(7001.0)).alias("text"))
 
 
-@query(_G + ", ex AS (SELECT user_id, item_id, count(*) FILTER (x > 0) AS p FROM cand GROUP BY 1, 2) SELECT user_id, item_id, p > 0 AS helped FROM ex WHERE p > 0")
+_SIGNED = "CASE WHEN abs({x}) < 0.0005 THEN '0.000' WHEN {x} > 0 THEN '+' || printf('%.3f', {x}) ELSE printf('%.3f', {x}) END"
+
+
+@query(_G + f""", ex AS (SELECT * FROM (SELECT *, min(CASE WHEN e > 0 THEN pos END) OVER (PARTITION BY user_id, item_id) AS first FROM cand) WHERE e > 0 OR pos > first),
+    pt AS (SELECT user_id, item_id, watched_id, x, row_number() OVER (PARTITION BY user_id, item_id, x > 0 ORDER BY abs(round(x, 9)) DESC, watched_id) AS k FROM ex WHERE x <> 0),
+    tx AS (SELECT user_id, item_id, x > 0 AS up, string_agg(watched_id || ' (' || {_SIGNED.format(x='x')} || ')', ' | ' ORDER BY k) AS line FROM pt WHERE k <= 2 GROUP BY 1, 2, 3)
+    SELECT user_id, item_id, 'for: ' || coalesce(max(line) FILTER (up), 'nothing') || '; against: ' || coalesce(max(line) FILTER (NOT up), 'nothing') AS text
+    FROM (SELECT DISTINCT user_id, item_id FROM ex) LEFT JOIN tx USING (user_id, item_id) GROUP BY user_id, item_id""")
 def f12_explanations(s, d):
     c = rec.graph_contributions(rec.graph_candidates(_watch(s, d), _adj(s, d)))
-    parts = F.transform("contributions", lambda x: F.struct(x.watched_id.cast("string").alias("label"), x.weighted.alias("weighted")))
-    return c.select("user_id", "item_id", F.startswith(fn.explain_line(parts), F.lit("for: ")).alias("helped"))
+    parts = F.transform(F.array_sort("contributions", lambda a, b: F.when(a.watched_id < b.watched_id, -1).when(a.watched_id > b.watched_id, 1).otherwise(0)), lambda x: F.struct(x.watched_id.cast("string").alias("label"), F.round(x.weighted, 9).alias("weighted")))
+    return c.select("user_id", "item_id", fn.explain_line(parts).alias("text"))
 
 
 @query("SELECT p_brand, x AS name, count(*) AS n FROM (SELECT p_brand, unnest([lower(p_name), lower(p_type)]) AS x FROM part) GROUP BY 1, 2")
@@ -725,9 +733,7 @@ def s1_list_pages(s, d):
 def s2_legacy_ratings(s, d):
     path = _folder(s, "legacy-ratings")
     writers.write_legacy_ratings(_norm(s, d), S.catalogue(s, d), path)
-    read = s.read.schema(readers.LEGACY_RATINGS).json(path)  # a document a line
-    users = read.select(F.explode("users").alias("u")).select(F.col("u.userId").alias("user_id"), F.explode("u.ratings").alias("r"))
-    return users.select("user_id", F.col("r.animeId").cast("long").alias("item_id"), "r.title", F.col("r.rawScore").cast("double").alias("raw_score"), F.round(F.col("r.normalizedScore").cast("double"), 6).alias("normalized_score"))
+    return readers.open_ratings(s, path).where("not rejected").select("user_id", "item_id", "title", "raw_score", _r("normalized_score"))
 
 
 @query(S.sql(RATINGS, "SELECT CAST(user_id AS VARCHAR) AS user_id, item_id, p_name AS title, raw_score, CAST(round(CAST(normalized_score AS DECIMAL(28, 12)), 4) AS DOUBLE) AS normalized_score FROM norm JOIN part ON p_partkey = item_id"))
@@ -749,23 +755,40 @@ def s4_legacy_graph(s, d):
     path = _folder(s, "legacy-graph")
     name = lambda c: F.concat(F.lit("anime:"), F.col(c).cast("string"))
     writers.write_graph(_pairs(s, d).select(name("lo").alias("source"), name("hi").alias("target"), F.lit("anime-anime").alias("edge_type"), "weight"), path, "gzip")
-    return s.read.schema(readers.LEGACY_GRAPH).json(path).select(F.explode("edges").alias("e")).select("e.source", "e.target", F.col("e.edgeType").alias("edge_type"), "e.weight")
+    return readers.legacy_graph(s, path)
 
 
-@query("SELECT vec_id AS item_id, 'v' || vec_id AS title, label / 10 AS bias, len(embedding) AS n FROM embeddings")
-def s6_web_model(s, d):
+_ROUNDED = "SELECT vec_id AS item_id, 'v' || vec_id AS title, label / 10 AS bias, i, round(x, 5) + 0.0 AS x FROM (SELECT *, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings)"
+
+
+def _exported(s, d, compact: bool):
     path = _folder(s, "web-model")
     model = S.item_model(s, d).withColumn("title", F.concat(F.lit("v"), F.col("item_id").cast("string")))
-    writers.write_web_model(model, path, digits=5)
-    return readers.model(s, path).select("item_id", "title", "bias", F.size("q").cast("long").alias("n"))
+    writers.write_web_model(model, path, digits=12, compact=compact)
+    cells = readers.model(s, path).select("item_id", "title", "bias", F.posexplode("q").alias("i", "x"))
+    return cells.select("item_id", "title", "bias", F.col("i").cast("long").alias("i"), (F.round("x", 5) + F.lit(0.0)).alias("x"))
+
+
+@query(_ROUNDED)
+def s6_web_model(s, d):
+    return _exported(s, d, compact=True)
+
+
+@query(_ROUNDED)
+def s7_legacy_model(s, d):
+    return _exported(s, d, compact=False)
 
 
-@query("SELECT vec_id AS item_id, len(embedding) AS n FROM embeddings")
+@query("SELECT 'item' AS kind, vec_id AS id, label / 10 AS bias, i, x FROM (SELECT *, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) UNION ALL "
+       "SELECT 'user', c_custkey, 0.0, i, x FROM customer JOIN (SELECT *, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) ON vec_id = c_custkey % 50")
 def k8_model_tables(s, d):
     path = _folder(s, "model")
     model = S.item_model(s, d)
-    writers.write_model(model.limit(0), model, path)
-    return s.read.parquet(f"{path}/items").select("item_id", F.size("q").cast("long").alias("n"))
+    users = S.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 50).alias("k")).join(model.select(F.col("item_id").alias("k"), F.col("q").alias("p")), "k").select("user_id", "p", F.lit(0.0).alias("bu"))
+    writers.write_model(users, model, path)
+    part = lambda kind, i, v, b: s.read.parquet(f"{path}/{kind}s").select(F.lit(kind).alias("kind"), F.col(i).alias("id"), F.col(b).alias("bias"), F.posexplode(v).alias("i", "x"))
+    both = part("item", "item_id", "q", "bias").unionByName(part("user", "user_id", "p", "bu"))
+    return both.select("kind", "id", "bias", F.col("i").cast("long").alias("i"), "x")
 
 
 @query(S.sql("content", "SELECT item_id, title, year, round(score, 6) AS score, len(genres) AS n_genres, studios[1] AS studio FROM content"))
@@ -773,9 +796,7 @@ def s9_content_features(s, d):
     path = _folder(s, "features")
     rows = S.content(s, d).select(F.create_map(F.col("item_id").cast("string"), F.struct("title", "year", "score", F.concat("genres", F.array(F.lit(" "))).alias("genres"), F.transform("studios", lambda x: F.concat(F.lit(" "), F.upper(x))).alias("studios"))).alias("m"))
     rows.select(F.to_json("m").alias("value")).write.text(path)
-    lines = s.read.text(path).select(F.explode(F.from_json("value", "map<string, struct<title: string, year: string, score: string, genres: array<string>, studios: array<string>>>")).alias("id", "e"))
-    names = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
-    return lines.select(F.col("id").cast("long").alias("item_id"), "e.title", F.col("e.year").try_cast("int").alias("year"), F.round(F.col("e.score").try_cast("double"), 6).alias("score"), F.size(names(F.col("e.genres"))).cast("long").alias("n_genres"), F.get(names(F.col("e.studios")), F.lit(0)).alias("studio"))
+    return readers.content_features(s, path).select("item_id", "title", "year", _r("score"), F.size("genres").cast("long").alias("n_genres"), F.get("studios", F.lit(0)).alias("studio"))
 
 
 @query("SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 = 0 THEN 'fallback' ELSE p_name END AS title, 1970 + p_size AS year, 'w' || p_partkey AS image_url, 1 AS n_genres FROM part")

@@ -16,7 +16,15 @@ MODEL = "format string, globalMean double, factors int, animeIds array<double>,
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """All documents of all files with their ``file``: a document a line, or one document over a whole file (most of whose lines
+    aren't documents)."""
+    parsed = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("d")
+    lines = spark.read.text(path).where("trim(value) <> ''").select(parsed, F.col("_metadata.file_path").alias("file")).select("d.*", "file")
+    bad = F.count_if(F.col("_bad").isNotNull())
+    kinds = lines.groupBy("file").agg((bad > F.count("*") - bad).alias("whole"))
+    single = kinds.where("whole").select("file")
+    whole = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
+    return lines.where("_bad is null").drop("_bad").join(single, "file", "left_anti").unionByName(whole.join(single, "file", "left_semi"))
 
 
 def _finite(c):
@@ -30,30 +38,31 @@ def list_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def legacy_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """``user_id, item_id, title, raw_score, normalized_score, rejected``; entries with blank users or bad numbers are marked, not lost."""
+    """``user_id, item_id, title, raw_score, normalized_score, rejected``; entries with blank users or without a whole item id or a
+    centred score that is a number are marked, not lost."""
     users = _json(spark, path, LEGACY_RATINGS).select(F.explode("users").alias("u")).select(unicode_trim(F.col("u.userId")).alias("user_id"), F.explode("u.ratings").alias("r"))
-    item, raw = F.col("r.animeId").try_cast("bigint"), F.col("r.rawScore").try_cast("double")
+    item, centred = F.col("r.animeId").try_cast("bigint"), F.col("r.normalizedScore").try_cast("double")
     return users.select(
-        "user_id", item.alias("item_id"), F.coalesce("r.title", F.concat(F.lit("Anime "), item.cast("string"))).alias("title"), raw.alias("raw_score"),
-        F.col("r.normalizedScore").try_cast("double").alias("normalized_score"),
-        (F.coalesce("user_id", F.lit("")) == "").__or__(item.isNull()).__or__(~_finite(raw)).alias("rejected"),
+        "user_id", item.alias("item_id"), F.coalesce("r.title", F.concat(F.lit("Anime "), item.cast("string"))).alias("title"),
+        F.col("r.rawScore").try_cast("double").alias("raw_score"), centred.alias("normalized_score"),
+        ((F.coalesce("user_id", F.lit("")) == "") | item.isNull() | ~F.coalesce(_finite(centred), F.lit(False))).alias("rejected"),
     )
 
 
 def compact_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """The same columns from the dictionary-encoded form; indexes keep their written positions, bad dictionary rows are marked."""
+    """The same columns from the dictionary-encoded form, a document a file; indexes keep their written positions, bad dictionary rows are marked."""
     doc = _json(spark, path, COMPACT_RATINGS)
-    items = doc.select(F.posexplode("anime").alias("idx", "a")).select("idx", F.get("a", F.lit(0)).try_cast("bigint").alias("item_id"), F.get("a", F.lit(1)).alias("title"))
-    users = doc.select(F.explode("users").alias("u")).select(F.get("u", F.lit(0)).alias("user_id"), F.explode(F.from_json(F.get("u", F.lit(1)), "array<array<double>>")).alias("t"))
-    cells = users.select("user_id", F.get("t", F.lit(0)).cast("int").alias("idx"), F.get("t", F.lit(1)).alias("raw_score"), F.get("t", F.lit(2)).alias("normalized_score"))
-    joined = cells.join(items, "idx", "left")
+    items = doc.select("file", F.posexplode("anime").alias("idx", "a")).select("file", "idx", F.get("a", F.lit(0)).try_cast("bigint").alias("item_id"), F.get("a", F.lit(1)).alias("title"))
+    users = doc.select("file", F.explode("users").alias("u")).select("file", F.get("u", F.lit(0)).alias("user_id"), F.explode(F.from_json(F.get("u", F.lit(1)), "array<array<double>>")).alias("t"))
+    cells = users.select("file", "user_id", F.get("t", F.lit(0)).cast("int").alias("idx"), F.get("t", F.lit(1)).alias("raw_score"), F.get("t", F.lit(2)).alias("normalized_score"))
+    joined = cells.join(items, ["file", "idx"], "left")
     bad = (F.coalesce("user_id", F.lit("")) == "") | F.col("item_id").isNull() | ~_finite(F.col("raw_score"))
     return joined.select("user_id", "item_id", F.coalesce("title", F.concat(F.lit("Anime "), F.col("item_id").cast("string"))).alias("title"), "raw_score", "normalized_score", bad.alias("rejected"))
 
 
 def open_ratings(spark: SparkSession, path: str) -> DataFrame:
     """Either form, by the file's ``format`` tag."""
-    tag = _json(spark, path, "format string").select("format").first()
+    tag = _json(spark, path, "format string").select(F.max("format").alias("format")).first()
     return compact_ratings(spark, path) if tag and tag["format"] == "ratings-compact-v1" else legacy_ratings(spark, path)
 
 
@@ -63,14 +72,14 @@ def legacy_graph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_graph(spark: SparkSession, path: str) -> DataFrame:
-    """``source, target, edge_type, weight`` with node names rebuilt; edges of unknown positions are dropped."""
+    """``source, target, edge_type, weight`` with node names rebuilt, a document a file; edges of unknown positions are dropped."""
     doc = _json(spark, path, COMPACT_GRAPH)
-    users = doc.select(F.posexplode("userIds").alias("ui", "u")).select("ui", F.concat(F.lit("user:"), "u").alias("user"))
-    items = doc.select(F.posexplode("anime").alias("ai", "a")).select("ai", F.concat(F.lit("anime:"), F.get("a", F.lit(0))).alias("item"))
-    cell = lambda name: doc.select(F.explode(name).alias("t")).select(F.get("t", F.lit(0)).cast("int").alias("x"), F.get("t", F.lit(1)).cast("int").alias("y"), F.get("t", F.lit(2)).alias("weight"))
-    ua = cell("ua").join(users, F.col("x") == F.col("ui")).join(items, F.col("y") == F.col("ai")).select(F.col("user").alias("source"), F.col("item").alias("target"), F.lit("user-anime").alias("edge_type"), "weight")
-    left, right = items.select(F.col("ai").alias("x"), F.col("item").alias("source")), items.select(F.col("ai").alias("y"), F.col("item").alias("target"))
-    aa = cell("aa").join(left, "x").join(right, "y").select("source", "target", F.lit("anime-anime").alias("edge_type"), "weight")
+    users = doc.select("file", F.posexplode("userIds").alias("ui", "u")).select("file", "ui", F.concat(F.lit("user:"), "u").alias("user"))
+    items = doc.select("file", F.posexplode("anime").alias("ai", "a")).select("file", "ai", F.concat(F.lit("anime:"), F.get("a", F.lit(0))).alias("item"))
+    cell = lambda name: doc.select("file", F.explode(name).alias("t")).select("file", F.get("t", F.lit(0)).cast("int").alias("x"), F.get("t", F.lit(1)).cast("int").alias("y"), F.get("t", F.lit(2)).alias("weight"))
+    ua = cell("ua").join(users.withColumnRenamed("ui", "x"), ["file", "x"]).join(items.withColumnRenamed("ai", "y"), ["file", "y"]).select(F.col("user").alias("source"), F.col("item").alias("target"), F.lit("user-anime").alias("edge_type"), "weight")
+    left, right = items.select("file", F.col("ai").alias("x"), F.col("item").alias("source")), items.select("file", F.col("ai").alias("y"), F.col("item").alias("target"))
+    aa = cell("aa").join(left, ["file", "x"]).join(right, ["file", "y"]).select("source", "target", F.lit("anime-anime").alias("edge_type"), "weight")
     return ua.unionByName(aa)
 
 
@@ -88,8 +97,12 @@ def model(spark: SparkSession, path: str) -> DataFrame:
 
 def content_features(spark: SparkSession, path: str) -> DataFrame:
     """A JSON map of id to entry: ``item_id, title, year, score, genres, studios`` with names trimmed, lower case, once each."""
-    entry = "struct<title: string, year: string, score: string, genres: array<string>, studios: array<string>>"
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", f"map<string, {entry}>")).alias("id", "e"))
+    entry = F.from_json("value", "map<string, struct<title: string, year: string, score: string, genres: array<string>, studios: array<string>>>").alias("m")
+    lines = spark.read.text(path).where("trim(value) <> ''").select(entry, F.col("_metadata.file_path").alias("file"))
+    # a map a line, or one map over a whole file (most of whose lines aren't maps)
+    single = lines.groupBy("file").agg((F.count_if(F.col("m").isNull()) > F.count("m")).alias("whole")).where("whole").select("file")
+    whole = spark.read.option("wholetext", True).text(path).select(entry, F.col("_metadata.file_path").alias("file"))
+    raw = lines.join(single, "file", "left_anti").unionByName(whole.join(single, "file", "left_semi")).select(F.explode("m").alias("id", "e"))
     names = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
     return raw.select(F.col("id").try_cast("bigint").alias("item_id"), "e.title", F.col("e.year").try_cast("int").alias("year"), F.col("e.score").try_cast("double").alias("score"), names(F.col("e.genres")).alias("genres"), names(F.col("e.studios")).alias("studios")).where("item_id is not null")
 

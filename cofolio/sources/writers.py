@@ -82,7 +82,7 @@ def write_web_model(model: DataFrame, path: str, digits: int = 5, compact: bool
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``name, bytes, sha256`` of the files of a folder."""
+    """``name, bytes, sha256`` of the files of a folder; Spark's reader leaves empty files out and takes files up to 2 GB."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 

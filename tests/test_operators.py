@@ -5,9 +5,10 @@ import random
 
 import pytest
 from cofolio.functions import scalars as fn
-from cofolio.operators import graph, training
+from cofolio.operators import frontier, graph, training
 from cofolio.operators import ratings as R
 from cofolio.operators import recommend as rec
+from cofolio.sources import readers, writers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -111,3 +112,81 @@ def test_bpr_gradient_matches_differences(spark):
             up = {m: list(v) for m, v in emb.items()}
             up[n][k] += 1e-6
             assert got.get(n, [0, 0])[k] == pytest.approx((loss(up) - loss(emb)) / 1e-6, abs=1e-4)
+
+
+def test_whole_documents_and_lines_are_read(spark, tmp_path):
+    import json
+
+    users = [{"userId": f"u{k}", "ratings": [{"animeId": k, "title": "t", "rawScore": 5, "normalizedScore": 0.5}, {"animeId": "x", "rawScore": 1, "normalizedScore": 1}]} for k in range(6)]
+    users.append({"userId": " ", "ratings": [{"animeId": 3, "rawScore": 5, "normalizedScore": 1}, {"animeId": 4, "rawScore": 5, "normalizedScore": None}]})
+    (tmp_path / "a.json").write_text(json.dumps({"users": users}, indent=2))
+    (tmp_path / "b.json").write_text(json.dumps({"users": users}))
+    (tmp_path / "c.json").write_text("".join(json.dumps({"users": [u]}) + "\n" for u in users))
+    got = readers.open_ratings(spark, str(tmp_path)).collect()
+    assert len(got) == 3 * 14 and sum(not r.rejected for r in got) == 3 * 6
+    assert {r.title for r in got if r.item_id == 3 and r.user_id == ""} == {"Anime 3"}
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    norm = R.centred(spark.createDataFrame([(u, i, float(u + i)) for u in range(6) for i in range(3)], "user_id long, item_id long, raw_score double"))
+    items = spark.createDataFrame([(i, f"t{i}") for i in range(3)], "item_id long, title string")
+    writers.write_legacy_ratings(norm, items, f"{tmp_path}/ratings")
+    assert readers.legacy_ratings(spark, f"{tmp_path}/ratings").where("not rejected").count() == 18
+    edges = spark.createDataFrame([(f"anime:{k}", f"anime:{k + 1}", "anime-anime", 0.5) for k in range(10)], "source string, target string, edge_type string, weight double")
+    writers.write_graph(edges, f"{tmp_path}/graph")
+    assert sorted(map(tuple, readers.legacy_graph(spark, f"{tmp_path}/graph").collect())) == sorted(map(tuple, edges.collect()))
+    model = spark.createDataFrame([(k, f"v{k}", k / 8, [k / 4, 1.0]) for k in range(10)], "item_id long, title string, bias double, q array<double>")
+    for compact in (True, False):
+        writers.write_web_model(model, f"{tmp_path}/model{compact}", compact=compact)
+        assert sorted(map(tuple, readers.model(spark, f"{tmp_path}/model{compact}").collect())) == sorted(map(tuple, model.collect()))
+
+
+def test_frontier_is_the_queue(spark):
+    """Against a queue: a long chain needs many levels, short lists admit nobody, repeated seeds count once."""
+    rng = random.Random(4)
+    n = 30
+    lists = {u: [(u, 9.0), (u + 1, 8.0), *[(100 + rng.randrange(5), float(rng.randint(1, 7))) for _ in range(3)]] for u in range(n)}
+    lists = {u: dict(v) for u, v in lists.items()}
+    lists[7] = {7: 9.0, 8: 8.0}  # too short: the chain goes on through item 107 only
+    active = [(i, 0, 0, i) for i in range(n)] + [(100 + i, p, q, rng.randrange(n)) for i in range(5) for p in range(2) for q in range(2)] + [(6, 1, 0, 8)]
+    seeds, primed, want, done = [(0, 5), (0, 9), (3, 7)], [(1, 0, 2), (2, 0, 0)], [], set()
+    queue = [0, 3, 2]
+    met = set(queue)
+    while queue and len(want) < n:
+        u = queue.pop(0)
+        done.add(u)
+        if len(lists[u]) < 3:
+            continue
+        want.append(u)
+        for i, _ in sorted(lists[u].items(), key=lambda x: (-x[1], x[0]))[:5]:
+            for _, _, v in sorted((p, q, v) for j, p, q, v in active if j == i):
+                if v not in met:
+                    met.add(v)
+                    queue.append(v)
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = frontier.expand(
+        df(seeds, "user_id long, ord long"), df([(u, i, s) for u, v in lists.items() for i, s in v.items()], "user_id long, item_id long, raw_score double"),
+        df(active, "item_id long, page int, pos int, user_id long"), target=n, primed=df(primed, "page int, pos int, user_id long"),
+    )
+    assert [r.user_id for r in got.orderBy("level", "ord").collect()] == want and len(want) > 20
+
+
+def test_manifest_holds_the_files_digests(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    (tmp_path / "b.bin").write_bytes(b"x" * 3_000_000)
+    got = {(r.name, r.bytes, r.sha256) for r in writers.manifest(spark, str(tmp_path)).collect()}
+    assert got == {("a.bin", 3, hashlib.sha256(b"abc").hexdigest()), ("b.bin", 3_000_000, hashlib.sha256(b"x" * 3_000_000).hexdigest())}
+
+
+def test_rmse_and_ranks_of_given_factors(spark):
+    rows = [(1, 1, 4.0), (1, 2, 8.0), (2, 1, 6.0)]
+    r = spark.createDataFrame(rows, "user_id long, item_id long, raw_score double")
+    users = spark.createDataFrame([(1, [1.0, 0.0], 0.5), (2, [0.0, 2.0], 0.0)], "user_id long, p array<double>, bu double")
+    items = spark.createDataFrame([(1, [0.5, 1.0], 0.0), (2, [2.0, 0.0], 1.0), (3, [0.0, 0.1], 0.2)], "item_id long, q array<double>, bi double")
+    wrong = [4 - (5 + 0.5 + 0.5), 8 - (5 + 0.5 + 1 + 2), 6 - (5 + 2)]
+    assert training.rmse(r, users, items, 5.0).first().rmse == pytest.approx(math.sqrt(sum(e * e for e in wrong) / 3))
+    split = r.withColumn("is_test", F.col("item_id") == 2).unionByName(spark.createDataFrame([(2, 3, 9.0, True)], "user_id long, item_id long, raw_score double, is_test boolean"))
+    got = training.rank_quality(split, users, items, 5.0, 5.0, k=1)  # user 1: items 2, 3 unseen, 2 first (a hit); user 2: 2 (score 6) before 3 (5.4), a miss
+    assert tuple(got.first()) == (2, 0.5, 0.5, 0.5, 0.5)
