@@ -70,14 +70,16 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(np.uint64)
         return high << np.uint64(self.bits) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first element that isn't below x (n where there is none)."""
+    def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first element that isn't below x (n where there is none); given ``first`` and ``last``, within those bounds."""
         high = (x >> np.uint64(self.bits)).astype(np.int64)
         zeros = int(len(self.ones) - 1) * 8 - int(self.ones[-1])
         beyond = high >= zeros - 1
         high = np.minimum(high, zeros - 2)
         begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
         end = self._select(high, False) - high
+        if first is not None:
+            begin, end = np.clip(begin, first, last), np.clip(end, first, last)
         at, low = begin.astype(np.int64), x & np.uint64((1 << self.bits) - 1)
         span = int((end - begin).max(initial=0))
         if self.bits:
@@ -151,8 +153,9 @@ class BigramTrie:
         hit = np.flatnonzero(has & (word < self.width))
         node = at[hit]
         target = node.astype(np.uint64) * self.width + word[hit]
-        place = self.words.successor(target)
-        inside = (place >= self.pointers[node].astype(np.int64)) & (place < self.pointers[node + 1].astype(np.int64))
+        first, last = (self.pointers[k].astype(np.int64) for k in (node, node + 1))
+        place = self.words.successor(target, first, last)
+        inside = place < last
         hit, target, place = hit[inside], target[inside], place[inside]
         equal = self.words[place] == target
         seen[hit[equal]] = self.seen[place[equal]]

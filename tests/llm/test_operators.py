@@ -15,7 +15,7 @@ from cofolio.llm import blocks, bpe, decontaminate, elias_fano, exact_dedup, htm
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, block int, value string, rep long, `__id` long"
-ODD = [None, "", " ", "a", "the the the the the the", "the the the the the the", "É ß 日本 😀 ñ", "x" * 3000, "word " * 2000, "Key = \"a1b2c3d4e5f6a7b8c9d0\" and 1234567890123456"]
+ODD = [None, "", " ", "a", "the the the the the the", "the the the the the the", "É ß 日本 😀 ñ", "x" * 3000, "word " * 2000, "Key = \"a1b2c3d4e5f6a7b8c9d0\" and 1234567890123456", "long Größe, " * 120_000]
 
 
 def odd_docs(spark):
@@ -566,6 +566,22 @@ def test_empty_table(spark, name):
     assert RUN[name](spark, no_docs(spark)).count() == 0
 
 
+CLASHES = ["__sha", "__i", "__none", "__row", "__id", "__h", "__hit_h", "__gone", "gone", "__doc", "__text", "sha", "rep", "block", "links", "class_id", "kept", "node", "root", "a", "rows", "found", "lost", "score", "label", "__salt"]
+
+
+@pytest.mark.parametrize("drop", [
+    exact_dedup.drop_exact_copies, near_dedup.drop_near_copies,
+    lambda d: decontaminate.drop_contaminated(d, d.sparkSession.createDataFrame([(1, "the the the the the the")], BENCH)),
+    lambda d: quality.keep_good(d, quality.Model({}, 1.0)),
+])
+def test_clashing_columns_are_kept(spark, drop):
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(ODD[:8])] + [(None, "a")], "doc_id long, text string")
+    wide = d.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    plain, got = drop(d).collect(), drop(wide).collect()
+    assert sorted(map(str, plain)) == sorted(str(r) for r in drop(wide).select("doc_id", "text").collect()) and len(got) == len(plain)
+    assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in got for c in CLASHES)
+
+
 def test_secrets_on_odd_rows(spark):
     assert secrets.scan(odd_docs(spark)).count() == 2
     assert secrets.scan(no_docs(spark)).count() == 0
