@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns
 of ``documents``. ``run`` writes each stage's rows to the shared folder before the next reads them.
+
+In every stage a null text counts as empty, ids may be null or repeat, further columns are kept whatever their names, and an empty
+table gives an empty one. Of rows that repeat id and text the exact stage keeps one; other stages treat such rows alike.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier, fitted on the labels, doesn't reject."""
+    """Rows that the quality classifier, fitted on the labels, doesn't reject; without labels of both kinds it rejects all or none."""
     model = quality.train(docs, _read(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
@@ -28,17 +31,17 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that of the smallest id."""
+    """One row of each group of near copies, that of the smallest id; rows of null id stay, as do texts without a word unless equal."""
     return near_dedup.drop_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark."""
+    """Rows without a passage of the benchmark; an empty text has none."""
     return decontaminate.drop_contaminated(docs, _read(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of the ids and of the decoded text."""
+    """Number of tokens and digests of the ids and of the decoded text; 0 and the digests of nothing for an empty text."""
     return bpe.encode_digests(docs, queries.word_bpe_path())
 
 
