@@ -361,13 +361,13 @@ def j8_block_scores(s, d):
 
 
 _KNOWN = S.sql("entries r2 model", "").rstrip() + """, sc AS (SELECT c.c_custkey AS user_id, m.item_id, m.bias + c.c_custkey % 7 / 10 + list_dot_product(u.q, m.q) AS score
-    FROM customer c JOIN model u ON u.item_id = c.c_custkey % 50 CROSS JOIN model m WHERE c.c_custkey < 150 AND NOT EXISTS (SELECT 1 FROM r2 WHERE r2.user_id = c.c_custkey AND r2.item_id = m.item_id))"""
+    FROM customer c JOIN model u ON u.item_id = c.c_custkey % 50 CROSS JOIN model m WHERE NOT EXISTS (SELECT 1 FROM r2 WHERE r2.user_id = c.c_custkey AND r2.item_id = m.item_id))"""
 
 
 @query(_KNOWN + " SELECT user_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc) WHERE rank <= 10")
 def m7_known_users(s, d):
     model = S.item_model(s, d)
-    users = S.table(s, d, "customer").where("c_custkey < 150").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 50).alias("k"), ((F.col("c_custkey") % 7) / 10).alias("bu"))
+    users = S.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 50).alias("k"), ((F.col("c_custkey") % 7) / 10).alias("bu"))
     factors = users.join(model.select(F.col("item_id").alias("k"), F.col("q").alias("p")), "k").select("user_id", "p", "bu")
     return rec.known_user_recommend(factors, model, S.dense_ratings(s, d), 10).select("user_id", "item_id", _r("score"), "rank")
 
@@ -404,13 +404,11 @@ _JAC = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect(
 _SIM = f"0.5 * {_JAC.format(a='a.genres', b='b.genres')} + 0.2 * {_JAC.format(a='a.studios', b='b.studios')} + 0.2 * coalesce(greatest(0, 1 - abs(a.year - b.year) / 25), 0) + 0.1 * coalesce(greatest(0, 1 - abs(a.score - b.score) / 10), 0)"
 
 
-@query(S.sql("content", f"SELECT a.item_id AS x, b.item_id AS y, round({_SIM}, 6) AS similarity FROM content a JOIN content b ON b.item_id % 50 = a.item_id % 50 AND a.item_id < b.item_id"))
+@query(S.sql(GRAPH + " content", f"SELECT lo AS x, hi AS y, round({_SIM}, 6) AS similarity FROM pairs JOIN content a ON a.item_id = lo JOIN content b ON b.item_id = hi"))
 def f7_content_similarity(s, d):
-    c = S.content(s, d)
-    entry = F.struct("genres", "studios", "year", "score")
-    a = c.select(F.col("item_id").alias("x"), entry.alias("a"), (F.col("item_id") % 50).alias("k"))
-    b = c.select(F.col("item_id").alias("y"), entry.alias("b"), (F.col("item_id") % 50).alias("k"))
-    return a.join(b, "k").where("x < y").select("x", "y", F.round(fn.content_similarity("a", "b"), 6).alias("similarity"))
+    c, entry = S.content(s, d), F.struct("genres", "studios", "year", "score")
+    met = _pairs(s, d).join(c.select(F.col("item_id").alias("lo"), entry.alias("a")), "lo").join(c.select(F.col("item_id").alias("hi"), entry.alias("b")), "hi")
+    return met.select(F.col("lo").alias("x"), F.col("hi").alias("y"), F.round(fn.content_similarity("a", "b"), 6).alias("similarity"))
 
 
 _C = _M.format(k=50) + ", " + S.CTE["content"] + f""", cs AS (SELECT r.user_id, r.item_id, sum(({_SIM}) * w.weight) / sum(abs(w.weight)) AS content
