@@ -68,9 +68,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.when((F.size(a) > 0) & (F.size(b) > 0), both)), F.lit(0.0))
 
 
-def content_similarity(a: str, b: str) -> Column:
-    """Similarity of two content structs (columns by name): genres, studios, year, score."""
-    get = lambda side, field: F.col(f"{side}.{field}")
+def content_similarity(a: Column | str, b: Column | str) -> Column:
+    """Similarity of two content structs (columns or their names): genres, studios, year, score."""
+    get = lambda side, field: (F.col(side) if isinstance(side, str) else side)[field]
     near = lambda field, reach: F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(get(a, field) - get(b, field)) / reach), F.lit(0.0))
     return 0.5 * jaccard(get(a, "genres"), get(b, "genres")) + 0.2 * jaccard(get(a, "studios"), get(b, "studios")) + 0.2 * near("year", 25.0) + 0.1 * near("score", 10.0)
 

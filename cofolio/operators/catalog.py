@@ -85,8 +85,9 @@ def token_score(token: Column, label: Column, hay: Column) -> Column:
     )
 
 
-def search(queries: DataFrame, titles: DataFrame, k: int = 10) -> DataFrame:
-    """``query, item_id, score, rank``: the best titles of each query, all of whose words must match; ties by title, then id.
+def search(queries: DataFrame, titles: DataFrame, k: int | None = 10) -> DataFrame:
+    """``query, item_id, score, rank``: the best titles of each query, all of whose words must match; ties by title, then id; all titles
+    where ``k`` is None.
 
     Candidates share the query's first letter (any match has it), so the join is on letters, not all with all.
     Distinct titles are scored once and joined to their items afterwards.
@@ -100,7 +101,8 @@ def search(queries: DataFrame, titles: DataFrame, k: int = 10) -> DataFrame:
     scored = met.select("query", "label", F.aggregate("s", F.lit(0), lambda a, x: a + x).alias("score"))
     best = scored.join(named, "label")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "label", "item_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "item_id", "score", "rank")
+    placed = best.withColumn("rank", F.row_number().over(order)).select("query", "item_id", "score", "rank")
+    return placed if k is None else placed.where(F.col("rank") <= k)
 
 
 def title_list(items: DataFrame, limit: int = 8000) -> DataFrame:

@@ -34,8 +34,9 @@ def pair_weights(pairs: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def capped_pairs(weights: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` distinct pairs in the order in which users' lists meet them; 0 keeps all."""
-    return weights.orderBy("first_user", "lo", "hi").limit(limit) if limit > 0 else weights
+    """The first ``limit`` distinct pairs in the order in which users' lists meet them; 0 keeps all. The limit may be millions, so
+    pairs are numbered in ranges and don't pass through one task."""
+    return dense_index(weights, ["first_user", "lo", "hi"], "__at").where(F.col("__at") < limit).drop("__at") if limit > 0 else weights
 
 
 def skipped_occurrences(weights: DataFrame, limit: int) -> DataFrame:
@@ -132,7 +133,15 @@ def edge_sample(edges: DataFrame, rate: float, seed: str = "1") -> DataFrame:
         return edges
     n = edges.count()
     mixed = F.md5(F.concat_ws("|", F.lit(seed), F.col("src").cast("string"), F.col("dst").cast("string")))
-    return edges.orderBy(mixed, "src", "dst").limit(max(1, round(n * rate)))
+    # the last hash kept is found by counts of 4 and then 8 hexadecimal digits; only edges that share its 8 digits are sorted
+    need, start = max(1, round(n * rate)), ""
+    for width in (4, 8) if n else ():
+        sizes = edges.where(F.startswith(mixed, F.lit(start))).groupBy(F.substring(mixed, 1, width).alias("start")).agg(F.count("*").alias("n"))
+        upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("start")))  # 65 536 rows at most
+        edge = upto.where(F.col("upto") >= need).orderBy("start").first()
+        start, need = edge["start"], need - (edge["upto"] - edge["n"])
+    last = edges.where(F.startswith(mixed, F.lit(start))).orderBy(mixed, "src", "dst").limit(need)
+    return edges.where(mixed < F.lit(start)).unionByName(last)
 
 
 def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:

@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cofolio.functions.scalars import auto_blend, clamp_blend, clamp_weight, content_similarity
+from cofolio.operators.graph import dense_index
 
 #: Rows of a factor block; a task multiplies two such blocks.
 BLOCK_ROWS = 4096
 
+#: The same where all scores are kept, so that a task's result stays small.
+FULL_BLOCK_ROWS = 1024
+
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """Each user's best ``k`` rows by score, support and strongest contribution, then item id; adds ``rank``."""
@@ -72,24 +76,64 @@ def block_scores(users: DataFrame, model: DataFrame, top: Column | int, global_m
     right = model.select("item_id", "q", "bias", mod("item_id", item_blocks).alias("ib")).withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))))
 
     def multiply(u: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        if len(u) and len(items):
+            items = items[items["q"].map(len) == len(u["p"].iloc[0])]
         if not len(u) or not len(items):
             return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
-        size = len(u["p"].iloc[0])
-        items = items[items["q"].map(len) == size]
         score = np.stack(u["p"].to_numpy()) @ np.stack(items["q"].to_numpy()).T + items["bias"].to_numpy() + global_mean
-        out = []
-        for row, user, n in zip(score, u["user_id"], u["top"], strict=True):
-            n = min(int(n), len(row))
-            cut = np.sort(np.partition(row, len(row) - n)[len(row) - n :])[0] if n else np.inf
-            best = np.flatnonzero(row >= cut)  # with ties at the edge
-            out.append(pd.DataFrame({"user_id": user, "item_id": items["item_id"].to_numpy()[best], "score": row[best]}))
-        return pd.concat(out)
+        n = np.clip(u["top"].to_numpy(), 0, len(items))
+        most = max(int(n.max()), 1)
+        best = -np.sort(np.partition(-score, most - 1, axis=1)[:, :most], axis=1)
+        edge = np.where(n > 0, best[np.arange(len(u)), np.maximum(n, 1) - 1], np.inf)
+        row, col = np.nonzero(score >= edge[:, None])  # with ties at the edge
+        return pd.DataFrame({"user_id": u["user_id"].to_numpy()[row], "item_id": items["item_id"].to_numpy()[col], "score": score[row, col]})
 
     kinds = dict(users.dtypes) | dict(model.dtypes)
     pairs = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
     return pairs.applyInPandas(multiply, f"user_id {kinds['user_id']}, item_id {kinds['item_id']}, score double")
 
 
+def model_scores(watch: DataFrame, model: DataFrame, global_mean: float = 0.0) -> DataFrame:
+    """``user_id, item_id, score, strongest, support`` of every item that the model knows and the user hasn't watched.
+
+    What is merged, scaled or filtered needs all of them; a cut comes last. As in ``block_scores`` users and items meet in
+    blocks. A user's watched vectors travel with the user, so neither watched items nor contributions need a join of all scores.
+    Users whose watched items the model lacks have no rows.
+    """
+    entry = F.struct("item_id", clamp_weight(F.col("weight")).alias("w"), "q")
+    own = watch.join(model.select("item_id", "q"), "item_id").groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("own"))
+    n_items, n_users = model.count(), watch.select("user_id").distinct().count()
+    item_blocks, user_blocks = max(1, math.ceil(n_items / FULL_BLOCK_ROWS)), max(1, math.ceil(n_users / FULL_BLOCK_ROWS))
+    mod = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    users = watch_vectors(watch, model).join(own, "user_id")
+    left = users.select("user_id", "p", F.col("own.item_id").alias("ids"), F.col("own.w").alias("w"), F.col("own.q").alias("wq"), mod("user_id", user_blocks).alias("ub"))
+    left = left.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
+    right = model.select("item_id", "q", "bias", mod("item_id", item_blocks).alias("ib")).withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))))
+
+    def multiply(u: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        if len(u) and len(items):
+            items = items[items["q"].map(len) == len(u["p"].iloc[0])]
+        if not len(u) or not len(items):
+            return pd.DataFrame({"user_id": [], "item_id": [], "score": [], "strongest": [], "support": []})
+        ids, q = items["item_id"].to_numpy(), np.stack(items["q"].to_numpy())
+        base, out = items["bias"].to_numpy() + global_mean, []
+        for at in range(0, len(u), 64):
+            part = u.iloc[at : at + 64]
+            score = np.stack(part["p"].to_numpy()) @ q.T + base
+            fresh, strongest, support = np.ones(score.shape, bool), np.empty(score.shape), np.empty(score.shape, np.int64)
+            for k, (mine, w, wq) in enumerate(zip(part["ids"], part["w"], part["wq"], strict=True)):
+                each = (np.stack(wq) * np.asarray(w)[:, None]) @ q.T
+                strongest[k], support[k] = each.max(axis=0), (each > 0).sum(axis=0)
+                fresh[k] = ~np.isin(ids, mine)
+            row, col = np.nonzero(fresh)
+            out.append(pd.DataFrame({"user_id": part["user_id"].to_numpy()[row], "item_id": ids[col], "score": score[row, col], "strongest": strongest[row, col], "support": support[row, col]}))
+        return pd.concat(out)
+
+    kinds = dict(watch.dtypes) | {"item_id": dict(model.dtypes)["item_id"]}
+    pairs = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
+    return pairs.applyInPandas(multiply, f"user_id {kinds['user_id']}, item_id {kinds['item_id']}, score double, strongest double, support long")
+
+
 def with_model_contributions(scored: DataFrame, watch: DataFrame, model: DataFrame) -> DataFrame:
     """``scored`` with ``support``, ``strongest`` and ``contributions`` (of the rows given only, so rank first)."""
     own = watch.join(model.select("item_id", F.col("q").alias("wq")), "item_id").select("user_id", F.col("item_id").alias("watched_id"), clamp_weight(F.col("weight")).alias("w"), "wq")
@@ -156,9 +200,11 @@ def merged_contributions(a: Column, b: Column, share_a: Column, share_b: Column,
 def content_scores(watch: DataFrame, features: DataFrame, candidates: DataFrame) -> DataFrame:
     """``user_id, item_id, content``: weighted mean similarity of candidates ``user_id, item_id`` to the user's watched items with features."""
     entry = F.struct("genres", "studios", "year", "score")
-    own = watch.join(features.select("item_id", entry.alias("a")), "item_id").select("user_id", clamp_weight(F.col("weight")).alias("w"), "a")
+    mine = F.struct("item_id", clamp_weight(F.col("weight")).alias("w"), "a")
+    own = watch.join(features.select("item_id", entry.alias("a")), "item_id").groupBy("user_id").agg(F.sort_array(F.collect_list(mine)).alias("__own"), F.sum(F.abs(clamp_weight(F.col("weight")))).alias("__w"))
     met = candidates.select("user_id", "item_id").join(features.select("item_id", entry.alias("b")), "item_id").join(own, "user_id")
-    return met.groupBy("user_id", "item_id").agg((F.sum(content_similarity("a", "b") * F.col("w")) / F.sum(F.abs("w"))).alias("content"))
+    total = F.aggregate("__own", F.lit(0.0), lambda s, x: s + content_similarity(x["a"], F.col("b")) * x["w"])
+    return met.select("user_id", "item_id", (total / F.col("__w")).alias("content"))
 
 
 def content_blended(scored: DataFrame, content: DataFrame, known: DataFrame, explicit: float | None = None) -> DataFrame:
@@ -219,21 +265,33 @@ def genre_facet(scored: DataFrame, features: DataFrame, top: int = 100) -> DataF
     return named.groupBy("user_id", "genre").agg(F.min_by("label", F.struct("rank", "i")).alias("label"))
 
 
-def recommend(watch: DataFrame, adjacency: DataFrame, model: DataFrame, features: DataFrame, mode: str = "graph", model_weight: float = 0.5, depth: int = 200,
+def recommend(watch: DataFrame, adjacency: DataFrame, model: DataFrame, features: DataFrame, mode: str = "graph", model_weight: float = 0.5,
               k: int = 40, include: DataFrame | None = None, exclude: DataFrame | None = None, **conditions) -> DataFrame:
-    """The whole request for all users: candidates by mode, lists, metadata filter, top ``k``.
-
-    The model's list is its best ``depth`` items for each user.
-    """
+    """The whole request for all users: candidates by mode, lists, metadata filter, then the top ``k``; the model scores every unwatched item."""
     graph = graph_scores(graph_candidates(watch, adjacency))
     if mode == "graph":
         scored = graph
     else:
-        by_model = model_recommend(watch, model, depth).drop("contributions", "rank")
+        by_model = model_scores(watch, model)
         scored = by_model if mode == "model" else hybrid(graph, by_model, model_weight)
     return ranked(filtered(listed_only(scored, include, exclude), features, **conditions), k)
 
 
+def popular_unseen(users: DataFrame, seen: DataFrame, k: int = 20) -> DataFrame:
+    """``user_id, item_id, rank``: each user's first ``k`` unseen items in order of popularity (then id).
+
+    They are among the first k + (items seen) of that order, so a user meets no more items than that.
+    """
+    popular = seen.groupBy("item_id").agg((-F.count("*")).alias("__c"))
+    order = dense_index(popular, ["__c", "item_id"], "__i").select("item_id", F.col("__i").cast("long").alias("__i"))
+    sizes = seen.groupBy("user_id").agg(F.count_distinct("item_id").alias("__n"))
+    depth = F.coalesce("__n", F.lit(0)) + k
+    offered = users.select("user_id").distinct().join(sizes, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), depth - 1)).alias("__i"))
+    fresh = offered.join(order, "__i").join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("__i"))
+    return fresh.select("user_id", "item_id", rank.alias("rank")).where(F.col("rank") <= k)
+
+
 def evaluate(scored: DataFrame, truth: DataFrame, n_items: int, k: int = 20) -> DataFrame:
     """``users, precision, recall, hit_rate, ndcg`` of top-``k`` lists ``user_id, item_id, rank`` against held-out positives, averaged over
     users with at least one."""

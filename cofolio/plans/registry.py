@@ -335,22 +335,22 @@ _M = S.sql("entries r2 watch model", "").rstrip() + """, vec AS (SELECT user_id,
     (SELECT user_id, w.weight AS w, unnest(q) AS x, unnest(range(len(q))) AS i FROM watch w JOIN model USING (item_id)) GROUP BY 1, 2) GROUP BY 1),
     ms AS (SELECT user_id, m.item_id, m.bias + list_dot_product(p, m.q) AS score FROM vec CROSS JOIN model m
     WHERE NOT EXISTS (SELECT 1 FROM watch v WHERE v.user_id = vec.user_id AND v.item_id = m.item_id)),
-    mt AS (SELECT user_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS k FROM ms) WHERE k <= {k}),
+    mt AS (SELECT user_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS k FROM ms){cut}),
     mc AS (SELECT t.user_id, t.item_id, t.score, list_dot_product(m.q, wm.q) * w.weight AS x FROM mt t JOIN model m USING (item_id) JOIN watch w ON w.user_id = t.user_id JOIN model wm ON wm.item_id = w.item_id),
     mr AS (SELECT user_id, item_id, any_value(score) AS score, count(*) FILTER (x > 0) AS support, max(x) AS strongest FROM mc GROUP BY 1, 2)"""
 
 
-@query(_M.format(k=10) + " SELECT user_id, unnest(range(len(p))) AS i, round(unnest(p), 6) AS x FROM vec")
+@query(_M.format(cut=" WHERE k <= 10") + " SELECT user_id, unnest(range(len(p))) AS i, round(unnest(p), 6) AS x FROM vec")
 def a13_watch_vectors(s, d):
     return rec.watch_vectors(_watch(s, d), S.item_model(s, d)).select("user_id", F.posexplode("p").alias("i", "x")).select("user_id", F.col("i").cast("long").alias("i"), _r("x"))
 
 
-@query(_M.format(k=10) + f" SELECT user_id, item_id, round(score, 6) AS score, round(strongest, 6) AS strongest, support, {_TOP} AS rank FROM mr")
+@query(_M.format(cut=" WHERE k <= 10") + f" SELECT user_id, item_id, round(score, 6) AS score, round(strongest, 6) AS strongest, support, {_TOP} AS rank FROM mr")
 def m10_model_recommend(s, d):
     return rec.model_recommend(_watch(s, d), S.item_model(s, d), 10).select("user_id", "item_id", _r("score"), _r("strongest"), "support", "rank")
 
 
-@query(_M.format(k=10) + " SELECT user_id, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS k FROM ms) WHERE k <= 20")
+@query(_M.format(cut=" WHERE k <= 10") + " SELECT user_id, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS k FROM ms) WHERE k <= 20")
 def j8_block_scores(s, d):
     w = _watch(s, d)
     top = rec.block_scores(rec.watch_vectors(w, S.item_model(s, d)), S.item_model(s, d), 30).join(w.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
@@ -373,7 +373,7 @@ def m7_known_users(s, d):
 
 
 _SCALE = "CASE WHEN max({c}) OVER u <= min({c}) OVER u THEN 1.0 ELSE greatest(0, least(1, ({c} - min({c}) OVER u) / nullif(max({c}) OVER u - min({c}) OVER u, 0))) END"
-_H = _M.format(k=50).replace("WITH entries", "WITH entries") + ", " + S.CTE["norm"] + ", " + S.CTE["pairs"] + ", " + S.CTE["adj"] + _CAND + f""",
+_H = _M.format(cut="").replace("WITH entries", "WITH entries") + ", " + S.CTE["norm"] + ", " + S.CTE["pairs"] + ", " + S.CTE["adj"] + _CAND + f""",
     gs AS (SELECT *, ({_SCALE.format(c='score')}) * (1 - 0.4) AS s FROM g WINDOW u AS (PARTITION BY user_id)),
     mm AS (SELECT *, ({_SCALE.format(c='score')}) * 0.4 AS s FROM mr WINDOW u AS (PARTITION BY user_id)),
     h AS (SELECT user_id, item_id, round(coalesce(a.s, 0) + coalesce(b.s, 0), 9) AS score, round(greatest(a.strongest * (1 - 0.4), b.strongest * 0.4), 9) AS strongest,
@@ -381,7 +381,7 @@ _H = _M.format(k=50).replace("WITH entries", "WITH entries") + ", " + S.CTE["nor
 
 
 def _hybrid(s, d):
-    model = rec.model_recommend(_watch(s, d), S.item_model(s, d), 50)
+    model = rec.model_scores(_watch(s, d), S.item_model(s, d))
     return rec.hybrid(_graph_scores(s, d), model, 0.4).withColumn("score", F.round("score", 9)).withColumn("strongest", F.round("strongest", 9))
 
 
@@ -390,9 +390,9 @@ def m11_hybrid_recommend(s, d):
     return rec.ranked(_hybrid(s, d), 10).select("user_id", "item_id", _r("score"), "support", "rank")
 
 
-@query(_H + " SELECT user_id, item_id, round(score, 6) AS score, support FROM h")
+@query(_H + " SELECT user_id, item_id, score, support FROM h")
 def j9_merged_results(s, d):
-    return _hybrid(s, d).select("user_id", "item_id", _r("score"), "support")
+    return _hybrid(s, d).select("user_id", "item_id", "score", "support")
 
 
 @query(_G + f" SELECT user_id, item_id, round({_SCALE.format(c='score')}, 6) AS scaled FROM g WINDOW u AS (PARTITION BY user_id)")
@@ -411,7 +411,7 @@ def f7_content_similarity(s, d):
     return met.select(F.col("lo").alias("x"), F.col("hi").alias("y"), F.round(fn.content_similarity("a", "b"), 6).alias("similarity"))
 
 
-_C = _M.format(k=50) + ", " + S.CTE["content"] + f""", cs AS (SELECT r.user_id, r.item_id, sum(({_SIM}) * w.weight) / sum(abs(w.weight)) AS content
+_C = _M.format(cut="") + ", " + S.CTE["content"] + f""", cs AS (SELECT r.user_id, r.item_id, sum(({_SIM}) * w.weight) / sum(abs(w.weight)) AS content
     FROM mr r JOIN content b ON b.item_id = r.item_id JOIN watch w ON w.user_id = r.user_id JOIN content a ON a.item_id = w.item_id GROUP BY 1, 2),
     kn AS (SELECT user_id, count(*) AS n FROM watch JOIN content USING (item_id) GROUP BY 1),
     st AS (SELECT r.user_id, r.item_id, r.score, c.content, coalesce(n, 0) AS n, avg(CASE WHEN c.content IS NOT NULL THEN r.score END) OVER u AS m, stddev_pop(CASE WHEN c.content IS NOT NULL THEN r.score END) OVER u AS sd,
@@ -423,14 +423,14 @@ _C = _M.format(k=50) + ", " + S.CTE["content"] + f""", cs AS (SELECT r.user_id,
 
 def _blended(s, d):
     w, c = _watch(s, d), S.content(s, d)
-    model = rec.model_recommend(w, S.item_model(s, d), 50)
+    model = rec.model_scores(w, S.item_model(s, d))
     known = w.join(c.select("item_id"), "item_id").groupBy("user_id").agg(F.count("*").alias("n"))
     return rec.content_blended(model.select("user_id", "item_id", "score"), rec.content_scores(w, c, model), known)
 
 
 @query(_C + " SELECT user_id, item_id, round(content, 9) AS content FROM cs")
 def m8_content_scores(s, d):
-    model = rec.model_recommend(_watch(s, d), S.item_model(s, d), 50)
+    model = rec.model_scores(_watch(s, d), S.item_model(s, d))
     return rec.content_scores(_watch(s, d), S.content(s, d), model).select("user_id", "item_id", _r("content", 9))
 
 
@@ -575,19 +575,20 @@ def c2_resolve_nodes(s, d):
     return catalog.resolve_nodes(asked, nodes)
 
 
-@query("""WITH q AS (SELECT DISTINCT substr(p_name, 1, 3) AS query FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part),
+@query(r"""WITH q AS (SELECT DISTINCT substr(p_name, 1, 3) AS query FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part),
     l AS (SELECT DISTINCT lower(p_name) AS label FROM part), tok AS (SELECT query, label, unnest(string_split(lower(trim(query)), ' ')) AS t FROM q CROSS JOIN l),
-    sc AS (SELECT query, label, t, CASE WHEN label = t THEN 180 WHEN starts_with(label, t) THEN 140 WHEN len(list_filter(string_split(label, ' '), lambda w: starts_with(w, t))) > 0 THEN 110
-    WHEN contains(label, t) THEN 80 ELSE 0 END AS s FROM tok), hit AS (SELECT query, label, sum(s) AS score FROM sc GROUP BY 1, 2 HAVING min(s) > 0)
-    SELECT query, label, CAST(score AS BIGINT) AS score FROM hit WHERE score >= 110 * len(string_split(lower(trim(query)), ' '))""")
+    spot AS (SELECT *, instr(label, t[1]) - 1 AS first, length(regexp_extract(label, '^' || regexp_replace(t, '(.)', '[^\1]*\1', 'g'))) - 1 AS last FROM tok),
+    sc AS (SELECT query, label, CASE WHEN label = t THEN 180 WHEN starts_with(label, t) THEN 140 WHEN len(list_filter(string_split(label, ' '), lambda w: starts_with(w, t))) > 0 THEN 110
+    WHEN contains(label, t) THEN 80 WHEN last < 0 THEN 0
+    ELSE greatest(12, 54 - least(34, greatest(0, last - first + 1 - length(t))) + CASE WHEN first = 0 THEN 6 WHEN first <= 2 THEN 3 ELSE 0 END) END AS s FROM spot)
+    SELECT query, label, CAST(sum(s) AS BIGINT) AS score FROM sc GROUP BY 1, 2 HAVING min(s) > 0""")
 def c3_search_titles(s, d):
     part = S.table(s, d, "part")
     asked = part.select(F.substring("p_name", 1, 3).alias("query")).union(part.select("p_name")).union(part.select(F.split_part("p_name", F.lit(" "), F.lit(2))))
     # one item of each title, all of its matches
     items = S.catalogue(s, d).groupBy("title").agg(F.min("item_id").alias("item_id"))
-    found = catalog.search(asked, items, k=1_000_000).join(items, "item_id")
-    words = F.size(F.split(F.lower(F.trim("query")), " "))
-    return found.where(F.col("score") >= 110 * words).where(F.forall(F.split(F.lower(F.trim("query")), " "), lambda t: F.contains(F.lower("title"), t))).select("query", F.lower("title").alias("label"), F.col("score").cast("long").alias("score"))
+    found = catalog.search(asked, items, k=None).join(items, "item_id")
+    return found.select("query", F.lower("title").alias("label"), F.col("score").cast("long").alias("score"))
 
 
 @query("SELECT entry FROM (SELECT p_name AS entry FROM part UNION SELECT 'anime:' || p_partkey FROM part) ORDER BY entry LIMIT 8000")
@@ -633,16 +634,9 @@ def a9_global_mean(s, d):
     SELECT count(*) AS users, round(avg(coalesce(h, 0) / 20), 6) AS precision, round(avg(coalesce(h, 0) / g), 6) AS recall, round(avg(CASE WHEN coalesce(h, 0) > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate,
     round(avg(coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(g, 20) AS BIGINT) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg FROM sz LEFT JOIN gt USING (user_id)""")
 def a14_rank_metrics(s, d):
-    from pyspark.sql import Window
-
     split = cut(R.holdout(S.dense_ratings(s, d)), "split")
     seen, truth = split.where("not is_test"), split.where("is_test and raw_score > 5")
-    popular = seen.groupBy("item_id").agg(F.count("*").alias("c"))
-    users = split.select("user_id").distinct()
-    met = users.join(F.broadcast(popular)) if popular.count() < 100_000 else users.crossJoin(popular)
-    order = Window.partitionBy("user_id").orderBy(F.desc("c"), "item_id")
-    lists = met.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn("rank", F.row_number().over(order))
-    return rec.evaluate(lists, truth, popular.count(), 20)
+    return rec.evaluate(rec.popular_unseen(split, seen, 20), truth, seen.select("item_id").distinct().count(), 20)
 
 
 @query(S.sql(ADJ + " model", """, na AS (SELECT a.src, a.dst, abs(a.weight) / sqrt(x.d * y.d) AS w FROM adj a JOIN (SELECT src, sum(abs(weight)) AS d FROM adj GROUP BY src) x ON a.src = x.src JOIN (SELECT src, sum(abs(weight)) AS d FROM adj GROUP BY src) y ON a.dst = y.src),

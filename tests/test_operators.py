@@ -190,3 +190,60 @@ def test_rmse_and_ranks_of_given_factors(spark):
     split = r.withColumn("is_test", F.col("item_id") == 2).unionByName(spark.createDataFrame([(2, 3, 9.0, True)], "user_id long, item_id long, raw_score double, is_test boolean"))
     got = training.rank_quality(split, users, items, 5.0, 5.0, k=1)  # user 1: items 2, 3 unseen, 2 first (a hit); user 2: 2 (score 6) before 3 (5.4), a miss
     assert tuple(got.first()) == (2, 0.5, 0.5, 0.5, 0.5)
+
+
+def test_model_scores_are_of_all_unwatched_items(spark, monkeypatch):
+    """Against loops, over several blocks; an unknown watched item and a user who watched only such play no part."""
+    monkeypatch.setattr(rec, "FULL_BLOCK_ROWS", 4)
+    rng = random.Random(6)
+    items = {i: ([rng.uniform(-1, 1) for _ in range(3)], rng.uniform(0, 1)) for i in range(11)}
+    watched = {u: {i: rng.uniform(0.2, 3) for i in rng.sample(range(11), 1 + u % 4)} for u in range(9)}
+    rows = [(u, i, w, i) for u, v in watched.items() for i, w in v.items()] + [(0, 99, 1.0, 0), (50, 99, 1.0, 0)]
+    watch = spark.createDataFrame(rows, "user_id long, item_id long, weight double, pos int")
+    model = spark.createDataFrame([(i, q, b) for i, (q, b) in items.items()], "item_id long, q array<double>, bias double")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {}
+    for u, v in watched.items():
+        p = [sum(w * items[i][0][k] for i, w in v.items()) / sum(v.values()) for k in range(3)]
+        for i, (q, b) in items.items():
+            if i not in v:
+                parts = [dot(q, items[j][0]) * w for j, w in v.items()]
+                want[u, i] = (b + 2 + dot(p, q), max(parts), sum(x > 0 for x in parts))
+    got = {(r.user_id, r.item_id): (r.score, r.strongest, r.support) for r in rec.model_scores(watch, model, 2.0).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert rec.model_scores(watch.limit(0), model).count() == 0 and rec.model_scores(watch, model.limit(0)).count() == 0
+
+
+def test_popular_lists_are_the_first_unseen(spark):
+    rng = random.Random(8)
+    rows = [(u, i, 5.0) for u in range(12) for i in rng.sample(range(15), rng.randint(1, 12))]
+    seen = spark.createDataFrame(rows, "user_id long, item_id long, raw_score double")
+    users = seen.select("user_id").union(spark.createDataFrame([(77,)], "user_id long"))
+    count = {i: sum(r[1] == i for r in rows) for i in {r[1] for r in rows}}
+    order = sorted(count, key=lambda i: (-count[i], i))
+    want = {(u, i, k) for u in [*range(12), 77] for k, i in enumerate([i for i in order if (u, i, 5.0) not in rows][:4], 1)}
+    assert set(map(tuple, rec.popular_unseen(users, seen, 4).collect())) == want
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_edge_sample_is_the_first_by_hash(spark, copies):
+    import hashlib
+
+    rows = [(a, a + b, float(b)) for a in range(30) for b in range(1, 4)] + [(1, 2, 1.0)] * (copies - 1)
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"1|{r[0]}|{r[1]}".encode()).hexdigest(), r[0], r[1]))
+    for rate in (0.001, 0.3, 0.9):
+        assert sorted(map(tuple, graph.edge_sample(edges, rate).collect())) == sorted(order[: max(1, round(len(rows) * rate))])
+    assert graph.edge_sample(edges.limit(0), 0.5).count() == 0
+
+
+def test_capped_pairs_are_the_first_met(spark):
+    rows = [(k % 7, k, k + 1) for k in range(50)]
+    w = spark.createDataFrame(rows, "first_user long, lo long, hi long")
+    assert sorted(map(tuple, graph.capped_pairs(w, 20).collect())) == sorted(rows)[:20]
+    assert graph.capped_pairs(w, 0).count() == 50 and graph.capped_pairs(w, 99).count() == 50
+
+
+@pytest.mark.parametrize("ratings,users,items,blocks", [(10, 5, 5, 2), (10**9, 10**6, 10**5, 50), (10**11, 10**6, 10**4, 448)])
+def test_factor_blocks_grow_with_the_input(ratings, users, items, blocks):
+    assert training.block_count(ratings, users, items) == blocks
