@@ -9,9 +9,9 @@ from cofolio.functions.scalars import BLANKS, unicode_trim
 
 LIST_ENTRY = "anime_id string, anime_title string, score string"
 LEGACY_RATINGS = "users array<struct<userId: string, ratings: array<struct<animeId: string, title: string, rawScore: string, normalizedScore: string>>>>"
-COMPACT_RATINGS = "format string, anime array<array<string>>, users array<array<string>>"
+COMPACT_RATINGS = "format string, part int, anime array<array<string>>, users array<array<string>>"
 LEGACY_GRAPH = "nodes array<struct<id: string, label: string, nodeType: string>>, edges array<struct<id: string, source: string, target: string, edgeType: string, weight: double>>"
-COMPACT_GRAPH = "format string, userIds array<string>, anime array<array<string>>, ua array<array<double>>, aa array<array<double>>"
+COMPACT_GRAPH = "format string, part int, userIds array<string>, anime array<array<string>>, ua array<array<double>>, aa array<array<double>>"
 MODEL = "format string, globalMean double, factors int, animeIds array<double>, titles array<string>, biases array<double>, embeddings array<array<double>>, anime array<struct<animeId: double, title: string, bias: double, embedding: array<double>>>"
 
 
@@ -27,6 +27,11 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.where("_bad is null").drop("_bad").join(single, "file", "left_anti").unionByName(whole.join(single, "file", "left_semi"))
 
 
+def _dictionaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents with positions into their own dictionary; a file's documents differ by ``part`` (0 where they have none)."""
+    return _json(spark, path, schema).withColumn("part", F.coalesce("part", F.lit(0)))
+
+
 def _finite(c):
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
@@ -50,12 +55,12 @@ def legacy_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """The same columns from the dictionary-encoded form, a document a file; indexes keep their written positions, bad dictionary rows are marked."""
-    doc = _json(spark, path, COMPACT_RATINGS)
-    items = doc.select("file", F.posexplode("anime").alias("idx", "a")).select("file", "idx", F.get("a", F.lit(0)).try_cast("bigint").alias("item_id"), F.get("a", F.lit(1)).alias("title"))
-    users = doc.select("file", F.explode("users").alias("u")).select("file", F.get("u", F.lit(0)).alias("user_id"), F.explode(F.from_json(F.get("u", F.lit(1)), "array<array<double>>")).alias("t"))
-    cells = users.select("file", "user_id", F.get("t", F.lit(0)).cast("int").alias("idx"), F.get("t", F.lit(1)).alias("raw_score"), F.get("t", F.lit(2)).alias("normalized_score"))
-    joined = cells.join(items, ["file", "idx"], "left")
+    """The same columns from the dictionary-encoded form, each document by its own dictionary; indexes keep their written positions, bad dictionary rows are marked."""
+    doc = _dictionaries(spark, path, COMPACT_RATINGS)
+    items = doc.select("file", "part", F.posexplode("anime").alias("idx", "a")).select("file", "part", "idx", F.get("a", F.lit(0)).try_cast("bigint").alias("item_id"), F.get("a", F.lit(1)).alias("title"))
+    users = doc.select("file", "part", F.explode("users").alias("u")).select("file", "part", F.get("u", F.lit(0)).alias("user_id"), F.explode(F.from_json(F.get("u", F.lit(1)), "array<array<double>>")).alias("t"))
+    cells = users.select("file", "part", "user_id", F.get("t", F.lit(0)).cast("int").alias("idx"), F.get("t", F.lit(1)).alias("raw_score"), F.get("t", F.lit(2)).alias("normalized_score"))
+    joined = cells.join(items, ["file", "part", "idx"], "left")
     bad = (F.coalesce("user_id", F.lit("")) == "") | F.col("item_id").isNull() | ~_finite(F.col("raw_score"))
     return joined.select("user_id", "item_id", F.coalesce("title", F.concat(F.lit("Anime "), F.col("item_id").cast("string"))).alias("title"), "raw_score", "normalized_score", bad.alias("rejected"))
 
@@ -72,14 +77,14 @@ def legacy_graph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_graph(spark: SparkSession, path: str) -> DataFrame:
-    """``source, target, edge_type, weight`` with node names rebuilt, a document a file; edges of unknown positions are dropped."""
-    doc = _json(spark, path, COMPACT_GRAPH)
-    users = doc.select("file", F.posexplode("userIds").alias("ui", "u")).select("file", "ui", F.concat(F.lit("user:"), "u").alias("user"))
-    items = doc.select("file", F.posexplode("anime").alias("ai", "a")).select("file", "ai", F.concat(F.lit("anime:"), F.get("a", F.lit(0))).alias("item"))
-    cell = lambda name: doc.select("file", F.explode(name).alias("t")).select("file", F.get("t", F.lit(0)).cast("int").alias("x"), F.get("t", F.lit(1)).cast("int").alias("y"), F.get("t", F.lit(2)).alias("weight"))
-    ua = cell("ua").join(users.withColumnRenamed("ui", "x"), ["file", "x"]).join(items.withColumnRenamed("ai", "y"), ["file", "y"]).select(F.col("user").alias("source"), F.col("item").alias("target"), F.lit("user-anime").alias("edge_type"), "weight")
-    left, right = items.select("file", F.col("ai").alias("x"), F.col("item").alias("source")), items.select("file", F.col("ai").alias("y"), F.col("item").alias("target"))
-    aa = cell("aa").join(left, ["file", "x"]).join(right, ["file", "y"]).select("source", "target", F.lit("anime-anime").alias("edge_type"), "weight")
+    """``source, target, edge_type, weight`` with node names rebuilt, each document by its own dictionary; edges of unknown positions are dropped."""
+    doc = _dictionaries(spark, path, COMPACT_GRAPH)
+    users = doc.select("file", "part", F.posexplode("userIds").alias("ui", "u")).select("file", "part", "ui", F.concat(F.lit("user:"), "u").alias("user"))
+    items = doc.select("file", "part", F.posexplode("anime").alias("ai", "a")).select("file", "part", "ai", F.concat(F.lit("anime:"), F.get("a", F.lit(0))).alias("item"))
+    cell = lambda name: doc.select("file", "part", F.explode(name).alias("t")).select("file", "part", F.get("t", F.lit(0)).cast("int").alias("x"), F.get("t", F.lit(1)).cast("int").alias("y"), F.get("t", F.lit(2)).alias("weight"))
+    ua = cell("ua").join(users.withColumnRenamed("ui", "x"), ["file", "part", "x"]).join(items.withColumnRenamed("ai", "y"), ["file", "part", "y"]).select(F.col("user").alias("source"), F.col("item").alias("target"), F.lit("user-anime").alias("edge_type"), "weight")
+    left, right = items.select("file", "part", F.col("ai").alias("x"), F.col("item").alias("source")), items.select("file", "part", F.col("ai").alias("y"), F.col("item").alias("target"))
+    aa = cell("aa").join(left, ["file", "part", "x"]).join(right, ["file", "part", "y"]).select("source", "target", F.lit("anime-anime").alias("edge_type"), "weight")
     return ua.unionByName(aa)
 
 

@@ -2,11 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cofolio.functions.scalars import quantise, round4
 from cofolio.operators.graph import dense_index
+from cofolio.sources.scratch import cut
+
+#: Cells (ratings, edges, or numbers of factors) of a document; what has more is written as several documents, each whole in itself.
+DOCUMENT_CELLS = 1_000_000
+
+
+def _parts(n: int) -> int:
+    return max(1, math.ceil(n / DOCUMENT_CELLS))
+
+
+def _part(parts: int, *columns: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int").alias("part")
+
+
+def _dictionary(used: DataFrame, names: DataFrame) -> DataFrame:
+    """``part, idx, local, item_id, title`` of used positions ``part, idx``: positions of a document's own dictionary, in order."""
+    local = F.row_number().over(Window.partitionBy("part").orderBy("idx")) - 1
+    return used.distinct().withColumn("local", local).join(names, "idx")
+
+
+def _names(ratings: DataFrame, items: DataFrame) -> DataFrame:
+    """``idx, item_id, title``, a title an item."""
+    return item_positions(ratings).join(items.groupBy("item_id").agg(F.min("title").alias("title")), "item_id", "left")
+
+
+def _listed(dictionary: DataFrame) -> DataFrame:
+    """``part, anime``: the dictionaries as arrays."""
+    entry = F.struct("local", F.array(F.col("item_id").cast("string"), "title").alias("a"))
+    return dictionary.groupBy("part").agg(F.sort_array(F.collect_list(entry)).alias("d")).select("part", F.col("d.a").alias("anime"))
 
 
 def item_positions(ratings: DataFrame) -> DataFrame:
@@ -31,13 +62,16 @@ def write_legacy_ratings(normalised: DataFrame, items: DataFrame, path: str) ->
 
 
 def write_compact_ratings(normalised: DataFrame, items: DataFrame, path: str) -> None:
-    """One JSON document, dictionary-encoded; for catalogues and user bases that fit a document."""
-    dictionary = item_positions(normalised).join(items, "item_id", "left").groupBy().agg(
-        F.sort_array(F.collect_list(F.struct("idx", F.array(F.col("item_id").cast("string"), "title").alias("a")))).alias("d")
-    )
-    users = compact_rating_rows(normalised).groupBy().agg(F.sort_array(F.collect_list(F.array(F.col("user_id").cast("string"), F.to_json("cells")))).alias("users"))
-    doc = dictionary.join(F.broadcast(users)).select(F.lit("ratings-compact-v1").alias("format"), F.col("d.a").alias("anime"), "users")
-    doc.write.mode("overwrite").json(path)
+    """Dictionary-encoded JSON documents of at most about ``DOCUMENT_CELLS`` ratings with a dictionary each: one for a small dataset,
+    none for an empty one. A user is in one document, but for users with more ratings than a document holds."""
+    parts = _parts(normalised.count())
+    sizes = normalised.groupBy("user_id").agg(F.ceil(F.count("*") / DOCUMENT_CELLS).alias("__n"))
+    cells = normalised.join(sizes, "user_id").withColumn("part", _part(parts, "user_id", F.pmod(F.xxhash64("item_id"), "__n")))
+    dictionary = _dictionary(cells.join(item_positions(normalised), "item_id").select("part", "idx"), _names(normalised, items))
+    triple = F.array(F.col("local").cast("double"), F.col("raw_score"), round4(F.col("normalized_score")))
+    rows = cells.join(dictionary.select("part", "item_id", "local"), ["part", "item_id"]).groupBy("part", "user_id").agg(F.sort_array(F.collect_list(F.struct("local", triple.alias("t")))).alias("c"))
+    users = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.array(F.col("user_id").cast("string"), F.to_json("c.t")))).alias("users"))
+    _listed(dictionary).join(users, "part").select(F.lit("ratings-compact-v1").alias("format"), "part", "anime", "users").write.mode("overwrite").json(path)
 
 
 def compact_graph_edges(user_edges: DataFrame, pairs: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -56,13 +90,30 @@ def write_graph(edges: DataFrame, path: str, codec: str = "none") -> None:
 
 
 def write_compact_graph(user_edges: DataFrame, pairs: DataFrame, ratings: DataFrame, items: DataFrame, path: str) -> None:
-    """One JSON document of positions; for graphs that fit a document."""
-    cells = compact_graph_edges(user_edges, pairs, ratings)
-    triples = cells.groupBy().agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.array(F.col("x").cast("double"), F.col("y").cast("double"), "weight")))).alias(k) for k in ("ua", "aa")])
-    names = item_positions(ratings).join(items, "item_id", "left").groupBy().agg(F.sort_array(F.collect_list(F.struct("idx", F.array(F.col("item_id").cast("string"), "title").alias("a")))).alias("d"))
-    users = ratings.select("user_id").distinct().groupBy().agg(F.sort_array(F.collect_list("user_id")).alias("u"))
-    doc = triples.join(F.broadcast(names)).join(F.broadcast(users)).select(F.lit("graph-compact-v1").alias("format"), F.col("u").cast("array<string>").alias("userIds"), F.col("d.a").alias("anime"), "ua", "aa")
-    doc.write.mode("overwrite").json(path)
+    """JSON documents of positions, of at most about ``DOCUMENT_CELLS`` edges, each with the names of its nodes: one for a small graph.
+    Nodes without edges are in the document that their position falls into."""
+    edges = cut(compact_graph_edges(user_edges, pairs, ratings), "graph-cells")
+    parts = _parts(edges.count())
+    cells = edges.withColumn("part", _part(parts, "kind", "x", "y"))
+    names = _names(ratings, items)
+    users = dense_index(ratings.select("user_id").distinct(), ["user_id"]).select("user_id", F.col("idx").cast("int").alias("idx"))
+    aa, ua = cells.where("kind = 'aa'"), cells.where("kind = 'ua'")
+    use = lambda df, c: df.select("part", F.col(c).alias("idx"))
+    used = use(aa, "x").unionByName(use(aa, "y")).unionByName(use(ua, "y")).unionByName(names.select(_part(parts, "idx"), "idx"))
+    dictionary = _dictionary(used, names)
+    people = _dictionary(use(ua, "x").unionByName(users.select(_part(parts, "idx"), "idx")), users)
+    at = lambda d, old, new: d.select("part", F.col("idx").alias(old), F.col("local").alias(new))
+    local = aa.join(at(dictionary, "x", "lx"), ["part", "x"]).join(at(dictionary, "y", "ly"), ["part", "y"]).select("part", "kind", "lx", "ly", "weight")
+    local = local.unionByName(ua.join(at(people, "x", "lx"), ["part", "x"]).join(at(dictionary, "y", "ly"), ["part", "y"]).select("part", "kind", "lx", "ly", "weight"))
+    triple = F.array(F.col("lx").cast("double"), F.col("ly").cast("double"), "weight")
+    triples = local.groupBy("part").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, triple))).alias(k) for k in ("ua", "aa")])
+    listed = people.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("local", F.col("user_id").cast("string").alias("u")))).alias("d")).select("part", F.col("d.u").alias("userIds"))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    doc = _listed(dictionary).join(listed, "part", "full").join(triples, "part", "full")
+    doc.select(
+        F.lit("graph-compact-v1").alias("format"), "part", empty("userIds", "array<string>"), empty("anime", "array<array<string>>"),
+        empty("ua", "array<array<double>>"), empty("aa", "array<array<double>>"),
+    ).write.mode("overwrite").json(path)
 
 
 def write_model(users: DataFrame, items: DataFrame, path: str) -> None:
@@ -72,10 +123,12 @@ def write_model(users: DataFrame, items: DataFrame, path: str) -> None:
 
 
 def write_web_model(model: DataFrame, path: str, digits: int = 5, compact: bool = True) -> None:
-    """``item_id, title, bias, q`` rounded: as parallel arrays in one document (small catalogues), or documents of one entry."""
+    """``item_id, title, bias, q`` rounded: as parallel arrays in documents of at most about ``DOCUMENT_CELLS`` numbers (one for a small catalogue), or
+    documents of one entry."""
     r = model.select("item_id", "title", quantise(F.col("bias"), digits).alias("bias"), F.transform("q", lambda x: quantise(x, digits)).alias("embedding"))
     if compact:
-        doc = r.groupBy().agg(F.sort_array(F.collect_list(F.struct("item_id", "title", "bias", "embedding"))).alias("a"))
+        cells = r.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("n")).first()["n"]
+        doc = r.groupBy(_part(_parts(cells), "item_id")).agg(F.sort_array(F.collect_list(F.struct("item_id", "title", "bias", "embedding"))).alias("a"))
         doc.select(F.lit("model-compact-v1").alias("format"), F.col("a.item_id").alias("animeIds"), F.col("a.title").alias("titles"), F.col("a.bias").alias("biases"), F.col("a.embedding").alias("embeddings")).write.mode("overwrite").json(path)
     else:
         r.select(F.array(F.struct(F.col("item_id").alias("animeId"), "title", "bias", "embedding")).alias("anime")).write.mode("overwrite").json(path)

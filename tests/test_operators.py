@@ -247,3 +247,27 @@ def test_capped_pairs_are_the_first_met(spark):
 @pytest.mark.parametrize("ratings,users,items,blocks", [(10, 5, 5, 2), (10**9, 10**6, 10**5, 50), (10**11, 10**6, 10**4, 448)])
 def test_factor_blocks_grow_with_the_input(ratings, users, items, blocks):
     assert training.block_count(ratings, users, items) == blocks
+
+
+def test_documents_in_parts_are_read_back(spark, tmp_path, monkeypatch):
+    """Datasets, graphs and models beyond a document's size: several documents, some in one file, with the same rows; one user fills several."""
+    monkeypatch.setattr(writers, "DOCUMENT_CELLS", 9)
+    rows = [(u, i, float((u * i) % 9 + 1)) for u in range(8) for i in range(4)] + [(90, i, float(i % 9 + 1)) for i in range(30)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, raw_score double")
+    norm = R.centred(ratings)
+    items = spark.createDataFrame([(i, f"t{i}") for i in range(30)] + [(3, "u3")], "item_id long, title string")
+    writers.write_compact_ratings(norm, items, f"{tmp_path}/ratings")
+    got = readers.open_ratings(spark, f"{tmp_path}/ratings").collect()
+    assert sorted((int(r.user_id), r.item_id, r.raw_score) for r in got) == sorted(rows) and all(r.title == f"t{r.item_id}" for r in got)
+    assert spark.read.json(f"{tmp_path}/ratings").count() > 3
+    pairs = spark.createDataFrame([(a, a + 1, 0.5) for a in range(20)], "lo long, hi long, weight double")
+    mine = ratings.select("user_id", "item_id", F.col("raw_score").alias("weight"))
+    writers.write_compact_graph(mine, pairs, ratings, items, f"{tmp_path}/graph")
+    edges = {(r.source, r.target, r.weight) for r in readers.compact_graph(spark, f"{tmp_path}/graph").collect()}
+    assert edges == {(f"user:{u}", f"anime:{i}", w) for u, i, w in rows} | {(f"anime:{a}", f"anime:{a + 1}", 0.5) for a in range(20)}
+    model = spark.createDataFrame([(k, f"v{k}", k / 8, [k / 4, 1.0]) for k in range(30)], "item_id long, title string, bias double, q array<double>")
+    writers.write_web_model(model, f"{tmp_path}/model")
+    assert sorted(map(tuple, readers.model(spark, f"{tmp_path}/model").collect())) == sorted(map(tuple, model.collect()))
+    assert spark.read.json(f"{tmp_path}/model").count() > 3
+    writers.write_compact_ratings(norm.limit(0), items, f"{tmp_path}/none")
+    assert readers.open_ratings(spark, f"{tmp_path}/none").count() == 0
