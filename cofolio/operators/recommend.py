@@ -258,6 +258,17 @@ def filtered(scored: DataFrame, features: DataFrame, **conditions) -> DataFrame:
     return scored.join(meta, "item_id", "left").where(matches(**conditions)).drop("genres", "year", "meta_score")
 
 
+def missing_metadata(scored: DataFrame, features: DataFrame) -> DataFrame:
+    """``user_id, missing``: each user's rows whose item has no metadata, which a metadata filter drops."""
+    known = features.select("item_id", F.lit(True).alias("__has")).distinct()
+    return scored.join(known, "item_id", "left").groupBy("user_id").agg(F.count_if(F.col("__has").isNull()).alias("missing"))
+
+
+def unknown_items(watch: DataFrame, model: DataFrame) -> DataFrame:
+    """``user_id, item_id``: watched items that the model lacks; they play no part in its scores."""
+    return watch.select("user_id", "item_id").distinct().join(model.select("item_id"), "item_id", "left_anti").select("user_id", "item_id")
+
+
 def genre_facet(scored: DataFrame, features: DataFrame, top: int = 100) -> DataFrame:
     """``user_id, genre, label``: distinct genres of each user's first ``top`` candidates with the first spelling."""
     first = ranked(scored, top).join(features.select("item_id", "genres"), "item_id").select("user_id", "rank", F.posexplode("genres").alias("i", "label"))

@@ -360,6 +360,17 @@ def j8_block_scores(s, d):
     return top.withColumn("k", F.row_number().over(order)).where("k <= 20").select("user_id", "item_id", _r("score"))
 
 
+@query(S.sql("r1", """SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY raw_score DESC, item_id) AS pos FROM r1)
+    WHERE pos <= 5 AND item_id NOT IN (SELECT vec_id FROM embeddings)"""))
+def j7_unknown_items(s, d):
+    return rec.unknown_items(S.watch_lists(S.sparse_ratings(s, d)), S.item_model(s, d))
+
+
+@query(_M.format(cut="") + " SELECT user_id, count(*) FILTER (item_id NOT IN (SELECT p_partkey FROM part)) AS missing FROM ms GROUP BY 1")
+def p5_missing_metadata(s, d):
+    return rec.missing_metadata(rec.model_scores(_watch(s, d), S.item_model(s, d)), S.content(s, d))
+
+
 _KNOWN = S.sql("entries r2 model", "").rstrip() + """, sc AS (SELECT c.c_custkey AS user_id, m.item_id, m.bias + c.c_custkey % 7 / 10 + list_dot_product(u.q, m.q) AS score
     FROM customer c JOIN model u ON u.item_id = c.c_custkey % 50 CROSS JOIN model m WHERE NOT EXISTS (SELECT 1 FROM r2 WHERE r2.user_id = c.c_custkey AND r2.item_id = m.item_id))"""
 
