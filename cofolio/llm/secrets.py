@@ -33,12 +33,17 @@ _LETTERS = f"(?<![^\\x00-\\x7f])(?=[{_L}]*[A-Ma-m])(?=[{_L}]*[N-Zn-z])(?:[{_L}]{
 _RUN = f"(?:(?=//)|{_FREE})(?:{_DIGITS}|{_LETTERS})(?:={{1,2}}(?![=\"'{_C}]))?"
 _KEY_BLOCK = "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]{1,20000}-----END [A-Z0-9 ]{0,60}-----)?"
 _AT_HOST = "(?=@[A-Za-z0-9-]+[.:/])"
+#: At the start of a run of its characters: what stands before an assigned value, a password at a host, or a free run. The runs
+#: are possessive, as what must follow them has none of their characters; the sign after a name is sought first.
+_STARTS = "|".join([
+    f"(?=[{_C}]++[\"']?[ \\t]{{0,3}}[=:])[{_C}]*?(?i:{CREDENTIAL})[A-Za-z0-9_-]{{0,64}}[\"']?[ \\t]{{0,3}}(?:=>|:=|[=:]{{1,2}})[ \\t]{{0,3}}[\"']?",  # credential word
+    f"(?:[A-Za-z][A-Za-z0-9+.-]{{0,30}}+://)?[^{_REST}:/@]{{0,100}}+:(?=[^{_REST}@/]{{1,256}}{_AT_HOST})",  # user:password@host
+    f"(?=[{_C}]{{12}})(?={_RUN})",  # the length first, as it rules out most words
+])
 _BEFORE = "|".join([
     f"(?={_KEY_BLOCK})",
-    f"(?<![{_C}])[{_C}]*?(?i:{CREDENTIAL})[A-Za-z0-9_-]{{0,64}}[\"']?[ \\t]{{0,3}}(?:=>|:=|[=:]{{1,2}})[ \\t]{{0,3}}[\"']?",  # credential word
-    f"(?<![{_C}])(?:[A-Za-z][A-Za-z0-9+.-]{{0,30}}://)?[^{_REST}:/@]{{0,100}}:(?=[^{_REST}@/]{{1,256}}{_AT_HOST})",  # user:password@host
+    f"(?<![{_C}])(?:{_STARTS})",
     f"(?:=>|[=:])[ \\t]{{0,3}}[\"']?(?!//)(?={_DIGITS}|{_LETTERS})",  # any other name
-    f"(?<![{_C}])(?=[{_C}]{{12}})(?={_RUN})",  # the length first, as it rules out most words
 ])
 _VALUE = "|".join([
     _KEY_BLOCK, _RUN, f"(?<=:)[^{_REST}@/]{{1,256}}{_AT_HOST}",
@@ -68,19 +73,28 @@ _ISSUED = "|".join(f"{prefix}[{letters}]{{{n}}}" for prefix, letters, n in ISSUE
 DIGEST_WORD = r"(?:commit|sha-?\d*|md5|checksum|digest|etag|[ug]uid|hash|revision|version|build|\bid)\b"
 
 
+def _may_have(text: Column) -> Column:
+    """False only for texts in which ``CANDIDATE`` finds nothing: cheap tests, each true where one of its alternatives can match."""
+    sign = text.contains("=") | text.contains(":")
+    long = text.rlike(f"[{_C}]{{12}}")  # rules out most texts before the closer look
+    run = long & text.rlike(f"(?=[{_C}]{{12}})(?:[A-Za-z+/_.@-]*+[0-9]|[{_L}]{{20}}|[{_L}]*?[a-z+/_-][A-Z])")
+    return text.contains("-----BEGIN ") | (text.contains(":") & text.contains("@")) | (sign & text.rlike("(?i)" + CREDENTIAL)) | run
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``id_col, place, value, before, after, path``: every candidate of every text, ``place`` counting from 0 in its text;
     ``before`` and ``after`` are up to 80 and 40 characters beside it. Null texts have none; a null or missing path is empty."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     text = F.translate(F.col(text_col), _MARK, "\x02")
-    rows = docs.select(F.col(id_col), text.alias("__t"), path.alias("path")).where(F.col("__t").rlike(CANDIDATE))
+    rows = docs.where(_may_have(F.col(f"`{text_col}`"))).select(F.col(id_col), text.alias("__t"), path.alias("path"))
     between = F.split(F.regexp_replace("__t", f"({_BEFORE})(?:{_VALUE})", f"$1{_MARK}"), _MARK, -1)
     parts = rows.select(id_col, "path", F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(1)).alias("value"), between.alias("__between"))
-    after = F.slice("__between", 2, F.greatest(F.size("__between") - 1, F.lit(0)))
-    found = parts.select(id_col, "path", F.posexplode(F.arrays_zip("value", F.col("__between").alias("b"), after.alias("a"))).alias("place", "__x"))
-    return found.where("__x.value is not null").select(
-        id_col, "place", F.col("__x.value").alias("value"), F.substring("__x.b", -80, 80).alias("before"), F.substring("__x.a", 1, 40).alias("after"), "path"
+    beside = lambda v, k: F.struct(
+        v.alias("value"), F.substring(F.get("__between", k), -80, 80).alias("before"), F.substring(F.get("__between", k + 1), 1, 40).alias("after")
     )
+    # the outer form, as the other one has the patterns run a second time to leave out empty arrays
+    found = parts.select(id_col, "path", F.posexplode_outer(F.transform("value", beside)).alias("place", "__x")).where("__x is not null")
+    return found.select(id_col, "place", "__x.value", "__x.before", "__x.after", "path")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", min_docs: int = DICTIONARY_DOCS) -> DataFrame:
