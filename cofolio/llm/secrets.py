@@ -189,15 +189,17 @@ def rendered(spark: SparkSession, count: int = RENDERED, seed: int = 0) -> DataF
     secret = F.when(bare, issued).otherwise(value)
     told = F.when(bare, one_of("at", ["{v}", "key {v}", "{v},", "({v})"])).when(host, fill("https://{w}:{v}@{w}.example.org/", w=word)).otherwise(assigned)
     text = F.when(F.col("label") == 1, fill(told, v=F.col("secret"), n=name)).otherwise(harmless)
-    rows = spark.range(2 * count).withColumn("label", (row % 2).cast("int")).withColumn("secret", F.when(F.col("label") == 1, secret))
+    rows = cut(spark.range(2 * count).select("id", (row % 2).cast("int").alias("label"), secret.alias("secret")), "secret-drawn")
+    rows = rows.withColumn("secret", F.when(F.col("label") == 1, F.col("secret")))
     around = lambda side: one_of(side, ["", "\n", "use ", "with ", "- "])
     return rows.select(row.alias("doc_id"), F.concat(F.lit("rendered"), number("source", 64)).alias("source"), F.concat(around("before"), text, F.lit(" "), around("after")).alias("text"), "secret", "label")
 
 
 def rendered_findings(texts: DataFrame, words: DataFrame) -> DataFrame:
     """The candidates of :func:`rendered` texts with features and ``label``; of a text with a secret, that alone."""
+    texts = cut(texts, "secret-rendered")
     found = candidates(texts).join(F.broadcast(texts.select("doc_id", "secret", "label")), "doc_id")  # twice RENDERED rows
-    return with_features(found.where("secret is null or secret = value").drop("secret"), words)
+    return with_features(cut(found.where("secret is null or secret = value").drop("secret"), "secret-rendered"), words)
 
 
 def train(
@@ -245,7 +247,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     Null and empty texts have no candidates; repeated rows have theirs each; ids may be null; other columns are ignored.
     """
     words = cut(dictionary(docs, text_col), "secret-words")
-    found = cut(with_features(candidates(docs, id_col, text_col, path_col), words), "secret-findings")
+    found = cut(with_features(cut(candidates(docs, id_col, text_col, path_col), "secret-candidates"), words), "secret-findings")
     if labelled is None:
         model = train(found.withColumn("label", distant_label()), always=rendered_findings(rendered(docs.sparkSession), words))
     else:
