@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, lm, near_dedup, quality, secrets, sharding, suffix_dedup
+from . import bpe, decontaminate, exact_dedup, html_text, lm, near_dedup, quality, secrets, sharding, simhash, spelling, suffix_dedup, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,9 +71,21 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_kd_sharding, op2_elias_fano_lm, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op6_icws_dedup, op7_suffix_dedup, op8_secret_forest, op9_exact_dedup, op10_bpe_trie)
+    for f in (op1_kd_sharding, op2_elias_fano_lm, op3_quality_mil, op4_template_removal, op5_spaced_seeds, op6_icws_dedup, op7_suffix_dedup, op8_secret_forest, op9_exact_dedup, op10_bpe_trie, op11_whitening, op12_simhash_planes, op13_spelling_tiles)
 }
 
 #: A-Z and a-z, for DuckDB's translate.
