@@ -3,7 +3,7 @@
 A document is a bag of passages of ``WORDS`` words. Each passage is encoded from byte-class pairs, word
 statistics and the shares of its words in ``WORD_DIMS`` hashed classes; a small network learns, from document labels alone, the encoding, a gated attention
 weight for each passage and the class of the weighted sum (Ilse et al. 2018). It is fitted on
-a bounded sample of labelled rows (``train_docs`` and ``train_passages`` of each, parameters); every whole text is scored in Spark.
+a bounded sample of labelled rows (``train_docs`` and their ``train_passages`` in all, parameters) with all their passages; every whole text is scored in Spark.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut
 from .vec import lower_ascii, pieces, word_bounds, word_hashes
 
 WORDS = 64
@@ -98,31 +99,62 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> dict
     return {"x": x, "h": h, "t": t, "g": g, "of": of, "weight": weight, "z": z, "logit": z @ p["c"] + p["d"]}
 
 
-def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = 250, rate: float = 0.02, seed: int = 7) -> Model:
-    """Adam on the log loss over all passages at once."""
+def _gradients(p: dict[str, np.ndarray], fixed: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss over the bags."""
+    f = _forward(p | fixed, x, first)
+    err = (1 / (1 + np.exp(-np.clip(f["logit"], -30, 30))) - label) / len(label)
+    dz = err[:, None] * p["c"]
+    dzp = dz[f["of"]]
+    dweight = (dzp * f["h"]).sum(1)
+    da = f["weight"] * (dweight - np.add.reduceat(dweight * f["weight"], first)[f["of"]])
+    dt, dg = da[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), da[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+    dh = (dzp * f["weight"][:, None] + dt @ p["V"].T + dg @ p["U"].T) * (f["h"] > 0)
+    return {"c": f["z"].T @ err, "d": err.sum(keepdims=True), "w": (f["t"] * f["g"]).T @ da, "V": f["h"].T @ dt, "U": f["h"].T @ dg, "W": f["x"].T @ dh, "b": dh.sum(0)}
+
+
+def fit(
+    x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = 250, rate: float = 0.02, seed: int = 7,
+    decay: float = 0.1, dropout: float = 0.3, validation: float = 0.15, patience: int = 60,
+) -> Model:
+    """Adam with decoupled weight decay on the log loss over all passages at once.
+
+    So that it doesn't learn its rows by heart, each epoch sees a share ``dropout`` of the inputs as their means, and the parameters of the
+    epoch with the least loss on a ``validation`` share of the bags are kept (from 40 bags on, if both shares have both labels); it ends
+    ``patience`` epochs after that one.
+    """
     prior = (float(label.sum()) + 1) / (len(label) + 1)
     if len(label) == 0 or label.min() == label.max():
         return Model({}, prior)
     rng = np.random.default_rng(seed)
     p = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) for k, s in {"W": (WIDTH, HIDDEN), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,)}.items()}
-    p |= {"b": np.zeros(HIDDEN), "d": np.zeros(1)}
-    fixed = {"mean": x.mean(0), "spread": x.std(0) + 1e-3}
+    p = {k: a.astype(np.float32) for k, a in p.items()} | {"b": np.zeros(HIDDEN, np.float32), "d": np.zeros(1, np.float32)}
+    x = x.astype(np.float32, copy=False)
+    fixed = {"mean": x.mean(0), "spread": x.std(0) + np.float32(1e-3)}
+    size = np.diff(np.append(first, len(x)))
+    held = rng.random(len(first)) < validation
+    if len(label) < 40 or any(len(np.unique(part)) < 2 for part in (label[held], label[~held])):
+        held[:] = False
+    of = np.repeat(held, size)
+    begin = lambda n: np.cumsum(n) - n
+    tests, test_first, test_label = x[of], begin(size[held]), label[held]
+    x, first, label = x[~of], begin(size[~held]), label[~held]
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
+    best, best_loss, best_step = p, np.inf, 0
     for step in range(1, epochs + 1):
-        f = _forward(p | fixed, x, first)
-        err = (1 / (1 + np.exp(-np.clip(f["logit"], -30, 30))) - label) / len(label)
-        dz = err[:, None] * p["c"]
-        dzp = dz[f["of"]]
-        dweight = (dzp * f["h"]).sum(1)
-        da = f["weight"] * (dweight - np.add.reduceat(dweight * f["weight"], first)[f["of"]])
-        dt, dg = da[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), da[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-        dh = (dzp * f["weight"][:, None] + dt @ p["V"].T + dg @ p["U"].T) * (f["h"] > 0)
-        grads = {"c": f["z"].T @ err, "d": err.sum(keepdims=True), "w": (f["t"] * f["g"]).T @ da, "V": f["h"].T @ dt, "U": f["h"].T @ dg, "W": f["x"].T @ dh, "b": dh.sum(0)}
-        for k, grad in grads.items():
-            grad = grad + 1e-4 * p[k]
+        hidden = rng.integers(0, 256, x.shape, np.uint8) < round(256 * dropout)
+        for k, grad in _gradients(p, fixed, np.where(hidden, fixed["mean"], x), first, label).items():
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad**2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            move = (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            p = p | {k: p[k] - rate * (move if k in "bd" else move + decay * p[k])}  # biases don't decay
+        if held.any():
+            z = _forward(p | fixed, tests, test_first)["logit"]
+            loss = float(np.mean(np.logaddexp(0, z) - test_label * z))
+            if loss < best_loss:
+                best, best_loss, best_step = p, loss, step
+            elif step - best_step >= patience:
+                break
+    p = best if held.any() else p
     return Model({k: a.astype(np.float32) for k, a in (p | fixed).items()}, prior)
 
 
@@ -136,11 +168,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_docs: int = 4000, train_passages: int = 64) -> Model:
-    """Fit on at most ``train_docs`` labelled rows that aren't held out, those of smallest hash of the id, one row an id (of several
-    texts that of smallest hash), and on at most ``train_passages`` passages of each, evenly spaced.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_docs: int = 4000, train_passages: int = 80_000) -> Model:
+    """Fit on a bounded sample of labelled rows that aren't held out, with all their passages.
 
-    Null labels and ids are left out; of several labels of an id the largest counts. Without
+    The sample is the ``train_docs`` rows of smallest hash of the id, one row an id (of several texts that of smallest hash), less those
+    rows with which, counted in that order, it would have more than ``train_passages`` passages; a row goes with all of its passages or stays with all. Null labels and
+    ids are left out; of several labels of an id the largest counts. Without
     rows of both labels the model scores every text alike, by the share of label 1 (1.0 without any label).
     """
     sample = (
@@ -149,23 +182,28 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         .orderBy(F.xxhash64("__id"), "__id").limit(train_docs)
     )
     rows = _texts(docs, id_col, text_col).join(F.broadcast(sample), "__id").groupBy("__id")  # at most ``train_docs`` rows of three short columns
-    rows = rows.agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"), F.first("__label").alias("__label"))
+    rows = rows.agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"), F.first("__label").alias("__label"), F.xxhash64("__id").alias("__at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, end, data, offsets in pieces(b.column(1), PIECE):
                 x, first = encode_passages(data, offsets)
-                spans = zip(first, [*first[1:], len(x)], strict=True)
-                bags = [x[np.unique(np.linspace(i, j - 1, min(j - i, train_passages)).astype(np.int64))].tobytes() for i, j in spans]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at).cast(pa.string()), b.column(2).slice(at, end - at), pa.array(bags, pa.binary())], ["id", "label", "bag"])
-
-    got = rows.mapInArrow(run, "id string, label int, bag binary").collect()  # at most train_docs x train_passages vectors
-    got.sort(key=lambda r: (r["id"], r["bag"]))
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in got]
-    if not bags:
+                spans = np.append(first, len(x)).tolist()
+                bags = [x[i:j].tobytes() for i, j in zip(spans, spans[1:], strict=False)]
+                part = [b.column(k).slice(at, end - at) for k in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([part[0].cast(pa.string()), *part[1:], pa.array(np.diff(spans), pa.int64()), pa.array(bags, pa.binary())], ["id", "label", "at", "n", "bag"])
+
+    bags = cut(rows.mapInArrow(run, "id string, label int, at long, n long, bag binary"), "quality-bags")
+    chosen, total = [], 0
+    for r in sorted(bags.select("at", "id", "n").collect()):  # at most ``train_docs`` rows
+        if total + r.n <= train_passages:
+            chosen, total = [*chosen, r.id], total + r.n
+    got = sorted(bags.where(F.col("id").isin(chosen)).select("id", "label", "bag").collect(), key=lambda r: r.id) if chosen else []  # at most ``train_passages`` vectors
+    if not got:
         return Model({}, 1.0)
+    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in got]
     first = np.cumsum([0, *map(len, bags[:-1])])
-    return fit(np.concatenate(bags).astype(np.float64), first, np.array([r["label"] for r in got], float))
+    return fit(np.concatenate(bags), first, np.array([r["label"] for r in got], np.float32))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

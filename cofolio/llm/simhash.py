@@ -186,13 +186,9 @@ def close_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``a, b``: links that connect all of the distinct fingerprints ``bits`` that differ in two bits at most, directly or through others."""
     spark, links = distinct.sparkSession, None
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    rows, masks = distinct.select("bits", F.lit(0).cast("long").alias("mask")), [0]
+    masks = child_masks(0)
+    keyed = distinct.select("bits", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
     while True:
-        children = {m: child_masks(m) for m in masks}
-        deeper = spark.createDataFrame([(signed(m), signed(c)) for m, cs in children.items() for c in cs], "mask long, child long")  # 216 rows at most
-        masks = sorted({c for cs in children.values() for c in cs})
-        keyed = rows.join(F.broadcast(deeper), "mask").select("bits", F.col("child").alias("mask"))
-        keyed = keyed.distinct() if links is not None else keyed
         keyed = keyed.withColumn("key", F.col("bits").bitwiseAND(F.col("mask")))
         sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"))
         large = cut(sizes.where(F.col("n") > bucket), "simhash-large") if len(masks) < 216 else None
@@ -205,7 +201,11 @@ def close_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
         if none:
             return links
         # a bucket's rows are dealt anew by its own mask, so that what it fixed stays fixed
-        rows = cut(keyed.join(large.select("mask", "key"), ["mask", "key"]).select("bits", "mask"), "simhash-rows")
+        children = {m: child_masks(m) for m in masks}
+        deeper = spark.createDataFrame([(signed(m), signed(c)) for m, cs in children.items() for c in cs], "mask long, child long")  # 216 rows at most
+        masks = sorted({c for cs in children.values() for c in cs})
+        rows = keyed.join(large.select("mask", "key"), ["mask", "key"]).join(F.broadcast(deeper), "mask")
+        keyed = cut(rows.select("bits", F.col("child").alias("mask")).distinct(), "simhash-rows")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:

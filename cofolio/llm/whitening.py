@@ -296,7 +296,8 @@ def fit(vectors: DataFrame, d: int, components: int = COMPONENTS) -> Whitening:
             found = [null_vectors(matrix, root, many)[place].tolist() for root, many, place in roots]
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([f"{r[0].numerator}/{r[0].denominator}" for r in roots]), pa.array(found, pa.list_(pa.float64()))], ["k", "root", "vector"])
 
-    rows = spark.range(1, wanted + 1, numPartitions=wanted).mapInArrow(run, "k long, root string, vector array<double>").orderBy("k").collect()
+    rows = spark.range(1, wanted + 1, numPartitions=wanted).mapInArrow(run, "k long, root string, vector array<double>").collect()
+    rows = sorted(rows, key=lambda r: r.k)
     return Whitening(n, s, trace, [Fraction(r.root) for r in rows], np.array([r.vector for r in rows], float).reshape(-1, d))
 
 

@@ -143,8 +143,10 @@ def test_quality_sample_is_bounded(spark, monkeypatch):
     docs = spark.createDataFrame([(k % 3, f"word{k} " * (64 * 90)) for k in range(60)], "doc_id long, text string")
     seen = []
     monkeypatch.setattr(quality, "fit", lambda x, first, label: seen.append((len(x), len(first))))
-    quality.train(docs, spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int"), train_docs=2, train_passages=8)
-    assert seen == [(16, 2)]
+    quality.train(docs, spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int"), train_docs=2, train_passages=200)
+    assert seen == [(180, 2)]  # all passages of both
+    quality.train(docs, spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int"), train_docs=2, train_passages=100)
+    assert seen[1:] == [(90, 1)]  # rows are left out, not passages
 
 
 def test_quality_without_labels(spark, docs):
