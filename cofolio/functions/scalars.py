@@ -86,11 +86,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def fixed3(c: Column) -> Column:
+    """Three decimals of the exact binary value, ties away from zero (1.1025 is a little less than it looks, so 1.102); null, NaN and
+    infinite values give null.
+
+    The fraction goes to a long in 52nds powers of two and what is left of it, so nothing is rounded before the last step.
+    """
+    size = F.abs(c.cast("double"))
+    fraction = (size - F.floor(size)) * F.lit(float(1 << 52))
+    scaled = F.floor(fraction) * 1000 + F.floor((fraction - F.floor(fraction)) * 1000)
+    milli = F.shiftright(scaled + F.lit(1 << 51), 52)
+    whole = F.floor(size) + F.when(milli >= 1000, 1).otherwise(0)
+    sign = F.when(c < 0, "-").otherwise("")
+    text = F.concat(sign, whole.cast("string"), F.lit("."), F.lpad((milli % 1000).cast("string"), 3, "0"))
+    return F.when(size < F.lit(float(1 << 63)), text)
+
+
 def format_weight(c: Column) -> Column:
     """Signed, three decimals; what rounds to nothing shows as 0.000."""
     snapped = F.when(F.abs(c) < 0.0005, F.lit(0.0)).otherwise(c)
-    text = F.format_string("%.3f", snapped)
-    return F.when(snapped > 0, F.concat(F.lit("+"), text)).otherwise(text)
+    return F.when(snapped > 0, F.concat(F.lit("+"), fixed3(snapped))).otherwise(fixed3(snapped))
 
 
 def shorten(c: Column, size: int) -> Column:

@@ -459,9 +459,9 @@ def p6_include_exclude(s, d):
     return rec.listed_only(g, include=lists, exclude=users.join(F.broadcast(items.where("item_id % 7 = 0")))).select("user_id", "item_id", "support")
 
 
-@query(_G + ", " + S.CTE["content"] + " SELECT g.user_id, g.item_id FROM g JOIN content c USING (item_id) WHERE c.year BETWEEN 1975 AND 2005 AND c.score >= 2 AND list_contains(c.genres, 'small')")
+@query(_G + ", " + S.CTE["content"] + " SELECT g.user_id, g.item_id FROM g JOIN content c USING (item_id) WHERE c.year BETWEEN 1975 AND 2005 AND c.score >= 0.2 AND list_contains(c.genres, 'promo')")
 def p5_metadata_filter(s, d):
-    return rec.filtered(_graph_scores(s, d), S.content(s, d), genre=" Small", year_from=2005, year_to=1975, min_score=2.0).select("user_id", "item_id")
+    return rec.filtered(_graph_scores(s, d), S.content(s, d), genre=" Promo", year_from=2005, year_to=1975, min_score=0.2).select("user_id", "item_id")
 
 
 @query(_G + ", " + S.CTE["content"] + f" SELECT DISTINCT user_id, unnest(genres) AS genre FROM (SELECT * FROM (SELECT *, {_TOP} AS rank FROM g) WHERE rank <= 20) JOIN content USING (item_id)")
@@ -527,22 +527,25 @@ def f11_metadata_lines(s, d):
     return S.content(s, d).select("item_id", fn.meta_line(F.col("year"), F.col("score"), F.col("studios"), F.col("genres")).alias("line"))
 
 
-@query("SELECT event_id, CASE WHEN abs(v) < 0.0005 THEN '0.000' WHEN v > 0 THEN '+' || printf('%.3f', v) ELSE printf('%.3f', v) END AS text FROM (SELECT event_id, (event_id % 4001 - 2000) / 7001.0 AS v FROM events)")
-def f9_signed_weights(s, d):
-    return S.table(s, d, "events").select("event_id", fn.format_weight((F.col("event_id") % 4001 - 2000) / F.lit(7001.0)).alias("text"))
+#: Thousandths of the exact binary value, ties away from zero: 2^63 times a double is a whole number from 0.0005 on.
+_MILLI = "((CAST(abs({x}) * 9223372036854775808.0 AS HUGEINT) * 1000 + 4611686018427387904) // 9223372036854775808)"
+_FIXED = f"(CAST({_MILLI} // 1000 AS VARCHAR) || '.' || lpad(CAST({_MILLI} % 1000 AS VARCHAR), 3, '0'))"
+_SIGNED = "CASE WHEN abs({x}) < 0.0005 THEN '0.000' WHEN {x} > 0 THEN '+' || " + _FIXED + " ELSE '-' || " + _FIXED + " END"
 
 
-_SIGNED = "CASE WHEN abs({x}) < 0.0005 THEN '0.000' WHEN {x} > 0 THEN '+' || printf('%.3f', {x}) ELSE printf('%.3f', {x}) END"
+@query(f"SELECT event_id, {_SIGNED.format(x='v')} AS text FROM (SELECT event_id, (event_id % 4001 - 2000) / 800.0 AS v FROM events)")
+def f9_signed_weights(s, d):
+    return S.table(s, d, "events").select("event_id", fn.format_weight((F.col("event_id") % 4001 - 2000) / F.lit(800.0)).alias("text"))
 
 
 @query(_G + f""", ex AS (SELECT * FROM (SELECT *, min(CASE WHEN e > 0 THEN pos END) OVER (PARTITION BY user_id, item_id) AS first FROM cand) WHERE e > 0 OR pos > first),
-    pt AS (SELECT user_id, item_id, watched_id, x, row_number() OVER (PARTITION BY user_id, item_id, x > 0 ORDER BY abs(round(x, 9)) DESC, watched_id) AS k FROM ex WHERE x <> 0),
+    pt AS (SELECT user_id, item_id, watched_id, x, row_number() OVER (PARTITION BY user_id, item_id, x > 0 ORDER BY abs(x) DESC, watched_id) AS k FROM ex WHERE x <> 0),
     tx AS (SELECT user_id, item_id, x > 0 AS up, string_agg(watched_id || ' (' || {_SIGNED.format(x='x')} || ')', ' | ' ORDER BY k) AS line FROM pt WHERE k <= 2 GROUP BY 1, 2, 3)
     SELECT user_id, item_id, 'for: ' || coalesce(max(line) FILTER (up), 'nothing') || '; against: ' || coalesce(max(line) FILTER (NOT up), 'nothing') AS text
     FROM (SELECT DISTINCT user_id, item_id FROM ex) LEFT JOIN tx USING (user_id, item_id) GROUP BY user_id, item_id""")
 def f12_explanations(s, d):
     c = rec.graph_contributions(rec.graph_candidates(_watch(s, d), _adj(s, d)))
-    parts = F.transform(F.array_sort("contributions", lambda a, b: F.when(a.watched_id < b.watched_id, -1).when(a.watched_id > b.watched_id, 1).otherwise(0)), lambda x: F.struct(x.watched_id.cast("string").alias("label"), F.round(x.weighted, 9).alias("weighted")))
+    parts = F.transform(F.array_sort("contributions", lambda a, b: F.when(a.watched_id < b.watched_id, -1).when(a.watched_id > b.watched_id, 1).otherwise(0)), lambda x: F.struct(x.watched_id.cast("string").alias("label"), x.weighted.alias("weighted")))
     return c.select("user_id", "item_id", fn.explain_line(parts).alias("text"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from cofolio.functions import scalars as fn
@@ -271,3 +272,15 @@ def test_documents_in_parts_are_read_back(spark, tmp_path, monkeypatch):
     assert spark.read.json(f"{tmp_path}/model").count() > 3
     writers.write_compact_ratings(norm.limit(0), items, f"{tmp_path}/none")
     assert readers.open_ratings(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_three_decimals_of_the_exact_value(spark):
+    rng = random.Random(11)
+    near = [s * (k + 0.5) / 1000 for k in range(0, 4000, 7) for s in (1, -1)]
+    values = [1.1025, -1.0005, 2.0005, 0.0625, -0.3125, 0.0005, 0.00049999, 0.9995, 999.9995, 1e15 + 0.3, 123456789.0005, 0.0, -0.0, *near, *(rng.uniform(-5, 5) for _ in range(500)), *(math.nextafter(v, 9) for v in near)]
+    df = spark.createDataFrame(list(enumerate(values)), "k long, v double").select("k", fn.format_weight(F.col("v")).alias("text"))
+    for r in df.collect():
+        v = values[r.k]
+        exact = Decimal(v).quantize(Decimal("0.001"), ROUND_HALF_UP)
+        want = "0.000" if abs(v) < 0.0005 else f"{'+' if v > 0 else ''}{exact}"
+        assert r.text == want, v
