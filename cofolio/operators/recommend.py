@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from cofolio.functions.scalars import auto_blend, clamp_blend, clamp_weight, content_similarity
 from cofolio.operators.graph import dense_index
+from cofolio.operators.inner_product import BLOCK_ITEMS, best_scores, item_index, pair_scores
+from cofolio.sources.scratch import cut
 
-#: Rows of a factor block; a task multiplies two such blocks.
-BLOCK_ROWS = 4096
-
-#: The same where all scores are kept, so that a task's result stays small.
+#: Rows of a factor block where all scores are kept; a task multiplies two such blocks.
 FULL_BLOCK_ROWS = 1024
+#: Scaled model scores below this are the least one's, up to rounding.
+NOTHING = 1e-12
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -62,42 +63,11 @@ def watch_vectors(watch: DataFrame, model: DataFrame) -> DataFrame:
     return sums.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c")).select("user_id", F.col("c.x").alias("p"))
 
 
-def block_scores(users: DataFrame, model: DataFrame, top: Column | int, global_mean: float = 0.0) -> DataFrame:
-    """``user_id, item_id, score``: each user's best items of every block of the model.
-
-    ``users(user_id, p[, extra])``; score = bias + mean + p . q. Users and items meet in blocks by an equi-join of block numbers, so neither
-    side is broadcast or gathered; a task holds one block of each. ``top`` is the number kept in a block (column of users or constant).
-    """
-    n_items, n_users = model.count(), users.count()
-    item_blocks, user_blocks = max(1, math.ceil(n_items / BLOCK_ROWS)), max(1, math.ceil(n_users / BLOCK_ROWS))
-    mod = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = users.select("user_id", "p", (F.lit(top) if isinstance(top, int) else top).cast("int").alias("top"), mod("user_id", user_blocks).alias("ub"))
-    left = left.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
-    right = model.select("item_id", "q", "bias", mod("item_id", item_blocks).alias("ib")).withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))))
-
-    def multiply(u: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        if len(u) and len(items):
-            items = items[items["q"].map(len) == len(u["p"].iloc[0])]
-        if not len(u) or not len(items):
-            return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
-        score = np.stack(u["p"].to_numpy()) @ np.stack(items["q"].to_numpy()).T + items["bias"].to_numpy() + global_mean
-        n = np.clip(u["top"].to_numpy(), 0, len(items))
-        most = max(int(n.max()), 1)
-        best = -np.sort(np.partition(-score, most - 1, axis=1)[:, :most], axis=1)
-        edge = np.where(n > 0, best[np.arange(len(u)), np.maximum(n, 1) - 1], np.inf)
-        row, col = np.nonzero(score >= edge[:, None])  # with ties at the edge
-        return pd.DataFrame({"user_id": u["user_id"].to_numpy()[row], "item_id": items["item_id"].to_numpy()[col], "score": score[row, col]})
-
-    kinds = dict(users.dtypes) | dict(model.dtypes)
-    pairs = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
-    return pairs.applyInPandas(multiply, f"user_id {kinds['user_id']}, item_id {kinds['item_id']}, score double")
-
-
 def model_scores(watch: DataFrame, model: DataFrame, global_mean: float = 0.0) -> DataFrame:
     """``user_id, item_id, score, strongest, support`` of every item that the model knows and the user hasn't watched.
 
-    What is merged, scaled or filtered needs all of them; a cut comes last. As in ``block_scores`` users and items meet in
-    blocks. A user's watched vectors travel with the user, so neither watched items nor contributions need a join of all scores.
+    What is merged, scaled or filtered needs all of them; a cut comes last. Users and items meet in blocks by an equi-join of
+    block numbers. A user's watched vectors travel with the user, so neither watched items nor contributions need a join of all scores.
     Users whose watched items the model lacks have no rows.
     """
     entry = F.struct("item_id", clamp_weight(F.col("weight")).alias("w"), "q")
@@ -148,20 +118,13 @@ def with_model_contributions(scored: DataFrame, watch: DataFrame, model: DataFra
 
 def model_recommend(watch: DataFrame, model: DataFrame, k: int = 10, global_mean: float = 0.0) -> DataFrame:
     """Top ``k`` unwatched items by the model, with contributions; watched items the model lacks play no part."""
-    sizes = watch.groupBy("user_id").agg(F.count("*").alias("n"))
-    users = watch_vectors(watch, model).join(sizes, "user_id")
-    best = block_scores(users, model, F.col("n") + F.lit(k), global_mean)
-    fresh = best.join(watch.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
-    top = fresh.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    top, _, _ = best_scores(watch_vectors(watch, model), item_index(model), k, watch, global_mean)
     return ranked(with_model_contributions(top, watch, model), k)
 
 
 def known_user_recommend(factors: DataFrame, model: DataFrame, seen: DataFrame, n: int = 10, min_score: float | None = None, global_mean: float = 0.0) -> DataFrame:
     """Top ``n`` unseen items of users with factors ``user_id, p, bu``; seen items never appear."""
-    sizes = seen.groupBy("user_id").agg(F.count("*").alias("n"))
-    users = factors.join(sizes, "user_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    best = block_scores(users, model, F.col("n") + F.lit(n), global_mean).join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    best, _, _ = best_scores(factors, item_index(model), n, seen, global_mean)
     scored = best.join(factors.select("user_id", "bu"), "user_id").select("user_id", "item_id", (F.col("score") + F.col("bu")).alias("score"))
     scored = scored if min_score is None else scored.where(F.col("score") >= min_score)
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
@@ -175,21 +138,86 @@ def scaled(scored: DataFrame, name: str = "scaled") -> DataFrame:
     return scored.withColumn(name, F.when(high <= low, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("score") - low, high - low)))))
 
 
-def hybrid(graph: DataFrame, model: DataFrame, model_weight: float) -> DataFrame:
-    """``user_id, item_id, score, strongest, support`` of both lists: scaled, weighted, non-positive parts dropped, summed."""
-    blend = clamp_blend(F.lit(float(model_weight)))
+def _share(rows: DataFrame, share: Column, tag: str) -> DataFrame:
+    """Rows with ``scaled`` as one side of a blend; parts that aren't positive are dropped."""
+    part = rows.withColumn("__s", F.col("scaled") * share).where("__s > 0")
+    return part.select("user_id", "item_id", F.col("__s").alias("s" + tag), (F.col("strongest") * share).alias("t" + tag), F.col("support").alias("n" + tag))
 
-    def part(df: DataFrame, share: Column, tag: str) -> DataFrame:
-        rows = scaled(df).withColumn("__s", F.col("scaled") * share).where("__s > 0")
-        return rows.select("user_id", "item_id", F.col("__s").alias("s" + tag), (F.col("strongest") * share).alias("t" + tag), F.col("support").alias("n" + tag))
 
-    both = part(graph, 1 - blend, "g").join(part(model, blend, "m"), ["user_id", "item_id"], "full_outer")
+def _blend(graph: DataFrame, model: DataFrame, model_weight: float) -> DataFrame:
+    """``user_id, item_id, score, strongest, support`` of both scaled lists: weighted, non-positive parts dropped, summed."""
+    blend = clamp_blend(F.lit(float(model_weight)))
+    both = _share(graph, 1 - blend, "g").join(_share(model, blend, "m"), ["user_id", "item_id"], "full_outer")
     zero = lambda c, v: F.coalesce(c, F.lit(v))
     return both.select(
         "user_id", "item_id", (zero("sg", 0.0) + zero("sm", 0.0)).alias("score"), F.greatest("tg", "tm").alias("strongest"), (zero("ng", 0) + zero("nm", 0)).alias("support")
     )
 
 
+def hybrid(graph: DataFrame, model: DataFrame, model_weight: float) -> DataFrame:
+    """The blend of two whole lists, each scaled within a user."""
+    return _blend(scaled(graph), scaled(model), model_weight)
+
+
+def model_rows(
+    watch: DataFrame, model: DataFrame, k: int, graph: DataFrame | None = None, allowed: DataFrame | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None,
+    block_items: int = BLOCK_ITEMS,
+) -> DataFrame:
+    """The model's list as far as a top ``k`` of a blend needs it, exactly: ``user_id, item_id, score, scaled, strongest, support, contributions``.
+
+    ``scaled`` is by each user's least and largest score over all unwatched items, which the index finds as well. Rows are the user's candidates in ``graph``
+    and on the include list, and of all other items that may be shown the best ``k`` with ties. Among those the blend falls with the model's score alone, so nothing else can enter the top ``k``.
+    So rows are at most users x (k + candidates), not users x items. ``allowed(item_id)`` limits what is shown, not the scale.
+    """
+    users, seen = cut(watch_vectors(watch, model), "hybrid-users"), watch.select("user_id", "item_id")
+    index = item_index(model, block_items)
+    high, _, _ = best_scores(users, index, 1, seen)
+    low, _, _ = best_scores(users, index, 1, seen, largest=False)
+    scale = high.groupBy("user_id").agg(F.max("score").alias("__high")).join(low.groupBy("user_id").agg(F.min("score").alias("__low")), "user_id")
+    asked = [listed_only(df.select("user_id", "item_id"), include, exclude) for df in (graph, include) if df is not None]
+    hidden, free = [seen, *asked, *([] if exclude is None else [exclude.select("user_id", "item_id")])], users
+    if include is not None:  # such users see listed items only
+        free = users.join(include.select("user_id").distinct(), "user_id", "left_anti")
+    if allowed is not None:
+        index = item_index(model.join(allowed.select("item_id").distinct(), "item_id", "left_semi"), block_items)
+    taken = hidden[0]
+    for df in hidden[1:]:
+        taken = taken.unionByName(df)
+    best, _, _ = best_scores(free, index, k, taken)
+    if asked:
+        pairs = asked[0] if len(asked) == 1 else asked[0].unionByName(asked[1])
+        pairs = pairs.distinct().join(seen, ["user_id", "item_id"], "left_anti")
+        pairs = pairs if allowed is None else pairs.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
+        best = best.unionByName(pair_scores(pairs, users, model))
+    rows = cut(with_model_contributions(best, watch, model), "hybrid-rows").join(scale, "user_id")
+    value = F.when(F.col("__high") <= F.col("__low"), 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(F.col("score") - F.col("__low"), F.col("__high") - F.col("__low"))))
+    return rows.withColumn("scaled", F.when(value > NOTHING, value).otherwise(0.0)).drop("__high", "__low")
+
+
+def hybrid_parts(
+    graph: DataFrame, watch: DataFrame, model: DataFrame, model_weight: float, k: int, allowed: DataFrame | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None,
+    block_items: int = BLOCK_ITEMS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of :func:`hybrid` over graph scores and every unwatched item's model score that hold each user's top ``k`` of those that may be shown;
+    then the scaled rows of the graph and of the model that they come from."""
+    graph = cut(graph, "hybrid-graph")
+    from_model = model_rows(watch, model, k, graph, allowed, include, exclude, block_items)
+    from_graph = listed_only(scaled(graph), include, exclude)
+    from_graph = from_graph if allowed is None else from_graph.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
+    return _blend(from_graph, from_model, model_weight), from_graph, from_model
+
+
+def hybrid_contributions(rows: DataFrame, from_graph: DataFrame, from_model: DataFrame, candidates: DataFrame, model_weight: float, n: int = 10) -> DataFrame:
+    """``rows`` with ``contributions``: those of the parts that count, each by its share, the best ``n`` where both count."""
+    blend, key = clamp_blend(F.lit(float(model_weight))), ["user_id", "item_id"]
+    wanted = rows.select(*key)
+    own = from_graph.where(F.col("scaled") * (1 - blend) > 0).join(wanted, key, "left_semi").select(*key)
+    of_graph = graph_contributions(candidates.join(own, key, "left_semi")).withColumnRenamed("contributions", "__g")
+    of_model = from_model.where(F.col("scaled") * blend > 0).select(*key, F.col("contributions").alias("__m"))
+    both = rows.join(of_graph, key, "left").join(of_model, key, "left")
+    return both.withColumn("contributions", merged_contributions(F.col("__g"), F.col("__m"), 1 - blend, blend, n)).drop("__g", "__m")
+
+
 def merged_contributions(a: Column, b: Column, share_a: Column, share_b: Column, n: int = 10) -> Column:
     """Two contribution arrays, each scaled, as one: the best ``n`` where both are there, else the one there is."""
     scale = lambda c, f: F.transform(c, lambda x: x.withField("weighted", x.weighted * f))
@@ -278,14 +306,17 @@ def genre_facet(scored: DataFrame, features: DataFrame, top: int = 100) -> DataF
 
 def recommend(watch: DataFrame, adjacency: DataFrame, model: DataFrame, features: DataFrame, mode: str = "graph", model_weight: float = 0.5,
               k: int = 40, include: DataFrame | None = None, exclude: DataFrame | None = None, **conditions) -> DataFrame:
-    """The whole request for all users: candidates by mode, lists, metadata filter, then the top ``k``; the model scores every unwatched item."""
+    """The whole request for all users: candidates by mode, lists, metadata filter, then the top ``k``; the model's part is exact over every unwatched item."""
+    allowed = None
+    if any(v is not None for v in conditions.values()):
+        allowed = cut(features.withColumnRenamed("score", "meta_score").where(matches(**conditions)).select("item_id").distinct(), "allowed")
+    if mode == "model":
+        return ranked(model_rows(watch, model, k, None, allowed, include, exclude), k)
     graph = graph_scores(graph_candidates(watch, adjacency))
     if mode == "graph":
-        scored = graph
-    else:
-        by_model = model_scores(watch, model)
-        scored = by_model if mode == "model" else hybrid(graph, by_model, model_weight)
-    return ranked(filtered(listed_only(scored, include, exclude), features, **conditions), k)
+        shown = listed_only(graph, include, exclude)
+        return ranked(shown if allowed is None else shown.join(allowed, "item_id", "left_semi"), k)
+    return ranked(hybrid_parts(graph, watch, model, model_weight, k, allowed, include, exclude)[0], k)
 
 
 def popular_unseen(users: DataFrame, seen: DataFrame, k: int = 20) -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cofolio.functions import scalars as fn
 from cofolio.operators import catalog, frontier, graph, training
 from cofolio.operators import ratings as R
 from cofolio.operators import recommend as rec
+from cofolio.operators.inner_product import best_scores, item_index
 from cofolio.sources import readers, writers
 from cofolio.sources import standins as S
 from cofolio.sources.scratch import cut, shared_dir
@@ -352,10 +353,7 @@ def m10_model_recommend(s, d):
 
 @query(_M.format(cut=" WHERE k <= 10") + " SELECT user_id, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS k FROM ms) WHERE k <= 20")
 def j8_block_scores(s, d):
-    w = _watch(s, d)
-    top = rec.block_scores(rec.watch_vectors(w, S.item_model(s, d)), S.item_model(s, d), 30).join(w.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    from pyspark.sql import Window
-
+    top, _, _ = best_scores(rec.watch_vectors(_watch(s, d), S.item_model(s, d)), item_index(S.item_model(s, d), 128), 20, _watch(s, d))
     order = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "item_id")
     return top.withColumn("k", F.row_number().over(order)).where("k <= 20").select("user_id", "item_id", _r("score"))
 
@@ -396,9 +394,26 @@ def _hybrid(s, d):
     return rec.hybrid(_graph_scores(s, d), model, 0.4).withColumn("score", F.round("score", 9)).withColumn("strongest", F.round("strongest", 9))
 
 
+def _hybrid_parts(s, d, k: int, allowed: DataFrame | None = None):
+    rows, from_graph, from_model = rec.hybrid_parts(_graph_scores(s, d), _watch(s, d), S.item_model(s, d), 0.4, k, allowed)
+    return rows.withColumn("score", F.round("score", 9)).withColumn("strongest", F.round("strongest", 9)), from_graph, from_model
+
+
 @query(_H + f" SELECT user_id, item_id, round(score, 6) AS score, support, rank FROM (SELECT *, {_TOP} AS rank FROM h) WHERE rank <= 10")
 def m11_hybrid_recommend(s, d):
-    return rec.ranked(_hybrid(s, d), 10).select("user_id", "item_id", _r("score"), "support", "rank")
+    return rec.ranked(_hybrid_parts(s, d, 10)[0], 10).select("user_id", "item_id", _r("score"), "support", "rank")
+
+
+@query(_H + f""", top AS (SELECT user_id, item_id FROM (SELECT *, {_TOP} AS rank FROM h) WHERE rank <= 10),
+    ex AS (SELECT * FROM (SELECT *, min(CASE WHEN e > 0 THEN pos END) OVER (PARTITION BY user_id, item_id) AS first FROM cand) WHERE e > 0 OR pos > first)
+    SELECT user_id, item_id, watched_id, round(x * (1 - 0.4), 6) AS weighted FROM ex JOIN top USING (user_id, item_id) JOIN (SELECT user_id, item_id FROM gs WHERE s > 0) USING (user_id, item_id)
+    UNION ALL SELECT t.user_id, t.item_id, w.item_id, round(list_dot_product(m.q, wm.q) * w.weight * 0.4, 6) FROM top t JOIN (SELECT user_id, item_id FROM mm WHERE s > 0) USING (user_id, item_id)
+    JOIN model m USING (item_id) JOIN watch w ON w.user_id = t.user_id JOIN model wm ON wm.item_id = w.item_id""")
+def m11_hybrid_contributions(s, d):
+    rows, from_graph, from_model = _hybrid_parts(s, d, 10)
+    top = cut(rec.ranked(rows, 10).select("user_id", "item_id"), "hybrid-top")
+    found = rec.hybrid_contributions(top, from_graph, from_model, rec.graph_candidates(_watch(s, d), _adj(s, d)), 0.4)
+    return found.select("user_id", "item_id", F.explode("contributions").alias("c")).select("user_id", "item_id", "c.watched_id", F.round("c.weighted", 6).alias("weighted"))
 
 
 @query(_H + " SELECT user_id, item_id, score, support FROM h")
@@ -471,8 +486,8 @@ def a19_genre_facet(s, d):
 
 @query(_H + ", " + S.CTE["content"] + f" SELECT user_id, item_id, rank FROM (SELECT *, {_TOP} AS rank FROM (SELECT h.* FROM h JOIN content c USING (item_id) WHERE c.year BETWEEN 1970 AND 2000)) WHERE rank <= 40")
 def m12_recommend_request(s, d):
-    kept = rec.filtered(_hybrid(s, d), S.content(s, d), year_from=1970, year_to=2000)
-    return rec.ranked(kept, 40).select("user_id", "item_id", "rank")
+    allowed = S.content(s, d).where(rec.matches(year_from=1970, year_to=2000)).select("item_id")
+    return rec.ranked(_hybrid_parts(s, d, 40, allowed)[0], 40).select("user_id", "item_id", "rank")
 
 
 @query(_G + f""", top AS (SELECT *, {_TOP} AS rank FROM g QUALIFY rank <= 10), pr AS (SELECT c.user_id, c.item_id, c.watched_id, x, row_number() OVER (PARTITION BY c.user_id, c.item_id ORDER BY round(x, 9) DESC, watched_id) AS k
