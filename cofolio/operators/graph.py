@@ -7,30 +7,53 @@ from pyspark.sql import functions as F
 
 from cofolio.sources.scratch import cut
 
+#: Users, in id order, that are folded together; a task holds so many occurrences of a pair at most.
+SEGMENT_USERS = 1 << 16
 
-def item_pairs(normalised: DataFrame) -> DataFrame:
-    """``user_id, lo, hi, s``: all item pairs of each user with their mean score.
+#: Ratings of a user that are paired as one piece.
+PIECE = 1024
 
-    Quadratic in a user's ratings; cap those first. The join is on the user, so skewed users are split by
-    adaptive execution.
+
+def with_segments(ratings: DataFrame, users: int = SEGMENT_USERS) -> DataFrame:
+    """``ratings`` with ``seg``: which ``users`` successive users, in id order, the row's user belongs to."""
+    every = cut(ratings.select("user_id").distinct(), "segment-users")
+    if every.count() <= users:
+        return ratings.withColumn("seg", F.lit(0).cast("long"))
+    placed = dense_index(every, ["user_id"], "__at").select("user_id", F.expr(f"cast(__at div {users} as long)").alias("seg"))
+    return ratings.join(placed, "user_id")
+
+
+def item_pairs(normalised: DataFrame, piece: int = PIECE) -> DataFrame:
+    """``user_id, lo, hi, s[, seg]``: all item pairs of each user with their mean score.
+
+    Quadratic in a user's ratings; cap those first. A list of more than ``piece`` ratings is cut into pieces by the item's hash, and each two of them
+    (and each with itself) meet as a key of their own. So no key has more than some ``piece`` rows a side, and short lists are still sent once.
     """
-    a = normalised.select("user_id", F.col("item_id").alias("lo"), F.col("normalized_score").alias("__a"))
-    b = normalised.select("user_id", F.col("item_id").alias("hi"), F.col("normalized_score").alias("__b"))
-    return a.join(b, "user_id").where("lo < hi").select("user_id", "lo", "hi", ((F.col("__a") + F.col("__b")) / 2).alias("s"))
+    more = [c for c in ("seg",) if c in normalised.columns]
+    heavy = normalised.groupBy("user_id").agg(F.ceil(F.count("*") / piece).cast("int").alias("__pieces")).where("__pieces > 1")
+    rows = normalised.select("user_id", "item_id", "normalized_score", *more).join(heavy, "user_id", "left").withColumn("__pieces", F.coalesce("__pieces", F.lit(1)))
+    rows = rows.withColumn("__p", F.pmod(F.xxhash64("item_id"), F.col("__pieces")).cast("int"))
+    a = rows.select("user_id", F.col("item_id").alias("__ai"), F.col("normalized_score").alias("__a"), F.col("__p").alias("__x"), F.explode(F.sequence("__p", F.col("__pieces") - 1)).alias("__y"), *more)
+    b = rows.select("user_id", F.col("item_id").alias("__bi"), F.col("normalized_score").alias("__b"), F.explode(F.sequence(F.lit(0), "__p")).alias("__x"), F.col("__p").alias("__y"))
+    met = a.join(b, ["user_id", "__x", "__y"]).where("__x < __y or __ai < __bi")
+    return met.select("user_id", F.least("__ai", "__bi").alias("lo"), F.greatest("__ai", "__bi").alias("hi"), ((F.col("__a") + F.col("__b")) / 2).alias("s"), *more)
 
 
 def pair_weights(pairs: DataFrame, digits: int = 4) -> DataFrame:
-    """``lo, hi, weight, n, first_user``: the recursive mean over users in id order, w <- (w + s) / 2, in closed form.
+    """``lo, hi, weight, n, first_user``: the recursive mean over users in id order, w <- (w + s) / 2, beginning with the first s.
 
-    Window and aggregation share their keys and so one exchange and one sort.
+    A run of m users takes w to w / 2^m + c, and such maps compose in order. So the users of each segment (``seg`` of :func:`with_segments`, one
+    where there is none) are folded on their own, a hot pair in as many tasks as it has segments, and one narrow row a pair and segment goes on.
     """
-    pair = Window.partitionBy("lo", "hi")
-    k, n = F.row_number().over(pair.orderBy("user_id")), F.count("*").over(pair)
-    ranked = pairs.withColumn("__k", k).withColumn("__n", n)
-    halvings = F.when(F.col("__k") == 1, F.col("__n") - 1).otherwise(F.col("__n") - F.col("__k") + 1)
-    return ranked.groupBy("lo", "hi").agg(
-        (F.round(F.sum(F.col("s") * F.pow(F.lit(0.5), halvings)), digits) + F.lit(0.0)).alias("weight"), F.max("__n").alias("n"), F.min("user_id").alias("first_user")
-    )
+    pairs = pairs if "seg" in pairs.columns else pairs.withColumn("seg", F.lit(0).cast("long"))
+    parts = pairs.groupBy("lo", "hi", "seg").agg(F.sort_array(F.collect_list(F.struct("user_id", "s"))).alias("__l"))
+    fold = F.aggregate("__l", F.lit(0.0), lambda w, x: (w + x["s"]) / 2)
+    part = parts.select("lo", "hi", F.struct("seg", F.size("__l").cast("long").alias("m"), fold.alias("c"), F.get("__l", F.lit(0)).alias("first")).alias("__part"))
+    whole = part.groupBy("lo", "hi").agg(F.sort_array(F.collect_list("__part")).alias("__p"))
+    first = F.get("__p", F.lit(0))["first"]
+    weight = F.aggregate("__p", first["s"], lambda w, x: w * F.pow(F.lit(0.5), x["m"]) + x["c"])  # the first s, taken twice, is itself
+    n = F.aggregate("__p", F.lit(0).cast("long"), lambda t, x: t + x["m"])
+    return whole.select("lo", "hi", (F.round(weight, digits) + F.lit(0.0)).alias("weight"), n.alias("n"), first["user_id"].alias("first_user"))
 
 
 def capped_pairs(weights: DataFrame, limit: int) -> DataFrame:
@@ -41,9 +64,10 @@ def capped_pairs(weights: DataFrame, limit: int) -> DataFrame:
 
 def skipped_occurrences(weights: DataFrame, limit: int) -> DataFrame:
     """``kept_pairs, skipped``: pairs kept by the cap and pair occurrences that it skips."""
-    kept = capped_pairs(weights, limit).select("lo", "hi").withColumn("__kept", F.lit(True))
-    marked = weights.join(kept, ["lo", "hi"], "left")
-    return marked.agg(F.count("__kept").alias("kept_pairs"), F.coalesce(F.sum(F.when(F.col("__kept").isNull(), F.col("n"))), F.lit(0)).alias("skipped"))
+    if limit <= 0:
+        return weights.agg(F.count("*").alias("kept_pairs"), F.lit(0).cast("long").alias("skipped"))
+    placed, kept = dense_index(weights.select("first_user", "lo", "hi", "n"), ["first_user", "lo", "hi"], "__at"), F.col("__at") < limit
+    return placed.agg(F.count_if(kept).alias("kept_pairs"), F.coalesce(F.sum(F.when(~kept, F.col("n"))), F.lit(0)).alias("skipped"))
 
 
 def nodes(ratings: DataFrame, items: DataFrame) -> DataFrame:
@@ -131,8 +155,9 @@ def edge_sample(edges: DataFrame, rate: float, seed: str = "1") -> DataFrame:
     """Exactly max(1, round(n * rate)) edges without replacement, by seeded hash."""
     if rate >= 1:
         return edges
-    n = edges.count()
     mixed = F.md5(F.concat_ws("|", F.lit(seed), F.col("src").cast("string"), F.col("dst").cast("string")))
+    edges, names, mixed = cut(edges.withColumn("__h", mixed), "sampled-edges"), edges.columns, F.col("__h")
+    n = edges.count()
     # the last hash kept is found by counts of 4 and then 8 hexadecimal digits; only edges that share its 8 digits are sorted
     need, start = max(1, round(n * rate)), ""
     for width in (4, 8) if n else ():
@@ -141,7 +166,7 @@ def edge_sample(edges: DataFrame, rate: float, seed: str = "1") -> DataFrame:
         edge = upto.where(F.col("upto") >= need).orderBy("start").first()
         start, need = edge["start"], need - (edge["upto"] - edge["n"])
     last = edges.where(F.startswith(mixed, F.lit(start))).orderBy(mixed, "src", "dst").limit(need)
-    return edges.where(mixed < F.lit(start)).unionByName(last)
+    return edges.where(mixed < F.lit(start)).unionByName(last).select(*names)
 
 
 def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:

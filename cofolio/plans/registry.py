@@ -48,7 +48,7 @@ def _norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pair_weights(graph.item_pairs(_norm(spark, d)))
+    return graph.pair_weights(graph.item_pairs(graph.with_segments(cut(_norm(spark, d), "norm"))))
 
 
 def _adj(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ def p3_no_positive_interactions(s, d):
 
 @query(S.sql(RATINGS, "SELECT a.user_id, a.item_id AS lo, b.item_id AS hi, round((a.normalized_score + b.normalized_score) / 2, 6) AS s FROM norm a JOIN norm b ON a.user_id = b.user_id AND a.item_id < b.item_id"))
 def j2_item_pairs(s, d):
-    return graph.item_pairs(_norm(s, d)).select("user_id", "lo", "hi", _r("s"))
+    return graph.item_pairs(_norm(s, d), piece=16).select("user_id", "lo", "hi", _r("s"))
 
 
 @query(S.sql(GRAPH, "SELECT lo, hi, weight, n FROM pairs"))
@@ -195,7 +195,8 @@ _SPARSE = S.sql("r1", "").rstrip() + ", " + S.CTE["norm"].replace("FROM r2", "FR
 
 @query(_SPARSE + " SELECT lo, hi, weight, n FROM pairs")
 def a3_pair_weights_sparse(s, d):
-    return graph.pair_weights(graph.item_pairs(R.centred(S.sparse_ratings(s, d))), digits=12).select("lo", "hi", "weight", "n")
+    rows = graph.with_segments(cut(R.centred(S.sparse_ratings(s, d)), "norm"), 500)
+    return graph.pair_weights(graph.item_pairs(rows), digits=12).select("lo", "hi", "weight", "n")
 
 
 _CAP = S.sql(GRAPH, "").rstrip() + ", met AS (SELECT lo, hi, min(user_id) AS u, count(*) AS n FROM occ GROUP BY lo, hi), kept AS (SELECT * FROM met ORDER BY u, lo, hi LIMIT 3000)"
