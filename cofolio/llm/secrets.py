@@ -31,13 +31,13 @@ _FREE = "".join(f"(?<!{sign}{blanks}{quote})" for sign in ("[=:]", "=>") for bla
 _DIGITS = f"(?=[A-Za-z+/_.@-]*[0-9])[{_C}]{{12,}}"
 _LETTERS = f"(?<![^\\x00-\\x7f])(?=[{_L}]*[A-Ma-m])(?=[{_L}]*[N-Zn-z])(?:[{_L}]{{20,}}|(?=[{_L}]*[a-z+/_-][A-Z])[{_L}]{{12,}})(?![0-9.@]|[^\\x00-\\x7f])"
 _RUN = f"(?:(?=//)|{_FREE})(?:{_DIGITS}|{_LETTERS})(?:={{1,2}}(?![=\"'{_C}]))?"
-_KEY_BLOCK = "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]{1,20000}-----END [A-Z0-9 ]{0,60}-----)?"
+_KEY_BLOCK = "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]++-----END [A-Z0-9 ]{0,60}-----)?"
 _AT_HOST = "(?=@[A-Za-z0-9-]+[.:/])"
 #: At the start of a run of its characters: what stands before an assigned value, a password at a host, or a free run. The runs
 #: are possessive, as what must follow them has none of their characters; the sign after a name is sought first.
 _STARTS = "|".join([
     f"(?=[{_C}]++[\"']?[ \\t]{{0,3}}[=:])[{_C}]*?(?i:{CREDENTIAL})[A-Za-z0-9_-]{{0,64}}[\"']?[ \\t]{{0,3}}(?:=>|:=|[=:]{{1,2}})[ \\t]{{0,3}}[\"']?",  # credential word
-    f"(?:[A-Za-z][A-Za-z0-9+.-]{{0,30}}+://)?[^{_REST}:/@]{{0,100}}+:(?=[^{_REST}@/]{{1,256}}{_AT_HOST})",  # user:password@host
+    f"(?:[A-Za-z][A-Za-z0-9+.-]{{0,30}}+://)?[^{_REST}:/@]{{0,100}}+:(?=[^{_REST}@/]++{_AT_HOST})",  # user:password@host
     f"(?=[{_C}]{{12}})(?={_RUN})",  # the length first, as it rules out most words
 ])
 _BEFORE = "|".join([
@@ -46,14 +46,16 @@ _BEFORE = "|".join([
     f"(?:=>|[=:])[ \\t]{{0,3}}[\"']?(?!//)(?={_DIGITS}|{_LETTERS})",  # any other name
 ])
 _VALUE = "|".join([
-    _KEY_BLOCK, _RUN, f"(?<=:)[^{_REST}@/]{{1,256}}{_AT_HOST}",
-    "(?<=\")[^\"\\r\\n]{1,4096}(?=\")", "(?<=')[^'\\r\\n]{1,4096}(?=')", f"[^{_REST}]*[^{_REST},;.)\\]}}>]",
+    _KEY_BLOCK, _RUN, f"(?<=:)[^{_REST}@/]++{_AT_HOST}",
+    "(?<=\")[^\"\\r\\n]++(?=\")", "(?<=')[^'\\r\\n]++(?=')", f"[^{_REST}]*[^{_REST},;.)\\]}}>]",
 ])
 CANDIDATE = f"(?:{_BEFORE})({_VALUE})"
 _MARK = "\x01"
 PLACEHOLDER = r"(?:example|sample|dummy|test|placeholder|xxxx|changeme)"
-#: A word is in the dictionary when so many documents have it.
-DICTIONARY_DOCS = 20
+#: A word is in the dictionary when so many documents, and such a share of all, have it: else a key that leaks often would be a word of a large corpus.
+DICTIONARY_DOCS, DICTIONARY_SHARE = 20, 1e-5
+#: Words of candidates that are sent to all tasks; more are met by a shuffle.
+BROADCAST_WORDS = 200_000
 #: Distinct labelled feature vectors that a forest is fitted on at most.
 TRAIN_FINDINGS = 4000
 #: Findings that are written out for training, of each label.
@@ -97,19 +99,30 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(id_col, "place", "__x.value", "__x.before", "__x.after", "path")
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", min_docs: int = DICTIONARY_DOCS) -> DataFrame:
-    """``word``: lower-case runs of 3 to 20 letters a-z that at least ``min_docs`` rows have between blanks."""
+def _runs(values: DataFrame) -> DataFrame:
+    """``value, word``: the runs of 3 to 20 letters of distinct values, in lower case."""
+    return values.select("value").distinct().select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,20}"), F.lit(0))).alias("word"))
+
+
+def dictionary(docs: DataFrame, wanted: DataFrame, text_col: str = "text", min_docs: int = DICTIONARY_DOCS, share: float = DICTIONARY_SHARE) -> DataFrame:
+    """``word``: of the words ``wanted(word)`` those that at least ``min_docs`` rows, and ``share`` of all rows, have between blanks or stops, in any case.
+
+    Only words that occur in candidates can matter, so all others are left out before anything is counted or shuffled.
+    """
+    wanted = cut(wanted.select("word").distinct(), "secret-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_WORDS else wanted
+    least = max(min_docs, round(docs.count() * share))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[\s,.;:!?]+"))).alias("word"))
-    return words.where(F.col("word").rlike("^[a-z]{3,20}$")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("word")
+    return words.join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
 
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
-    """The findings with the columns of ``FEATURES``."""
+    """The findings with the columns of ``FEATURES``; ``words(word)`` is the dictionary. A null value gives null features, a null ``before``, ``after`` or ``path`` counts as
+    empty, equal findings get equal features, other columns are kept. What words cover is found once a distinct value and written, so a value that most findings have is joined in parts."""
     size = F.length("value")
     share = lambda pattern: F.regexp_count("value", F.lit(pattern)) / size
-    values = found.select("value").distinct()
-    runs = values.select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,20}"), F.lit(0))).alias("word"))
-    covered = runs.join(words, "word").groupBy("value").agg(F.sum(F.length("word")).alias("__letters"))
+    covered = cut(_runs(found).join(words, "word").groupBy("value").agg(F.sum(F.length("word")).alias("__letters")), "secret-covered")
+    found = found.fillna("", [c for c in ("before", "after", "path") if c in found.columns])
     near = F.regexp_extract("before", r"(\S+\s+)?\S*\s*[\"']?\z", 0)
     flag = lambda c: c.cast("double")
     columns: dict[str, Column] = {
@@ -120,7 +133,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "at_sign": flag(F.col("value").contains("@")), "dots": share("[.]"), "slashes": share("/"), "brackets": share(r"[\[\](){}<>$]"),
         "path_hash": F.pmod(F.xxhash64("path"), F.lit(32)).cast("double"),
         "assigned": flag(F.col("before").rlike(r"(?:[=:]|=>)\s*[\"']?\z") & ~F.col("value").startswith("//")), "quoted": flag(F.col("before").rlike(r"[\"']\z")),
-        "credential": flag(F.lower(near).rlike(CREDENTIAL)), "digest_word": flag(F.lower(near).rlike(DIGEST_WORD)), "placeholder": flag(F.lower(F.concat("before", F.lit(" "), "after")).rlike(PLACEHOLDER)),
+        "credential": flag(F.lower(near).rlike(CREDENTIAL)), "digest_word": flag(F.lower(near).rlike(DIGEST_WORD)), "placeholder": flag(F.lower(F.concat_ws(" ", "before", "value", "after")).rlike(PLACEHOLDER)),
         "after_quote": flag(F.col("after").rlike(r"\A[\"']")), "before_host": flag(F.col("after").startswith("@")),
     }
     joined = found.join(covered, "value", "left")
@@ -169,7 +182,7 @@ def rendered(spark: SparkSession, count: int = RENDERED, seed: int = 0) -> DataF
     word = drawn("word", _LOWER, 3, 9)
     value = one_of("kind", [
         drawn("hex", _HEX, 20, 64), drawn("key", _ALNUM, 12, 48), F.concat(drawn("b64", _ALNUM + "+/", 30, 60), F.lit("==")),
-        drawn("pass", _ALNUM + "!$%#&*^-", 8, 16), F.concat(word, drawn("end", _DIGIT, 1, 4)),
+        drawn("pass", _ALNUM + "!$%#&*^-", 8, 16), F.concat(word, drawn("end", _DIGIT, 1, 4)), drawn("phrase", _LOWER, 12, 30),
     ])
     issued = one_of("issuer", [F.concat(F.lit(prefix), drawn(prefix, letters, n)) for prefix, letters, n in ISSUED])
     uuid = F.concat_ws("-", *[drawn(f"uuid{k}", _HEX, n) for k, n in enumerate((8, 4, 4, 4, 12))])
@@ -195,11 +208,11 @@ def rendered(spark: SparkSession, count: int = RENDERED, seed: int = 0) -> DataF
     return rows.select(row.alias("doc_id"), F.concat(F.lit("rendered"), number("source", 64)).alias("source"), F.concat(around("before"), text, F.lit(" "), around("after")).alias("text"), "secret", "label")
 
 
-def rendered_findings(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """The candidates of :func:`rendered` texts with features and ``label``; of a text with a secret, that alone."""
+def rendered_candidates(texts: DataFrame) -> DataFrame:
+    """The candidates of :func:`rendered` texts with ``label``; of a text with a secret, that alone."""
     texts = cut(texts, "secret-rendered")
     found = candidates(texts).join(F.broadcast(texts.select("doc_id", "secret", "label")), "doc_id")  # twice RENDERED rows
-    return with_features(cut(found.where("secret is null or secret = value").drop("secret"), "secret-rendered"), words)
+    return cut(found.where("secret is null or secret = value").drop("secret"), "secret-rendered")
 
 
 def train(
@@ -232,10 +245,10 @@ def train(
 
 
 def score(found: DataFrame, model: RandomForestClassificationModel | float) -> DataFrame:
-    """Findings with ``score``, the forest's probability of a secret."""
+    """Findings with ``score``, the forest's probability of a secret; equal features score alike, null ones as zero, other columns are kept."""
     if isinstance(model, float):
         return found.withColumn("score", F.lit(model))
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(found)
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(found.fillna(0.0, FEATURES))
     judged = model.setFeaturesCol("__features").setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__pred").transform(ready)
     return judged.withColumn("score", vector_to_array("__p")[1]).drop("__features", "__p", "__raw", "__pred")
 
@@ -246,10 +259,13 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     ``labelled`` has findings' ``id_col, place, label``; without it :func:`distant_label` labels those it is sure of, beside :func:`rendered` ones.
     Null and empty texts have no candidates; repeated rows have theirs each; ids may be null; other columns are ignored.
     """
-    words = cut(dictionary(docs, text_col), "secret-words")
-    found = cut(with_features(cut(candidates(docs, id_col, text_col, path_col), "secret-candidates"), words), "secret-findings")
-    if labelled is None:
-        model = train(found.withColumn("label", distant_label()), always=rendered_findings(rendered(docs.sparkSession), words))
+    found = cut(candidates(docs, id_col, text_col, path_col), "secret-candidates")
+    drawn = None if labelled is not None else rendered_candidates(rendered(docs.sparkSession))
+    wanted = _runs(found) if drawn is None else _runs(found.select("value").unionByName(drawn.select("value")))
+    words = cut(dictionary(docs, wanted, text_col), "secret-words")
+    found = cut(with_features(found, words), "secret-findings")
+    if drawn is not None:
+        model = train(found.withColumn("label", distant_label()), always=with_features(drawn, words))
     else:
         model = train(found.join(labelled.select(id_col, "place", "label"), [id_col, "place"]))
     return score(found, model).select(id_col, "place", "value", "before", "after", "score", (F.col("score") >= threshold).alias("is_secret"))
