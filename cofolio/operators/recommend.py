@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cofolio.functions.scalars import auto_blend, clamp_blend, clamp_weight, content_similarity
 from cofolio.operators.graph import dense_index
 from cofolio.operators.inner_product import BLOCK_ITEMS, best_scores, item_index, pair_scores
+from cofolio.operators.vectors import sum_vectors, width_of
 from cofolio.sources.scratch import cut
 
 #: Rows of a factor block where all scores are kept; a task multiplies two such blocks.
@@ -58,9 +59,9 @@ def graph_recommend(watch: DataFrame, adjacency: DataFrame, k: int = 10) -> Data
 def watch_vectors(watch: DataFrame, model: DataFrame) -> DataFrame:
     """``user_id, p``: weighted mean of the factors of known watched items."""
     known = watch.join(model.select("item_id", "q"), "item_id").withColumn("w", clamp_weight(F.col("weight")))
-    cells = known.select("user_id", "w", F.posexplode("q").alias("i", "x"))
-    sums = cells.groupBy("user_id", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum(F.abs("w"))).alias("x"))
-    return sums.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c")).select("user_id", F.col("c.x").alias("p"))
+    sums = sum_vectors(known.select("user_id", F.transform("q", lambda x: x * F.col("w")).alias("p")), "user_id", "p", width_of(model, "q"))
+    mass = known.where(F.size("q") > 0).groupBy("user_id").agg(F.sum(F.abs("w")).alias("__w"))
+    return sums.join(mass, "user_id").select("user_id", F.transform("p", lambda x: x / F.col("__w")).alias("p"))
 
 
 def model_scores(watch: DataFrame, model: DataFrame, global_mean: float = 0.0) -> DataFrame:

@@ -19,9 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; lost executors then cost a re-read only."""
+def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders of the columns ``by`` if given, and read it back; lost executors then cost a re-read only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

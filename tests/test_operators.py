@@ -4,12 +4,15 @@ import math
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from cofolio.functions import scalars as fn
 from cofolio.operators import frontier, graph, training
 from cofolio.operators import ratings as R
 from cofolio.operators import recommend as rec
+from cofolio.operators.vectors import sum_vectors
 from cofolio.sources import readers, writers
+from cofolio.sources.scratch import cut
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -74,12 +77,13 @@ def test_split_sizes(spark, pairs):
 
 
 def test_one_block_sgd_is_the_plain_loop(spark):
-    rows = [(1, 1, 4.0), (1, 2, 8.0), (2, 1, 6.0)]
+    rng = random.Random(4)
+    rows = [(u, i, float(rng.randint(1, 10))) for u in range(12) for i in rng.sample(range(9), rng.randint(1, 7))]
     r = spark.createDataFrame(rows, "user_id long, item_id long, raw_score double")
     users, items, mean = training.factorise(r, factors=2, epochs=1, blocks=1)
-    start = lambda k, seed: spark.range(1).select(training.seeded_vector(F.lit(k).cast("long"), 2, seed)).first()[0]
-    p, q = {k: start(k, 7) for k in (1, 2)}, {k: start(k, 8) for k in (1, 2)}
-    bu, bi = {1: 0.0, 2: 0.0}, {1: 0.0, 2: 0.0}
+    start = lambda n, seed: dict(spark.range(n).select("id", training.seeded_vector(F.col("id"), 2, seed)).collect())
+    p, q = start(12, 7), start(9, 8)
+    bu, bi = dict.fromkeys(p, 0.0), dict.fromkeys(q, 0.0)
     for u, i, s in sorted(rows):
         err = s - (mean + bu[u] + bi[i] + sum(a * b for a, b in zip(p[u], q[i], strict=True)))
         bu[u] += 0.02 * (err - 0.02 * bu[u])
@@ -284,3 +288,37 @@ def test_three_decimals_of_the_exact_value(spark):
         exact = Decimal(v).quantize(Decimal("0.001"), ROUND_HALF_UP)
         want = "0.000" if abs(v) < 0.0005 else f"{'+' if v > 0 else ''}{exact}"
         assert r.text == want, v
+
+
+def test_batches_without_conflicts_keep_the_order():
+    rng = np.random.default_rng(2)
+    u, i = rng.integers(0, 9, 400), rng.integers(0, 7, 400)
+    batches = training.conflict_free(u, i)
+    assert sorted(np.concatenate(batches).tolist()) == list(range(400)) and len(batches) < 200
+    done = {}
+    for n, batch in enumerate(batches):
+        assert len(set(u[batch])) == len(batch) == len(set(i[batch]))
+        done |= dict.fromkeys(batch.tolist(), n)
+    for k in range(400):
+        assert all(done[j] < done[k] for j in range(k) if u[j] == u[k] or i[j] == i[k])
+    assert training.conflict_free(u[:0], i[:0]) == []
+
+
+def test_a_sub_epoch_reads_its_stratum_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(training, "cut", lambda df, name, by=None: seen.append((name, by, cut(df, name, by))) or seen[-1][2])
+    r = spark.createDataFrame([(u, i, float((u + i) % 9 + 1)) for u in range(40) for i in range(20)], "user_id long, item_id long, raw_score double")
+    training.factorise(r, factors=2, epochs=1, blocks=4)
+    cells = next(df for name, by, df in seen if name == "mf-cells" and by == ["stratum"])
+    files = [set(cells.where(F.col("stratum") == s).select(F.input_file_name()).distinct().toPandas().iloc[:, 0]) for s in range(4)]
+    assert sum(map(len, files)) == len(set().union(*files)) and cells.count() == 800
+    plan = cells.where("stratum = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(stratum" in plan
+
+
+def test_vector_sums(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0]), (2, [0.5, 0.5]), (2, None), (3, []), (1, [1.0, 1.0])], "k long, v array<double>")
+    assert sorted(map(tuple, sum_vectors(df, "k", "v").collect())) == [(1, [5.0, 3.0]), (2, [0.5, 0.5])]
+    plan = sum_vectors(df, "k", "v", 2)._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+    assert sum_vectors(df.limit(0), "k", "v").count() == 0
