@@ -6,23 +6,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cofolio.functions.scalars import node_item_id, normalise_title, unicode_trim
+from cofolio.sources.scratch import cut
 
 
 def _first(found: DataFrame) -> DataFrame:
     return found.groupBy("query").agg(F.min_by("item_id", F.struct("step", "item_id")).alias("item_id"), F.min("step").alias("step"))
 
 
+#: Salts that the titles of one piece are spread over.
+SALTS = 16
+
+
 def _ngrams(text: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
+    """Distinct pieces of ``n`` letters; none of a shorter text."""
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, n)))
+
+
+def _parts(text: Column) -> Column:
+    """Every piece of one to three letters."""
+    return F.concat(_ngrams(text, 1), _ngrams(text, 2), _ngrams(text, 3))
+
+
+def _longest_parts(text: Column) -> Column:
+    """The pieces of three letters that a text must have to contain ``text``; a shorter one is its own piece."""
+    return F.when(F.length(text) < 3, F.filter(F.array(text), lambda t: t != "")).otherwise(_ngrams(text, 3))
+
+
+def _ordered_letters(text: Column) -> Column:
+    """Every letter of ``text`` and every pair of letters of which one comes somewhere before the other. A pair is such a pair exactly if the first place of one is
+    before the last of the other, so the work grows with the square of the distinct letters, not of the length."""
+    letters = F.split(text, "")
+    back = F.reverse(letters)
+    spots = F.transform(F.array_distinct(letters), lambda c: F.struct(c.alias("c"), F.array_position(letters, c).alias("first"), (F.size(letters) + 1 - F.array_position(back, c)).alias("last")))
+    pairs = F.flatten(F.transform(spots, lambda a: F.transform(F.filter(spots, lambda b: a.first < b["last"]), lambda b: F.concat(a.c, b.c))))
+    return F.concat(F.array_distinct(letters), pairs)
+
+
+def _letter_mask(text: Column) -> Column:
+    """A bit for each letter (some letters share one): a title with all letters of a word has all bits of its mask."""
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))))
+
+
+def met(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """Pairs of the rows of ``asked(query, pieces, ...)`` and ``titles(..., pieces)``, each at most once, among them all whose title has every piece of the query: a look-up
+    of the query's rarest piece in an inverted index. Queries with a piece that no title has, or without pieces, meet nothing. Pieces that no query looks up leave the index
+    before it is exchanged, if their table is small enough for Spark to broadcast; a frequent piece's titles are spread over ``SALTS`` tasks.
+    Other columns are kept, those of ``titles`` must have other names."""
+    posted = titles.withColumn("piece", F.explode(F.array_distinct("pieces"))).drop("pieces")
+    sizes = posted.groupBy("piece").agg(F.count("*").alias("n"))
+    wanted = asked.select("query", F.explode("pieces").alias("piece")).join(sizes, "piece", "left")
+    rarest = wanted.groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).where("r.n > 0")
+    looked = cut(rarest.select("query", F.col("r.piece").alias("piece")), "rarest-pieces")
+    kept = posted.join(looked.select("piece").distinct(), "piece", "left_semi")
+    kept = kept.withColumn("salt", F.pmod(F.xxhash64(*[c for c in kept.columns if c != "piece"]), F.lit(SALTS)).cast("int"))
+    probes = asked.drop("pieces").join(looked, "query").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return probes.join(kept, ["piece", "salt"]).drop("piece", "salt")
 
 
 def _containing(queries: DataFrame, titles: DataFrame) -> DataFrame:
-    """Pairs whose title contains the query: an equi-join on the query's first three letters among the title's
-    three-letter pieces (queries of one or two letters on such pieces), then the test itself."""
-    head = F.substring("norm", 1, F.least(F.length("norm"), F.lit(3)))
-    probes = queries.select("query", "norm", head.alias("piece"))
-    pieces = titles.select("item_id", "title", F.explode(F.concat(_ngrams(F.col("title"), 1), _ngrams(F.col("title"), 2), _ngrams(F.col("title"), 3))).alias("piece")).distinct()
-    return probes.join(pieces, "piece").where(F.contains(F.col("title"), F.col("norm")))
+    """Pairs whose title contains the query, by the query's rarest piece of three letters."""
+    asked = queries.select("query", "norm", _longest_parts(F.col("norm")).alias("pieces"))
+    return met(asked, titles.select("item_id", "title", _parts(F.col("title")).alias("pieces"))).where(F.contains(F.col("title"), F.col("norm")))
 
 
 def resolve_items(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -58,6 +103,10 @@ def resolve_nodes(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.unionByName(best(near))
 
 
+#: The most that a word scores in a title that has its letters in order but not the word itself.
+SCATTERED = 60
+
+
 def _subsequence(token: Column, hay: Column) -> Column:
     """Score of ``token`` as a subsequence of ``hay`` (leftmost), 0 if it isn't one: by gaps and where it begins."""
     state = F.struct(F.lit(0).alias("done"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("i"))
@@ -85,23 +134,44 @@ def token_score(token: Column, label: Column, hay: Column) -> Column:
     )
 
 
+def search_candidates(asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """``query, tokens, label``: the pairs that ``search`` scores letter by letter, of ``asked(query, tokens)`` and ``labels(label)``: the label has the rarest of the query's
+    letters and ordered pairs of letters, and every letter of the query."""
+    pieces = F.array_distinct(F.flatten(F.transform("tokens", _ordered_letters)))
+    probes = asked.select("query", "tokens", pieces.alias("pieces"), _letter_mask(F.array_join("tokens", "")).alias("need"))
+    found = met(probes, labels.select("label", _letter_mask(F.col("label")).alias("has"), _ordered_letters(F.col("label")).alias("pieces")))
+    return found.where(F.col("has").bitwiseAND(F.col("need")) == F.col("need")).select("query", "tokens", "label")
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    scores = pairs.withColumn("s", F.transform("tokens", lambda t: token_score(t, F.col("label"), F.col("label")))).where(F.forall("s", lambda x: x > 0))
+    return scores.select("query", "label", F.aggregate("s", F.lit(0), lambda a, x: a + x).alias("score"))
+
+
 def search(queries: DataFrame, titles: DataFrame, k: int | None = 10) -> DataFrame:
     """``query, item_id, score, rank``: the best titles of each query, all of whose words must match; ties by title, then id; all titles
-    where ``k`` is None.
+    where ``k`` is None. Null and blank queries match nothing; rows without a title are never found.
 
-    Candidates share the query's first letter (any match has it), so the join is on letters, not all with all.
-    Distinct titles are scored once and joined to their items afterwards.
+    Two indexes of distinct titles, each looked up by the query's rarest entry: pieces of three letters find the titles that contain every word, ordered pairs
+    of letters those with every word as a subsequence. A title that lacks a word as it stands scores at most ``SCATTERED`` for it and 180 for each
+    other word, so a query with ``k`` titles above that from the first index is done; only the others use the second.
     """
     asked = queries.select("query").distinct().withColumn("norm", normalise_title(F.col("query"))).where("norm <> ''")
-    asked = asked.select("query", F.split("norm", " ").alias("tokens"), F.substring("norm", 1, 1).alias("letter"))
-    named = titles.select("item_id", normalise_title(F.col("title")).alias("label"))
-    labels = named.select("label").distinct().select("label", F.explode(F.array_distinct(F.split("label", ""))).alias("letter"))
-    scores = F.transform("tokens", lambda t: token_score(t, F.col("label"), F.col("label")))
-    met = asked.join(labels, "letter").withColumn("s", scores).where(F.forall("s", lambda x: x > 0))
-    scored = met.select("query", "label", F.aggregate("s", F.lit(0), lambda a, x: a + x).alias("score"))
-    best = scored.join(named, "label")
+    asked = asked.select("query", F.split("norm", " ").alias("tokens"))
+    named = titles.select("item_id", normalise_title(F.col("title")).alias("label")).where("label is not null")
+    labels = named.select("label").distinct()
+    if k is None:
+        scored = _scored(search_candidates(asked, labels))
+    else:
+        pieces = F.array_distinct(F.flatten(F.transform("tokens", _longest_parts)))
+        whole = met(asked.withColumn("pieces", pieces), labels.withColumn("pieces", _parts(F.col("label"))))
+        whole = cut(_scored(whole.where(F.forall("tokens", lambda t: F.contains(F.col("label"), t)))), "search-whole")
+        above = whole.join(asked, "query").where(F.col("score") > (F.size("tokens") - 1) * 180 + SCATTERED)
+        done = above.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query")
+        rest = asked.join(done, "query", "left_anti")
+        scored = whole.join(done, "query", "left_semi").unionByName(_scored(search_candidates(rest, labels)))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "label", "item_id")
-    placed = best.withColumn("rank", F.row_number().over(order)).select("query", "item_id", "score", "rank")
+    placed = scored.join(named, "label").withColumn("rank", F.row_number().over(order)).select("query", "item_id", "score", "rank")
     return placed if k is None else placed.where(F.col("rank") <= k)
 
 
