@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,10 +137,51 @@ def write_web_model(model: DataFrame, path: str, digits: int = 5, compact: bool
         r.select(F.array(F.struct(F.col("item_id").alias("animeId"), "title", "bias", "embedding")).alias("anime")).write.mode("overwrite").json(path)
 
 
+#: Bytes of a file that a task holds at a time.
+DIGEST_BYTES = 4 << 20
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
+    """(uri, name below ``path``, bytes) of all files under a folder, or of one file, by Hadoop's file system. Hidden files (``.`` or ``_`` first, and all in such
+    folders) are left out, as Spark's readers do. A row a file reaches the driver, as for any scan."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    top, found, out = fs.getFileStatus(root).getPath().toUri().getPath(), fs.listFiles(root, True), []
+    while found.hasNext():
+        status = found.next()
+        uri = status.getPath().toUri()
+        name = uri.getPath()[len(top):].lstrip("/") or status.getPath().getName()
+        if not any(part[:1] in "._" for part in name.split("/")):
+            out.append((re.sub("^file:/+", "file:///", uri.toASCIIString()), name, status.getLen()))
+    return sorted(out)
+
+
+def _digests(batches):
+    """Streams each file once, ``DIGEST_BYTES`` at a time."""
+    for batch in batches:
+        found = []
+        for uri, size in zip(batch["uri"], batch["bytes"], strict=True):
+            store, inner = pafs.FileSystem.from_uri(uri)
+            digest, read = hashlib.sha256(), 0
+            with store.open_input_stream(inner, compression=None) as stream:
+                while chunk := stream.read(DIGEST_BYTES):
+                    digest.update(chunk)
+                    read += len(chunk)
+            if read != size:
+                raise ValueError(f"{uri} has {read} bytes, was listed with {size}")
+            found.append(digest.hexdigest())
+        yield batch.assign(sha256=found)[["name", "bytes", "sha256"]]
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``name, bytes, sha256`` of the files of a folder; Spark's reader leaves empty files out and takes files up to 2 GB."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """``name, bytes, sha256`` of all files of a folder, empty and very large ones too. A task streams its files, largest first dealt out, and memory doesn't grow with their
+    size; a digest is of a whole file, so one file is one task's work. A file that changes after it is listed is an error. Schemes that Arrow's file systems read."""
+    files = sorted(list_files(spark, path), key=lambda f: -f[2])
+    tasks = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
+    rows = [(k % tasks, *f) for k, f in enumerate(files)]
+    table = spark.createDataFrame(rows, "task int, uri string, name string, bytes long")
+    return table.repartition(tasks, "task").drop("task").mapInPandas(_digests, "name string, bytes long, sha256 string")
 
 
 def merged_cache(cached: DataFrame, parsed: DataFrame, refresh: bool = False) -> DataFrame:

@@ -177,12 +177,35 @@ def test_frontier_is_the_queue(spark):
 
 
 def test_manifest_holds_the_files_digests(spark, tmp_path):
+    """Empty, nested and very large files (3 GB, without blocks on disk) are in it, hidden ones aren't."""
     import hashlib
 
+    def of(*chunks):
+        digest = hashlib.sha256()
+        for c in chunks:
+            digest.update(c)
+        return digest.hexdigest()
+
+    (tmp_path / "deep er").mkdir()
     (tmp_path / "a.bin").write_bytes(b"abc")
-    (tmp_path / "b.bin").write_bytes(b"x" * 3_000_000)
-    got = {(r.name, r.bytes, r.sha256) for r in writers.manifest(spark, str(tmp_path)).collect()}
-    assert got == {("a.bin", 3, hashlib.sha256(b"abc").hexdigest()), ("b.bin", 3_000_000, hashlib.sha256(b"x" * 3_000_000).hexdigest())}
+    (tmp_path / "deep er" / "b%20é.bin").write_bytes(b"x" * 3_000_000)
+    (tmp_path / "empty").write_bytes(b"")
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    (tmp_path / ".a.bin.crc").write_bytes(b"1")
+    with open(tmp_path / "large", "wb") as f:
+        f.truncate(3 << 30)
+    got = sorted(tuple(r) for r in writers.manifest(spark, str(tmp_path)).collect())
+    zeros = bytes(1 << 24)
+    assert got == sorted([
+        ("a.bin", 3, of(b"abc")), ("deep er/b%20é.bin", 3_000_000, of(b"x" * 3_000_000)), ("empty", 0, of()),
+        ("large", 3 << 30, of(*[zeros] * (3 << 6))),
+    ])
+
+
+def test_manifest_of_an_empty_folder_and_of_a_file(spark, tmp_path):
+    assert writers.manifest(spark, str(tmp_path)).count() == 0
+    (tmp_path / "one").write_bytes(b"1")
+    assert [(r.name, r.bytes) for r in writers.manifest(spark, str(tmp_path / "one")).collect()] == [("one", 1)]
 
 
 def test_rmse_and_ranks_of_given_factors(spark):
