@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -335,18 +335,18 @@ def popular_unseen(users: DataFrame, seen: DataFrame, k: int = 20) -> DataFrame:
     return fresh.select("user_id", "item_id", rank.alias("rank")).where(F.col("rank") <= k)
 
 
-def evaluate(scored: DataFrame, truth: DataFrame, n_items: int, k: int = 20) -> DataFrame:
+def evaluate(scored: DataFrame, truth: DataFrame, n_items: int, k: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """``users, precision, recall, hit_rate, ndcg`` of top-``k`` lists ``user_id, item_id, rank`` against held-out positives, averaged over
-    users with at least one."""
-    hits = truth.select("user_id", "item_id").distinct()
-    size = hits.groupBy("user_id").agg(F.count("*").alias("g"))
-    got = scored.where(F.col("rank") <= k).join(hits, ["user_id", "item_id"]).groupBy("user_id").agg(
+    users with at least one; for each value of the columns ``by``, which both tables have."""
+    hits = truth.select(*by, "user_id", "item_id").distinct()
+    size = hits.groupBy(*by, "user_id").agg(F.count("*").alias("g"))
+    got = scored.where(F.col("rank") <= k).join(hits, [*by, "user_id", "item_id"]).groupBy(*by, "user_id").agg(
         F.count("*").alias("h"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg")
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("g"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    each = size.join(got, "user_id", "left").select(
-        (F.coalesce("h", F.lit(0)) / F.lit(min(k, n_items))).alias("p"), (F.coalesce("h", F.lit(0)) / F.col("g")).alias("r"),
+    each = size.join(got, [*by, "user_id"], "left").select(
+        *by, (F.coalesce("h", F.lit(0)) / F.lit(min(k, n_items))).alias("p"), (F.coalesce("h", F.lit(0)) / F.col("g")).alias("r"),
         (F.coalesce("h", F.lit(0)) > 0).cast("double").alias("hit"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("n"),
     )
     r = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
-    return each.agg(F.count("*").alias("users"), r("p").alias("precision"), r("r").alias("recall"), r("hit").alias("hit_rate"), r("n").alias("ndcg"))
+    return each.groupBy(*by).agg(F.count("*").alias("users"), r("p").alias("precision"), r("r").alias("recall"), r("hit").alias("hit_rate"), r("n").alias("ndcg"))

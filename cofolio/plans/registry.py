@@ -721,7 +721,7 @@ def m6_negative_samples(s, d):
 
 @query()
 def m13_sweep(s, d):
-    return training.sweep(s, R.holdout(S.dense_ratings(s, d)), None, trials=2)
+    return training.sweep(s, R.holdout(S.dense_ratings(s, d)), graph.undirected(_adj(s, d)), trials=4)
 
 
 @query()
