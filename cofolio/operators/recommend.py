@@ -263,6 +263,29 @@ def listed_only(scored: DataFrame, include: DataFrame | None = None, exclude: Da
     return scored
 
 
+def list_outcomes(actions: DataFrame, watch: DataFrame) -> DataFrame:
+    """``user_id, item_id, seq, action, outcome`` of ``actions(user_id, item_id, seq, action)`` in order of ``seq`` (ties: of ``action``), ``action`` being include, exclude or remove.
+
+    A watched item is refused (``watched``); an item on the named list already stays where it is (``already``); adding it to one list takes it off the
+    other (``added``); ``remove`` takes it off its list (``removed``), if it is on one (else ``absent``). Rows with a null or another action are left out. An item's
+    list is what its last action named, so one window by user and item gives all outcomes.
+    """
+    known = actions.where(F.col("action").isin("include", "exclude", "remove") & F.col("user_id").isNotNull() & F.col("item_id").isNotNull() & F.col("seq").isNotNull())
+    watched = watch.select("user_id", "item_id", F.lit(True).alias("__w")).distinct()
+    before = F.coalesce(F.lag("action").over(Window.partitionBy("user_id", "item_id").orderBy("seq", "action")), F.lit("remove"))
+    same = F.when(F.col("action") == "remove", "absent").otherwise("already")
+    moved = F.when(F.col("action") == "remove", "removed").otherwise("added")
+    outcome = F.when(F.col("__w"), "watched").when(F.col("action") == before, same).otherwise(moved)
+    return known.select("user_id", "item_id", "seq", "action").join(watched, ["user_id", "item_id"], "left").withColumn("outcome", outcome).drop("__w")
+
+
+def updated_lists(outcomes: DataFrame) -> DataFrame:
+    """``user_id, item_id, list, seq``: what is on which list after all actions of ``list_outcomes``, and the action that put it there."""
+    took = outcomes.where(F.col("outcome").isin("added", "removed"))
+    last = took.groupBy("user_id", "item_id").agg(F.max(F.struct("seq", "action")).alias("l"))
+    return last.where("l.action <> 'remove'").select("user_id", "item_id", F.col("l.action").alias("list"), "l.seq")
+
+
 def matches(genre: str | None = None, year_from: int | None = None, year_to: int | None = None, min_score: float | None = None) -> Column:
     """Metadata condition; a missing value fails each test that is on. Reversed year bounds are swapped."""
     tests = []

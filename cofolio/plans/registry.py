@@ -478,6 +478,32 @@ def p6_include_exclude(s, d):
     return rec.listed_only(g, include=lists, exclude=users.join(F.broadcast(items.where("item_id % 7 = 0")))).select("user_id", "item_id", "support")
 
 
+_ACTIONS = """, act AS (SELECT user_id, item_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'include' WHEN 'click' THEN 'exclude' ELSE 'remove' END AS action
+    FROM entries JOIN events USING (user_id, ts, event_id) WHERE event_type IN ('view', 'click', 'error') AND item_id IS NOT NULL),
+    told AS (SELECT a.*, w.item_id IS NOT NULL AS watched, coalesce(lag(action) OVER (PARTITION BY a.user_id, a.item_id ORDER BY seq), 'remove') AS before
+    FROM act a LEFT JOIN watch w ON a.user_id = w.user_id AND a.item_id = w.item_id)"""
+
+
+def _list_outcomes(s, d):
+    kind = F.when(F.col("event_type") == "view", "include").when(F.col("event_type") == "click", "exclude").when(F.col("event_type") == "error", "remove")
+    kinds = S.table(s, d, "events").select("event_id", kind.alias("action"))
+    actions = S.event_entries(s, d).join(kinds, "event_id").withColumnRenamed("event_id", "seq")
+    return rec.list_outcomes(actions, _watch(s, d))
+
+
+@query(S.sql("entries r2 watch", "")[:-1] + _ACTIONS
+       + """ SELECT user_id, item_id, seq, CASE WHEN watched THEN 'watched' WHEN action = before THEN if(action = 'remove', 'absent', 'already')
+       WHEN action = 'remove' THEN 'removed' ELSE 'added' END AS outcome FROM told""")
+def p6_list_outcomes(s, d):
+    return _list_outcomes(s, d).select("user_id", "item_id", "seq", "outcome")
+
+
+@query(S.sql("entries r2 watch", "")[:-1] + _ACTIONS + """ SELECT user_id, item_id, action AS list, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY seq DESC) AS k
+       FROM told WHERE NOT watched AND action <> before) WHERE k = 1 AND action <> 'remove'""")
+def p6_list_updates(s, d):
+    return rec.updated_lists(_list_outcomes(s, d))
+
+
 @query(_G + ", " + S.CTE["content"] + " SELECT g.user_id, g.item_id FROM g JOIN content c USING (item_id) WHERE c.year BETWEEN 1975 AND 2005 AND c.score >= 0.2 AND list_contains(c.genres, 'promo')")
 def p5_metadata_filter(s, d):
     return rec.filtered(_graph_scores(s, d), S.content(s, d), genre=" Promo", year_from=2005, year_to=1975, min_score=0.2).select("user_id", "item_id")
@@ -706,10 +732,14 @@ def m5_bpr_training(s, d):
     user, item = lambda c: F.concat(F.lit("u"), F.col(c).cast("string")), lambda c: F.concat(F.lit("i"), F.col(c).cast("string"))
     both = r.select(user("user_id").alias("src"), item("item_id").alias("dst"), F.lit(1.0).alias("weight"))
     adj = cut(graph.normalised_adjacency(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))), "bpr-adj")
-    neg = training.negative_samples(r, 100)
-    triples = cut(neg.select(user("user_id").alias("u"), item("item_id").alias("i"), item("negative").alias("j")), "bpr-triples")
-    nodes = triples.select(F.explode(F.array("u", "i", "j")).alias("node")).distinct()
-    return training.train_bpr(adj, triples, nodes.select("node", training.seeded_vector(F.col("node"), 8, 3).alias("v")), layers=1, epochs=1)
+    r = cut(r, "bpr-positives")
+
+    def drawn(epoch):
+        neg = training.negative_samples(r, 100, seed=epoch)
+        return neg.select(user("user_id").alias("u"), item("item_id").alias("i"), item("negative").alias("j"))
+
+    nodes = adj.select(F.col("src").alias("node")).union(s.range(100).select(item("id"))).distinct()
+    return training.train_bpr(adj, drawn, nodes.select("node", training.seeded_vector(F.col("node"), 8, 3).alias("v")), layers=1, epochs=2, batch=1 << 16)
 
 
 @query(S.sql("entries r2", "SELECT user_id, item_id, true AS fresh FROM r2"))
