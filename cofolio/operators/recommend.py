@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,9 +83,8 @@ def model_scores(watch: DataFrame, model: DataFrame, global_mean: float = 0.0) -
     right = model.select("item_id", "q", "bias", mod("item_id", item_blocks).alias("ib")).withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))))
 
     def multiply(u: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        if len(u) and len(items):
-            items = items[items["q"].map(len) == len(u["p"].iloc[0])]
-        if not len(u) or not len(items):
+        items = items[items["q"].map(len) == len(u["p"].iloc[0])]
+        if not len(items):
             return pd.DataFrame({"user_id": [], "item_id": [], "score": [], "strongest": [], "support": []})
         ids, q = items["item_id"].to_numpy(), np.stack(items["q"].to_numpy())
         base, out = items["bias"].to_numpy() + global_mean, []
@@ -102,7 +102,16 @@ def model_scores(watch: DataFrame, model: DataFrame, global_mean: float = 0.0) -
 
     kinds = dict(watch.dtypes) | {"item_id": dict(model.dtypes)["item_id"]}
     pairs = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
-    return pairs.applyInPandas(multiply, f"user_id {kinds['user_id']}, item_id {kinds['item_id']}, score double, strongest double, support long")
+    schema = f"user_id {kinds['user_id']}, item_id {kinds['item_id']}, score double, strongest double, support long"
+    result = watch.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def cell(u: pa.Table, items: pa.Table) -> pa.Table:
+        # an empty side's nested lists aren't turned into pandas: that has crashed workers in Arrow
+        if not u.num_rows or not items.num_rows:
+            return result.empty_table()
+        return pa.Table.from_pandas(multiply(u.to_pandas(), items.to_pandas()), schema=result, preserve_index=False)
+
+    return pairs.applyInArrow(cell, schema)
 
 
 def with_model_contributions(scored: DataFrame, watch: DataFrame, model: DataFrame) -> DataFrame:
