@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cofolio.functions.scalars import BLANKS, unicode_trim
+from cofolio.sources.json_ranges import Ranges, is_large
 
 LIST_ENTRY = "anime_id string, anime_title string, score string"
 LEGACY_RATINGS = "users array<struct<userId: string, ratings: array<struct<animeId: string, title: string, rawScore: string, normalizedScore: string>>>>"
@@ -15,21 +17,40 @@ COMPACT_GRAPH = "format string, part int, userIds array<string>, anime array<arr
 MODEL = "format string, globalMean double, factors int, animeIds array<double>, titles array<string>, biases array<double>, embeddings array<array<double>>, anime array<struct<animeId: double, title: string, bias: double, embedding: array<double>>>"
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All documents of all files with their ``file``: a document a line, or one document over a whole file (most of whose lines
-    aren't documents)."""
-    parsed = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("d")
-    lines = spark.read.text(path).where("trim(value) <> ''").select(parsed, F.col("_metadata.file_path").alias("file")).select("d.*", "file")
-    bad = F.count_if(F.col("_bad").isNotNull())
-    kinds = lines.groupBy("file").agg((bad > F.count("*") - bad).alias("whole"))
-    single = kinds.where("whole").select("file")
-    whole = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
-    return lines.where("_bad is null").drop("_bad").join(single, "file", "left_anti").unionByName(whole.join(single, "file", "left_semi"))
+class _Documents:
+    """The JSON documents of a path's files. Files up to ``WHOLE_BYTES``, compressed and unclosed ones are parsed document by document, larger ones in byte ranges."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ranges = spark, path, Ranges(spark, path)
 
-def _dictionaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Documents with positions into their own dictionary; a file's documents differ by ``part`` (0 where they have none)."""
-    return _json(spark, path, schema).withColumn("part", F.coalesce("part", F.lit(0)))
+    def _small(self, files: DataFrame) -> DataFrame:
+        if not self.ranges.any:
+            return files
+        file = F.col("_metadata.file_path")
+        return files.where(~is_large(file, F.col("_metadata.file_size")) | file.isin(self.ranges.broken))
+
+    def parsed(self, schema: str) -> DataFrame:
+        """All documents of the smaller files with their ``file``: a document a line, or one document over a whole file (most of whose lines
+        aren't documents)."""
+        parsed = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("d")
+        lines = self._small(self.spark.read.text(self.path)).where("trim(value) <> ''").select(parsed, F.col("_metadata.file_path").alias("file")).select("d.*", "file")
+        bad = F.count_if(F.col("_bad").isNotNull())
+        kinds = lines.groupBy("file").agg((bad > F.count("*") - bad).alias("whole"))
+        single = kinds.where("whole").select("file")
+        whole = self._small(self.spark.read.schema(schema).option("multiLine", True).json(self.path)).select("*", F.col("_metadata.file_path").alias("file"))
+        return lines.where("_bad is null").drop("_bad").join(single, "file", "left_anti").unionByName(whole.join(single, "file", "left_semi"))
+
+    def elements(self, schema: str, name: str) -> DataFrame:
+        """``file, part, pos, e``: the elements of one array of every document; documents of a file differ by ``part`` (0 where they have none)."""
+        part = F.coalesce("part", F.lit(0)) if " part " in f" {schema} ".replace(",", " ") else F.lit(0)
+        small = self.parsed(schema).select("file", part.cast("bigint").alias("part"), F.posexplode(name).alias("pos", "e"))
+        return small.unionByName(self._cut_out(schema, name)) if self.ranges.any else small
+
+    def _cut_out(self, schema: str, name: str) -> DataFrame:
+        """``elements`` of the larger files."""
+        kind = StructType.fromDDL(schema)[name].dataType.elementType
+        element = F.from_json(F.concat(F.lit('{"e":'), "value", F.lit("}")), StructType().add("e", kind))["e"]
+        return self.ranges.members([name]).where("pos is not null").select("file", F.col("document").alias("part"), F.col("pos").cast("int").alias("pos"), element.alias("e"))
 
 
 def _finite(c):
@@ -45,7 +66,11 @@ def list_pages(spark: SparkSession, path: str) -> DataFrame:
 def legacy_ratings(spark: SparkSession, path: str) -> DataFrame:
     """``user_id, item_id, title, raw_score, normalized_score, rejected``; entries with blank users or without a whole item id or a
     centred score that is a number are marked, not lost."""
-    users = _json(spark, path, LEGACY_RATINGS).select(F.explode("users").alias("u")).select(unicode_trim(F.col("u.userId")).alias("user_id"), F.explode("u.ratings").alias("r"))
+    return _legacy_ratings(_Documents(spark, path))
+
+
+def _legacy_ratings(docs: _Documents) -> DataFrame:
+    users = docs.elements(LEGACY_RATINGS, "users").withColumnRenamed("e", "u").select(unicode_trim(F.col("u.userId")).alias("user_id"), F.explode("u.ratings").alias("r"))
     item, centred = F.col("r.animeId").try_cast("bigint"), F.col("r.normalizedScore").try_cast("double")
     return users.select(
         "user_id", item.alias("item_id"), F.coalesce("r.title", F.concat(F.lit("Anime "), item.cast("string"))).alias("title"),
@@ -56,9 +81,12 @@ def legacy_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 def compact_ratings(spark: SparkSession, path: str) -> DataFrame:
     """The same columns from the dictionary-encoded form, each document by its own dictionary; indexes keep their written positions, bad dictionary rows are marked."""
-    doc = _dictionaries(spark, path, COMPACT_RATINGS)
-    items = doc.select("file", "part", F.posexplode("anime").alias("idx", "a")).select("file", "part", "idx", F.get("a", F.lit(0)).try_cast("bigint").alias("item_id"), F.get("a", F.lit(1)).alias("title"))
-    users = doc.select("file", "part", F.explode("users").alias("u")).select("file", "part", F.get("u", F.lit(0)).alias("user_id"), F.explode(F.from_json(F.get("u", F.lit(1)), "array<array<double>>")).alias("t"))
+    return _compact_ratings(_Documents(spark, path))
+
+
+def _compact_ratings(docs: _Documents) -> DataFrame:
+    items = docs.elements(COMPACT_RATINGS, "anime").select("file", "part", F.col("pos").alias("idx"), F.get("e", F.lit(0)).try_cast("bigint").alias("item_id"), F.get("e", F.lit(1)).alias("title"))
+    users = docs.elements(COMPACT_RATINGS, "users").withColumnRenamed("e", "u").select("file", "part", F.get("u", F.lit(0)).alias("user_id"), F.explode(F.from_json(F.get("u", F.lit(1)), "array<array<double>>")).alias("t"))
     cells = users.select("file", "part", "user_id", F.get("t", F.lit(0)).cast("int").alias("idx"), F.get("t", F.lit(1)).alias("raw_score"), F.get("t", F.lit(2)).alias("normalized_score"))
     joined = cells.join(items, ["file", "part", "idx"], "left")
     bad = (F.coalesce("user_id", F.lit("")) == "") | F.col("item_id").isNull() | ~_finite(F.col("raw_score"))
@@ -67,21 +95,24 @@ def compact_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 def open_ratings(spark: SparkSession, path: str) -> DataFrame:
     """Either form, by the file's ``format`` tag."""
-    tag = _json(spark, path, "format string").select(F.max("format").alias("format")).first()
-    return compact_ratings(spark, path) if tag and tag["format"] == "ratings-compact-v1" else legacy_ratings(spark, path)
+    docs = _Documents(spark, path)
+    tags = docs.parsed("format string").select("format")
+    if docs.ranges.any:
+        tags = tags.unionByName(docs.ranges.members(["format"]).select(F.from_json(F.concat(F.lit('{"e":'), "value", F.lit("}")), "e string")["e"].alias("format")))
+    return _compact_ratings(docs) if tags.select(F.max("format")).first()[0] == "ratings-compact-v1" else _legacy_ratings(docs)
 
 
 def legacy_graph(spark: SparkSession, path: str) -> DataFrame:
     """``source, target, edge_type, weight``."""
-    return _json(spark, path, LEGACY_GRAPH).select(F.explode("edges").alias("e")).select("e.source", "e.target", F.col("e.edgeType").alias("edge_type"), "e.weight")
+    return _Documents(spark, path).elements(LEGACY_GRAPH, "edges").select("e.source", "e.target", F.col("e.edgeType").alias("edge_type"), "e.weight")
 
 
 def compact_graph(spark: SparkSession, path: str) -> DataFrame:
     """``source, target, edge_type, weight`` with node names rebuilt, each document by its own dictionary; edges of unknown positions are dropped."""
-    doc = _dictionaries(spark, path, COMPACT_GRAPH)
-    users = doc.select("file", "part", F.posexplode("userIds").alias("ui", "u")).select("file", "part", "ui", F.concat(F.lit("user:"), "u").alias("user"))
-    items = doc.select("file", "part", F.posexplode("anime").alias("ai", "a")).select("file", "part", "ai", F.concat(F.lit("anime:"), F.get("a", F.lit(0))).alias("item"))
-    cell = lambda name: doc.select("file", "part", F.explode(name).alias("t")).select("file", "part", F.get("t", F.lit(0)).cast("int").alias("x"), F.get("t", F.lit(1)).cast("int").alias("y"), F.get("t", F.lit(2)).alias("weight"))
+    docs = _Documents(spark, path)
+    users = docs.elements(COMPACT_GRAPH, "userIds").select("file", "part", F.col("pos").alias("ui"), F.concat(F.lit("user:"), "e").alias("user"))
+    items = docs.elements(COMPACT_GRAPH, "anime").select("file", "part", F.col("pos").alias("ai"), F.concat(F.lit("anime:"), F.get("e", F.lit(0))).alias("item"))
+    cell = lambda name: docs.elements(COMPACT_GRAPH, name).select("file", "part", F.get("e", F.lit(0)).cast("int").alias("x"), F.get("e", F.lit(1)).cast("int").alias("y"), F.get("e", F.lit(2)).alias("weight"))
     ua = cell("ua").join(users.withColumnRenamed("ui", "x"), ["file", "part", "x"]).join(items.withColumnRenamed("ai", "y"), ["file", "part", "y"]).select(F.col("user").alias("source"), F.col("item").alias("target"), F.lit("user-anime").alias("edge_type"), "weight")
     left, right = items.select("file", "part", F.col("ai").alias("x"), F.col("item").alias("source")), items.select("file", "part", F.col("ai").alias("y"), F.col("item").alias("target"))
     aa = cell("aa").join(left, ["file", "part", "x"]).join(right, ["file", "part", "y"]).select("source", "target", F.lit("anime-anime").alias("edge_type"), "weight")
@@ -91,23 +122,38 @@ def compact_graph(spark: SparkSession, path: str) -> DataFrame:
 def model(spark: SparkSession, path: str) -> DataFrame:
     """``item_id, title, bias, q`` of either model form: as many rows as the shortest array, only finite numbers and
     whole embeddings; of repeated ids the last counts."""
-    doc = _json(spark, path, MODEL)
+    docs = _Documents(spark, path)
+    doc = docs.parsed(MODEL)
     n = F.least(F.size("animeIds"), F.size("titles"), F.size("biases"), F.size("embeddings"))
     zipped = doc.where("animeIds is not null").select(n.alias("n"), F.posexplode(F.arrays_zip("animeIds", "titles", "biases", "embeddings")).alias("pos", "z")).where("pos < n")
     compact = zipped.select("pos", F.col("z.animeIds").alias("id"), F.col("z.titles").alias("title"), F.col("z.biases").alias("bias"), F.col("z.embeddings").alias("q"))
     legacy = doc.where("animeIds is null").select(F.posexplode("anime").alias("pos", "z")).select("pos", F.col("z.animeId").alias("id"), F.col("z.title").alias("title"), F.col("z.bias").alias("bias"), F.col("z.embedding").alias("q"))
-    fine = compact.unionByName(legacy).where(_finite(F.col("id")) & _finite(F.col("bias")) & (F.size("q") > 0) & F.forall("q", _finite))
+    both = compact.unionByName(legacy)
+    if docs.ranges.any:
+        place = ["file", "part", "pos"]
+        columns = [docs._cut_out(MODEL, c).withColumnRenamed("e", name) for c, name in (("animeIds", "id"), ("titles", "title"), ("biases", "bias"), ("embeddings", "q"))]
+        ids = columns[0]
+        for c in columns[1:]:
+            columns[0] = columns[0].join(c, place)
+        entries = docs._cut_out(MODEL, "anime").join(ids.select("file", "part").distinct(), ["file", "part"], "left_anti")
+        both = both.unionByName(columns[0].select("pos", "id", "title", "bias", "q"))
+        both = both.unionByName(entries.select("pos", F.col("e.animeId").alias("id"), "e.title", "e.bias", F.col("e.embedding").alias("q")))
+    fine = both.where(_finite(F.col("id")) & _finite(F.col("bias")) & (F.size("q") > 0) & F.forall("q", _finite))
     return fine.groupBy(F.col("id").cast("long").alias("item_id")).agg(*[F.max_by(c, "pos").alias(c) for c in ("title", "bias", "q")])
 
 
 def content_features(spark: SparkSession, path: str) -> DataFrame:
     """A JSON map of id to entry: ``item_id, title, year, score, genres, studios`` with names trimmed, lower case, once each."""
-    entry = F.from_json("value", "map<string, struct<title: string, year: string, score: string, genres: array<string>, studios: array<string>>>").alias("m")
-    lines = spark.read.text(path).where("trim(value) <> ''").select(entry, F.col("_metadata.file_path").alias("file"))
+    fields = "title: string, year: string, score: string, genres: array<string>, studios: array<string>"
+    docs = _Documents(spark, path)
+    entry = F.from_json("value", f"map<string, struct<{fields}>>").alias("m")
+    lines = docs._small(spark.read.text(path)).where("trim(value) <> ''").select(entry, F.col("_metadata.file_path").alias("file"))
     # a map a line, or one map over a whole file (most of whose lines aren't maps)
     single = lines.groupBy("file").agg((F.count_if(F.col("m").isNull()) > F.count("m")).alias("whole")).where("whole").select("file")
-    whole = spark.read.option("wholetext", True).text(path).select(entry, F.col("_metadata.file_path").alias("file"))
+    whole = docs._small(spark.read.text(path, wholetext=True)).select(entry, F.col("_metadata.file_path").alias("file"))
     raw = lines.join(single, "file", "left_anti").unionByName(whole.join(single, "file", "left_semi")).select(F.explode("m").alias("id", "e"))
+    if docs.ranges.any:
+        raw = raw.unionByName(docs.ranges.members().where("pos is null").select(F.col("key").alias("id"), F.from_json("value", f"struct<{fields}>").alias("e")))
     names = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
     return raw.select(F.col("id").try_cast("bigint").alias("item_id"), "e.title", F.col("e.year").try_cast("int").alias("year"), F.col("e.score").try_cast("double").alias("score"), names(F.col("e.genres")).alias("genres"), names(F.col("e.studios")).alias("studios")).where("item_id is not null")
 
