@@ -61,12 +61,28 @@ _AROUND = frozenset("header head top title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
-def _says_furniture(names: str, in_article: bool) -> bool:
-    """Whether one of the names consists of words for furniture and shapes only ('share-price' or 'with-sidebar' don't), or
-    names a header outside the article."""
-    for name in names.lower().split():
-        parts = set(re.split(r"[-_]+", name)) - {""}
-        if parts & _FURNITURE and parts <= _FURNITURE | _SHAPE:
+#: Words that name furniture whatever stands before them ('reader-comments'), but for words of place and state.
+_HEADS = frozenset("comments commentlist replies disqus sidebar sidebars nav navbar footer newsletter newsletters ads advert adverts advertisement advertisements breadcrumb breadcrumbs pagination popup".split())
+_STATES = frozenset("with has no non without is not show hide for on in under over beside before after".split())
+#: An article's sentences and their parts are its text whatever they are called, but for these words.
+_SENTENCES = _INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_ADVERTS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsored".split())
+_WORDS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+
+
+def _says_furniture(names: str, in_article: bool, sentence: bool = False) -> bool:
+    """Whether one of the names consists of words for furniture and shapes only ('share-price' doesn't), ends in one that names furniture
+    on its own ('with-sidebar' doesn't), or names a header outside the article. Sentences of an article are adverts or its text."""
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.split(name) if w]
+        parts = set(words)
+        if parts & (_ADVERTS if in_article and sentence else _FURNITURE) and parts <= _FURNITURE | _SHAPE:
+            return True
+        if in_article and sentence:
+            continue
+        while len(words) > 1 and words[-1] in _SHAPE:
+            words.pop()
+        if words and words[-1] in _HEADS and not parts & _STATES:
             return True
         if not in_article and "header" in parts and parts <= _SHAPE:
             return True
@@ -93,7 +109,7 @@ class Element:
                 return True
             if self.holds or self.tag in ("html", "body", "main"):
                 continue
-            if name in ("class", "id") and _says_furniture(value, in_article) or name == "role" and value.lower() in _ROLES:
+            if name in ("class", "id") and _says_furniture(value, in_article, self.tag in _SENTENCES) or name == "role" and value.lower() in _ROLES:
                 return True
         return False
 

@@ -169,6 +169,9 @@ def test_article_text(spark, sf):
 PAGES = [
     ("<main><article><p>First story</p></article><article><p>Second</p></article></main>", "First story Second"),
     ("<article><p>Body</p><article class='comment'><p>Nice!</p></article><div id=comments>So</div></article>", "Body"),
+    ("<article><p>Body</p><section class='user-comments'><p>Nice!</p></section></article>", "Body"), ("<p>Body</p><section class='user-comments'><p>Nice!</p></section>", "Body"),
+    ("<article><p class='banner'>Banner text in story</p><p class=comment>Said <b class=share>so</b></p><p class=advert>Buy</p></article>", "Banner text in story Said so"),
+    ("<article><div class='no-sidebar'><p>In</p></div><div class='readerComments'>So</div><ol class=commentlist><li>x</ol><div class='post-footer-area'>By</div></article>", "In"),
     ("<article><p>One</p><svg class='i'/><p>Two</p></article>", "One Two"),
     ("<article><p class='share-price'>Up</p><div class='social-policy'>Law</div><div class='article-header'><h1>Head</h1></div></article>", "Up Law Head"),
     ("<div class='content with-sidebar'><article><p>In</p></article><div class='left-sidebar'>Out</div></div>", "In"),
