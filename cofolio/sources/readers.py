@@ -124,8 +124,9 @@ def model(spark: SparkSession, path: str) -> DataFrame:
     whole embeddings; of repeated ids the last counts."""
     docs = _Documents(spark, path)
     doc = docs.parsed(MODEL)
-    n = F.least(F.size("animeIds"), F.size("titles"), F.size("biases"), F.size("embeddings"))
-    zipped = doc.where("animeIds is not null").select(n.alias("n"), F.posexplode(F.arrays_zip("animeIds", "titles", "biases", "embeddings")).alias("pos", "z")).where("pos < n")
+    n = F.greatest(F.least(F.size("animeIds"), F.size("titles"), F.size("biases"), F.size("embeddings")), F.lit(0))
+    # cut before it is exploded: a column of the document beside the entries would copy its whole arrays into each row
+    zipped = doc.where("animeIds is not null").select(F.posexplode(F.slice(F.arrays_zip("animeIds", "titles", "biases", "embeddings"), F.lit(1), n)).alias("pos", "z"))
     compact = zipped.select("pos", F.col("z.animeIds").alias("id"), F.col("z.titles").alias("title"), F.col("z.biases").alias("bias"), F.col("z.embeddings").alias("q"))
     legacy = doc.where("animeIds is null").select(F.posexplode("anime").alias("pos", "z")).select("pos", F.col("z.animeId").alias("id"), F.col("z.title").alias("title"), F.col("z.bias").alias("bias"), F.col("z.embedding").alias("q"))
     both = compact.unionByName(legacy)
