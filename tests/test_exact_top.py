@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from cofolio.operators import inner_product
 from cofolio.operators import recommend as rec
 from cofolio.operators.inner_product import best_scores, item_index, pair_scores
 from pyspark.sql import functions as F
@@ -82,3 +83,26 @@ def test_lower_bound_of_known_users(spark):
     seen = spark.createDataFrame([(1, 3)], "user_id long, item_id long")
     got = rec.known_user_recommend(users, items, seen, 5, min_score=-2.0, global_mean=0.0).collect()
     assert sorted((r.user_id, r.item_id, r.score, r["rank"]) for r in got) == [(1, 1, 1.5, 2), (1, 2, 2.5, 1), (2, 1, -1.0, 1), (2, 2, -2.0, 2)]
+
+
+@pytest.mark.parametrize("most", [256, 2])
+def test_equal_vectors_meet_the_items_once(spark, monkeypatch, most):
+    """Forty users with four vectors and lists of hidden items of their own; those who hide more than ``most`` go alone."""
+    monkeypatch.setattr(inner_product, "MOST_HIDDEN", most)
+    monkeypatch.setattr(inner_product, "GROUP_BLOCKS", 2)
+    rng = random.Random(12)
+    items = {i: ([rng.gauss(0, 1), rng.gauss(0, 1)], rng.uniform(0, 1)) for i in range(90)}
+    vectors = [[rng.gauss(0, 1), rng.gauss(0, 1)] for _ in range(4)]
+    users = {u: vectors[u % 4] for u in range(40)}
+    hidden = {(u, i) for u in users for i in rng.sample(range(90), u % 6)}
+    got, _, total = best_scores(
+        spark.createDataFrame(list(users.items()), "user_id long, p array<double>"), item_index(model_of(spark, items), 8), 3, spark.createDataFrame(sorted(hidden), "user_id long, item_id long"),
+    )
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.user_id, {})[r.item_id] = r.score
+    for u, p in users.items():
+        every = sorted(((dot(p, q) + b, i) for i, (q, b) in items.items() if (u, i) not in hidden), reverse=True)
+        assert found[u] == pytest.approx({i: s for s, i in every[:3]})
+    alone = sum(1 for u in users if u % 6 > most)
+    assert total == (4 + alone) * 12
