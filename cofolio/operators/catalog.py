@@ -9,8 +9,12 @@ from cofolio.functions.scalars import node_item_id, normalise_title, unicode_tri
 from cofolio.sources.scratch import cut
 
 
-def _first(found: DataFrame) -> DataFrame:
-    return found.groupBy("query").agg(F.min_by("item_id", F.struct("step", "item_id")).alias("item_id"), F.min("step").alias("step"))
+def _first(found: DataFrame, by: str = "item_id", steps: int = 5) -> DataFrame:
+    """``query, step, by``: each query's lowest step, and the least ``by`` of that step. One number a step, so that tasks fold the pairs as they meet them
+    and sort none (``min_by`` of a pair, or of texts, sorts all pairs of a task)."""
+    least = [F.min(F.when(F.col("step") == k, F.col(by))).alias(f"__{k}") for k in range(1, steps + 1)]
+    each = found.groupBy("query").agg(F.min("step").alias("step"), *least)
+    return each.select("query", F.coalesce(*[F.when(F.col("step") == k, F.col(f"__{k}")) for k in range(1, steps + 1)]).alias(by), "step")
 
 
 #: Salts that the titles of one piece are spread over.
@@ -87,20 +91,22 @@ def resolve_items(queries: DataFrame, items: DataFrame) -> DataFrame:
 
 def resolve_nodes(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """``query, node, step`` over ``nodes(id, label, pos)``: exact id (1), item number (2), exact label (3), label prefix (4),
-    contained in ``label id`` (5); first by position."""
+    contained in ``label id`` (5); first by position, nodes without one last. The best position is found first, then whose it is."""
     asked = queries.select("query").distinct().withColumn("raw", unicode_trim(F.col("query"))).withColumn("norm", normalise_title(F.col("query"))).where("raw <> ''")
     names = nodes.withColumn("label_n", normalise_title(F.col("label"))).withColumn("hay", normalise_title(F.concat_ws(" ", "label", "id")))
-    pick = lambda df, step: df.select("query", F.col("id").alias("node"), "pos", F.lit(step).alias("step"))
+    pick = lambda df, step: df.select("query", "pos", F.lit(step).alias("step"))
     number = F.concat(F.lit("anime:"), F.regexp_extract("raw", r"^(\d+)$", 1).try_cast("bigint").cast("string"))
-    found = pick(asked.join(names, F.lower("raw") == F.lower("id")), 1).unionByName(pick(asked.join(names, number == F.col("id")), 2))
-    found = found.unionByName(pick(asked.join(names, F.col("norm") == F.col("label_n")), 3))
-    best = lambda df: df.groupBy("query").agg(F.min_by("node", F.struct("step", "pos")).alias("node"), F.min("step").alias("step"))
-    found = best(found)
+    same = [F.lower("raw") == F.lower("id"), number == F.col("id"), F.col("norm") == F.col("label_n")]
+    found = [pick(asked.join(names, at), k) for k, at in enumerate(same, 1)]
+    found = cut(_first(found[0].unionByName(found[1]).unionByName(found[2]), "pos"), "resolved-nodes")
     rest = asked.join(found, "query", "left_anti")
-    inside = _containing(rest.select("query", "norm"), names.select(F.struct("id", "pos", "label_n").alias("item_id"), F.col("hay").alias("title")))
-    step = F.when(F.startswith(F.col("item_id.label_n"), F.col("norm")), 4).otherwise(5)
-    near = inside.select("query", F.col("item_id.id").alias("node"), F.col("item_id.pos").alias("pos"), step.alias("step"))
-    return found.unionByName(best(near))
+    inside = _containing(rest.select("query", "norm"), names.select(F.struct("pos", "label_n").alias("item_id"), F.col("hay").alias("title")))
+    starts = F.startswith(F.col("item_id.label_n"), F.col("norm"))
+    near = _first(inside.select("query", F.col("item_id.pos").alias("pos"), F.when(starts, 4).otherwise(5).alias("step")), "pos")
+    best = cut(found.unionByName(near), "resolved-nodes").join(asked, "query")
+    step = F.when(same[0], 1).when(same[1], 2).when(same[2], 3).when(F.startswith("label_n", "norm"), 4).when(F.contains("hay", "norm"), 5)
+    there = best.withColumnRenamed("pos", "__pos").join(names, F.col("__pos").eqNullSafe(F.col("pos"))).where(step == F.col("step"))
+    return there.groupBy("query").agg(F.min("id").alias("node"), F.first("step").alias("step"))
 
 
 #: The most that a word scores in a title that has its letters in order but not the word itself.
