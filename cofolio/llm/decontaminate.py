@@ -2,13 +2,14 @@
 
 Fixed masks pick some of the words of every window of a text and ignore the others, so a hash of the
 picked words still agrees where an ignored word was replaced. Hashes of documents and
-benchmark items are joined; around each hit the words on the same alignment are compared, and a window of
+benchmark items are joined; around each hit the words on the same alignment are compared, as many as windows that hold it can reach, and a window of
 ``WINDOW`` words with at least ``AGREE`` of them equal makes the document contaminated. The masks for an item of a size
 hit every overlap that the comparison accepts, wherever the replaced words are (tested by enumeration for each size), so
 the search loses nothing. Items of fewer than ``LEAST`` words are hashed whole and must occur word for word.
 
 Everything is DataFrame functions: windows come from ``arrays_zip`` of shifted slices, which stays
-in generated code, and a hit is compared right where it is found.
+in generated code, and a hit is compared right where it is found. Generated code holds all hits of a document at a time, so
+a hit has only the words around it, never the whole text.
 """
 
 from __future__ import annotations
@@ -97,13 +98,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = texts.where(F.size("__doc") > min(max(m) for m in masks)).select("__id", "__h", "__doc", F.posexplode(_windows(F.col("__doc"), span)).alias("__p", "__win"))
     hashed = windows.select("__id", "__h", "__doc", "__p", F.explode(_seeds("__win", masks)).alias("__seed")).where("__seed is not null")
     size = sizes.w or 0
-    shift = (F.col("__p") - F.col("__q")).alias("__shift")
     if size <= BROADCAST_WORDS and size * 2 <= BROADCAST_SEEDS:
-        # the words ride along as references within one stage and are only read at hits
-        table = F.broadcast(seeds.select("__seed", "__item", "__q"))
+        # the words ride along as references within one stage; an accepted window has a hit of its own inside, so words beyond a window on either side aren't needed
+        table, before = F.broadcast(seeds.select("__seed", "__item", "__q")), F.least(F.col("__p"), F.lit(WINDOW - 1))
+        near = F.slice("__doc", F.col("__p") - before + 1, before + WINDOW).alias("__near")
         found = (
-            hashed.join(table, "__seed").select("__id", "__h", "__doc", "__item", shift)
-            .join(F.broadcast(items), "__item").where(_overlap(F.col("__doc"), F.col("__words"), F.col("__shift")))
+            hashed.join(table, "__seed").select("__id", "__h", near, "__item", (before - F.col("__q")).alias("__shift"))
+            .join(F.broadcast(items), "__item").where(_overlap(F.col("__near"), F.col("__words"), F.col("__shift")))
         )
         return found.select("__id", "__h", "__item").distinct()
     # a phrase that many documents have is a hot hash: its places are dealt to salts, and the benchmark's few meet all of them
@@ -111,10 +112,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
     places = (
         hashed.select("__id", "__h", "__p", "__seed", salt).join(seeds.select("__seed", "__item", "__q", every), ["__seed", "__salt"])
-        .select("__id", "__h", "__item", shift).distinct()
+        .select("__id", "__h", "__item", (F.col("__p") - F.col("__q")).alias("__shift")).distinct()
     )
     same = texts.select(F.col("__id").alias("__i"), F.col("__h").alias("__g"), "__doc").distinct()
-    found = places.join(same, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g"))).join(items, "__item")
+    # texts come last, so that they are shuffled once each and not once a hit
+    found = places.join(items, "__item").join(same, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")))
     return found.where(_overlap(F.col("__doc"), F.col("__words"), F.col("__shift"))).select("__id", "__h", "__item").distinct()
 
 
